@@ -17,14 +17,6 @@ from earshot.operators import match
 from earshot.operators.verdict import acting_severity
 from earshot.sources.packs import RulePacks
 
-# Consonants tried in mutations, and the spellings a contraction has once normalised.
-CONSONANT_SAMPLE = "bdfgklmnprstvz"
-CONTRACTIONS = (
-    ("i ll", "ill"), ("i m", "im"), ("you re", "youre"), ("don t", "dont"), ("can t", "cant"),
-    ("won t", "wont"), ("i ve", "ive"), ("let s", "lets"), ("that s", "thats"),
-)
-
-
 def listed(packs: RulePacks, with_regex: bool = False) -> DataFrame:
     """Patterns with their rule's tier, category and severity."""
     rules = packs.rules.select(
@@ -305,9 +297,9 @@ def mutations(fuzzy: DataFrame) -> DataFrame:
     vowel = F.lit(domains.VOWELS).contains(char)
     at = fuzzy.select("language", "rule_id", "pattern", F.explode(F.sequence(F.lit(1), n)).alias("i"))
     gaps = fuzzy.select("language", "rule_id", "pattern", F.explode(F.sequence(F.lit(1), n + 1)).alias("i"))
-    consonants = at.withColumn("r", F.explode(_chars_of(CONSONANT_SAMPLE)))
+    consonants = at.withColumn("r", F.explode(_chars_of(domains.CONSONANT_SAMPLE)))
     vowels = at.withColumn("r", F.explode(_chars_of(domains.VOWELS)))
-    inserts = gaps.withColumn("r", F.explode(_chars_of(CONSONANT_SAMPLE)))
+    inserts = gaps.withColumn("r", F.explode(_chars_of(domains.CONSONANT_SAMPLE)))
     r = F.col("r")
 
     def made(df: DataFrame, kind: str, token: Column, accepted: bool) -> DataFrame:

@@ -111,55 +111,66 @@ def parse_credentials(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     reject row names the first thing wrong with an entry. Tokens leave as digests only.
     """
     parsed = files.select(
-        "source_path", F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"}).alias("entries")
+        "source_path", F.from_json("value", "map<string,variant>").alias("entries")
     )
     unreadable = parsed.filter(F.col("entries").isNull() | (F.size("entries") < 1)).select(
         "source_path", F.lit(None).cast("string").alias("server_id"), F.lit("invalid_file").alias("code")
     )
-    entries = parsed.select("source_path", F.explode("entries").alias("server_id", "entry"))
-    # from_json gives a nested object as its JSON text and a plain string as itself.
-    fields = F.from_json("entry", "map<string,string>")
-    is_object = F.col("entry").rlike(r"\A\s*\{") & F.col("fields").isNotNull()
-    raw = entries.withColumn("fields", fields).select(
-        "source_path", "server_id", "entry", "fields", is_object.alias("is_object")
+    entry = F.col("entry")
+    raw = parsed.select("source_path", F.explode("entries").alias("server_id", "entry")).withColumn(
+        "kind", F.schema_of_variant("entry")
     )
+    is_object = F.col("kind").startswith("OBJECT<")
 
-    def field(name: str) -> Column:
-        return F.when(F.col("is_object"), F.col("fields")[name])
+    def value(path: str, kind: str) -> Column:
+        return F.try_variant_get(entry, f"$['{path}']", kind)
 
+    def json_type(path: str) -> Column:
+        found = F.try_variant_get(entry, f"$['{path}']", "variant")
+        return F.coalesce(F.schema_of_variant(found), F.lit("VOID"))
+
+    keys = F.map_keys(F.try_variant_get(entry, "$", "map<string,variant>"))
     typed = raw.select(
-        "source_path", "server_id", "entry", "is_object",
-        F.array_except(F.map_keys(F.when(F.col("is_object"), F.col("fields"))),
-                       F.array(*map(F.lit, _CREDENTIAL_KEYS))).alias("unknown_keys"),
-        F.when(F.col("is_object"), F.col("fields")["token"]).otherwise(F.col("entry")).alias("token"),
-        F.coalesce(field("plan"), F.lit("selfhost")).alias("plan"),
-        field("languages").alias("raw_languages"),
-        F.from_json(field("languages"), "array<string>").alias("languages"),
-        field("rate-limit-per-minute").alias("raw_limit"),
-        field("rate-limit-per-minute").try_cast("int").alias("rate_limit_per_minute"),
-        field("expires").alias("raw_expires"),
-        field("expires").try_cast("timestamp").alias("expires_at"),
-    )
-    bad_languages = F.col("raw_languages").isNotNull() & ~F.coalesce(
-        (F.size("languages") > 0)
-        & F.forall("languages", lambda c: F.coalesce(c.rlike(rf"\A{domains.CREDENTIAL_LANGUAGE}\z"), F.lit(False))),
-        F.lit(False),
-    )
-    bad_limit = F.col("raw_limit").isNotNull() & ~F.coalesce(
-        F.col("raw_limit").rlike(r"\A-?[0-9]+\z")
-        & F.col("rate_limit_per_minute").between(1, domains.MAX_RATE_LIMIT),
-        F.lit(False),
-    )
-    array_entry = ~F.col("is_object") & F.col("entry").rlike(r"\A\s*\[")
-    checks = (
-        ("invalid_server_id", ~F.col("server_id").rlike(rf"\A{domains.SERVER_ID}\z")),
-        ("invalid_entry", F.coalesce(array_entry, F.lit(False))),
-        ("unknown_keys", F.coalesce(F.size("unknown_keys") > 0, F.lit(False))),
-        ("invalid_token", F.coalesce(F.col("token"), F.lit("")) == ""),
-        ("invalid_plan", ~F.col("plan").rlike(rf"\A{domains.PLAN}\z")),
-        ("invalid_languages", bad_languages),
-        ("invalid_rate_limit", bad_limit),
-        ("invalid_expiry", F.col("raw_expires").isNotNull() & F.col("expires_at").isNull()),
+        "source_path", "server_id", "kind",
+        F.array_except(keys, F.array(*map(F.lit, _CREDENTIAL_KEYS))).alias("unknown_keys"),
+        F.when(F.col("kind") == "STRING", F.try_variant_get(entry, "$", "string"))
+        .when(json_type("token") == "STRING", value("token", "string"))
+        .alias("token"),
+        F.when(~is_object | (json_type("plan") == "VOID") & ~F.array_contains(keys, "plan"), F.lit("selfhost"))
+        .when(json_type("plan") == "STRING", value("plan", "string"))
+        .alias("plan"),
+        json_type("languages").alias("languages_type"),
+        value("languages", "array<string>").alias("languages"),
+        json_type("rate-limit-per-minute").alias("limit_type"),
+        value("rate-limit-per-minute", "int").alias("rate_limit_per_minute"),
+        json_type("expires").alias("expires_type"),
+        value("expires", "string").try_cast("timestamp").alias("expires_at"),
+    )
+    code_ok = lambda c: c.rlike(rf"\A{domains.CREDENTIAL_LANGUAGE}\z")
+    good_languages = (F.col("languages_type") == "VOID") | (
+        (F.col("languages_type") == "ARRAY<STRING>")
+        & (F.size("languages") > 0)
+        & F.forall("languages", code_ok)
+    )
+    good_limit = (F.col("limit_type") == "VOID") | (
+        (F.col("limit_type") == "BIGINT")
+        & F.col("rate_limit_per_minute").between(1, domains.MAX_RATE_LIMIT)
+    )
+    good_expiry = (F.col("expires_type") == "VOID") | (
+        (F.col("expires_type") == "STRING") & F.col("expires_at").isNotNull()
+    )
+    checks = tuple(
+        (name, ~F.coalesce(good, F.lit(False)))
+        for name, good in (
+            ("invalid_server_id", F.col("server_id").rlike(rf"\A{domains.SERVER_ID}\z")),
+            ("invalid_entry", (F.col("kind") == "STRING") | F.col("kind").startswith("OBJECT<")),
+            ("unknown_keys", F.coalesce(F.size("unknown_keys"), F.lit(0)) <= 0),
+            ("invalid_token", F.col("token") != ""),
+            ("invalid_plan", F.col("plan").rlike(rf"\A{domains.PLAN}\z")),
+            ("invalid_languages", good_languages),
+            ("invalid_rate_limit", good_limit),
+            ("invalid_expiry", good_expiry),
+        )
     )
     code = F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in checks])
     checked = typed.select(
