@@ -178,6 +178,18 @@ def token_hits(passes: DataFrame, packs: RulePacks, keys: Sequence[str]) -> Data
     return reduce(DataFrame.unionByName, found)
 
 
+def fuzzy_hits(passes: DataFrame, packs: RulePacks, keys: Sequence[str]) -> DataFrame:
+    """Fuzzy candidates that pass the comparison, for a caller that wants only them.
+
+    The id is there to hold the comparison behind the lookup: the optimizer would move
+    it into the join condition and take that out of generated code.
+    """
+    candidates = token_hits(passes, packs, keys).filter("entry = 'fuzzy'")
+    held = candidates.withColumn("_held", F.monotonically_increasing_id())
+    accepted = fuzzy_accepts(F.col("pattern"), F.col("matched_text")) & (F.col("_held") >= 0)
+    return held.filter(accepted).drop("_held")
+
+
 def _per_pack(passes: DataFrame, keys: Sequence[str], languages: Sequence[str]) -> DataFrame:
     """A row per text and pack, for the few packs whose rules need the whole text."""
     chosen = F.array_intersect("run_packs", _lit_array(languages))

@@ -60,15 +60,25 @@ def _self_hits(packs: RulePacks) -> tuple[DataFrame, DataFrame]:
     return cases, run_texts(cases, packs, ["case_id"])
 
 
+def self_firing(packs: RulePacks) -> DataFrame:
+    """Per rule, regexes aside: its patterns, those that fire it, and what else they fire."""
+    cases, hits = _self_hits(packs)
+    own = F.col("hit_rule_id") == F.col("rule_id")
+    return cases.join(hits, "case_id", "left").groupBy("language", "rule_id").agg(
+        F.count_distinct("case_id").alias("n_patterns"),
+        F.count_if(own).alias("n_firing"),
+        F.count_if(~own).alias("n_others_fired"),
+    )
+
+
 def dead_rules(packs: RulePacks) -> DataFrame:
     """Rules, regexes aside, that match none of their own patterns."""
-    cases, hits = _self_hits(packs)
-    alive = cases.join(hits, "case_id").filter("hit_rule_id = rule_id").select("language", "rule_id")
-    return cases.select("language", "rule_id").distinct().join(alive, ["language", "rule_id"], "left_anti")
+    return self_firing(packs).filter("n_firing = 0").select("language", "rule_id")
 
 
-def unreached_declarations(packs: RulePacks) -> DataFrame:
-    """Categories and severities a pack declares for action and never reaches."""
+def declared_facets(packs: RulePacks) -> DataFrame:
+    """(language, facet, value, reached) for the categories and severities declared for action."""
+
     def facets(df: DataFrame, category: str, severity: str) -> DataFrame:
         pair = F.array(
             F.struct(F.lit("category").alias("facet"), F.col(category).alias("value")),
@@ -82,7 +92,15 @@ def unreached_declarations(packs: RulePacks) -> DataFrame:
     # A regex rule proved itself with its probe when the pack was read.
     by_regex = packs.rules.filter("match_type = 'regex'")
     covered = facets(reached, "category", "severity").unionByName(facets(by_regex, "category", "severity"))
-    return facets(automatic, "category", "severity").exceptAll(covered.distinct())
+    declared = facets(automatic, "category", "severity")
+    return declared.join(
+        covered.distinct().withColumn("reached", F.lit(True)), ["language", "facet", "value"], "left"
+    ).fillna({"reached": False})
+
+
+def unreached_declarations(packs: RulePacks) -> DataFrame:
+    """Categories and severities a pack declares for action and never reaches."""
+    return declared_facets(packs).filter("NOT reached").drop("reached")
 
 
 def acting_review_patterns(packs: RulePacks) -> DataFrame:
