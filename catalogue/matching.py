@@ -80,7 +80,7 @@ TALK_MATCHES = f"{TALK_TEXTS}, {hit_ctes('conv_id, turn')}"
 
 def _doc_branch(spark, sf, branch):
     packs = inputs.neutral_packs(spark)
-    passes = match.text_passes(inputs.documents(spark, sf), ["doc_id"], "norm", "run_packs")
+    passes = match.text_passes(inputs.documents(spark, sf), ["doc_id"], "norm", "run_packs", packs.languages)
     return branch(passes, packs, ["doc_id"])
 
 

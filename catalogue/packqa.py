@@ -29,14 +29,14 @@ vocab AS (SELECT DISTINCT word FROM ruled),
 letters AS (SELECT word, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1) AS i FROM vocab),
 marked AS (SELECT *, i - row_number() OVER (PARTITION BY word, c ORDER BY i) AS island FROM letters),
 grouped AS (SELECT word, c, min(i) AS i, count(*) AS n FROM marked GROUP BY word, c, island),
-runs AS (SELECT word, c, n, row_number() OVER (PARTITION BY word ORDER BY i) AS at,
+runs AS (SELECT word, c, n, row_number() OVER (PARTITION BY word ORDER BY i) AS place,
   regexp_matches(c, '^[{VOWELS_RE}]$') AS vowel FROM grouped),
-frames AS (SELECT word, string_agg(CASE WHEN vowel OR c IN ('0', '1', '3', '4') THEN 'a' ELSE c END, '' ORDER BY at) AS frame FROM runs GROUP BY word),
+frames AS (SELECT word, string_agg(CASE WHEN vowel OR c IN ('0', '1', '3', '4') THEN 'a' ELSE c END, '' ORDER BY place) AS frame FROM runs GROUP BY word),
 near AS (SELECT p.word AS pattern, t.word AS token FROM (SELECT DISTINCT word FROM ruled WHERE fuzzy) p
   JOIN frames fp ON fp.word = p.word JOIN frames t ON t.frame = fp.frame WHERE length(t.word) <= length(p.word) + 6),
 costs AS (SELECT pattern, token, sum(CASE WHEN p.c = t.c AND p.n = t.n THEN 0 WHEN p.c = t.c OR (p.vowel AND t.vowel)
     OR (t.c, strip_accents(p.c)) IN (('0', 'o'), ('1', 'i'), ('3', 'e'), ('4', 'a')) THEN 1 ELSE 99 END) AS cost
-  FROM near JOIN runs p ON p.word = pattern JOIN runs t ON t.word = token AND t.at = p.at GROUP BY pattern, token),
+  FROM near JOIN runs p ON p.word = pattern JOIN runs t ON t.word = token AND t.place = p.place GROUP BY pattern, token),
 fuzzy_pairs AS (SELECT pattern, token FROM costs WHERE cost <= CASE WHEN length(pattern) >= 6 THEN 2 ELSE 1 END),
 fires AS (SELECT language, word AS token, rule_id, category, severity, review FROM ruled WHERE NOT fuzzy
   UNION ALL SELECT language, token, rule_id, category, severity, review FROM ruled JOIN fuzzy_pairs ON pattern = word WHERE fuzzy)"""
@@ -247,7 +247,7 @@ def mutations(spark, sf):
 
     tried = packqa.mutations(words).withColumn("got", fuzzy_accepts(F.col("pattern"), F.col("token")))
     return tried.groupBy("language", "kind", "accepted").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("got = accepted").alias("n_as_promised")
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("got") == F.col("accepted")).alias("n_as_promised")
     )
 
 

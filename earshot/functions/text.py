@@ -48,28 +48,47 @@ def _java_class(points: list[int]) -> str:
     return "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in _as_ranges(points))
 
 
+@lru_cache(maxsize=1)
+def _joins_backwards() -> frozenset[str]:
+    """Characters that some canonical composition takes as its second part."""
+    pairs = (unicodedata.decomposition(chr(p)).split() for p in range(0x110000))
+    return frozenset(chr(int(pair[1], 16)) for pair in pairs if len(pair) == 2 and pair[0][0] != "<")
+
+
 def _is_plain(point: int) -> bool:
-    """Lower-casing alone folds this character, and it never composes with a neighbour."""
+    """Does the JVM fold this character as Python does, whatever stands beside it?
+
+    It must be as old as both engines' tables, unchanged by NFKC alone or joined to a
+    neighbour, and lower-cased to what casefold gives; or be no letter in any reading.
+    """
     char = chr(point)
+    if unicodedata.ucd_3_2_0.category(char) == "Cn" and point < 0x1F000:
+        return False
+    if unicodedata.combining(char) or char in _joins_backwards():
+        return False
+    if normalize_text(char) == "":
+        # Never an L or N category: it turns into a space either way.
+        return unicodedata.category(char)[0] not in "LNC" or point in (0x9, 0xA, 0xD)
+    folded = "σ" if char in "Σς" else char.lower()
     return (
         unicodedata.normalize("NFKC", char) == char
-        and unicodedata.combining(char) == 0
-        and len(char.lower()) == 1
-        and char.casefold() in (char.lower(), "ss")
-        and unicodedata.normalize("NFKC", char.casefold()) == char.casefold()
+        and len(folded) == 1
+        and (char.casefold() == folded or char == "ß")
+        and unicodedata.normalize("NFKC", folded) == folded
     )
 
 
+# Scripts the JVM path covers: Latin, Greek, Cyrillic, punctuation, symbols, emoji.
+_PLAIN_BLOCKS = (
+    (0x9, 0x52F), (0x1E00, 0x1EFF), (0x2010, 0x206F), (0x20A0, 0x20BF), (0x2190, 0x27BF),
+    (0x1F300, 0x1FAFF),
+)
+
+
 @lru_cache(maxsize=1)
 def plain_class() -> str:
-    """Java character class of the letters and signs the JVM folds exactly.
-
-    Latin with its usual accents, and Cyrillic; the rule is _is_plain, checked one
-    character at a time when this is first used.
-    """
-    blocks = [*range(0x20, 0x250), *range(0x400, 0x460), *range(0x2010, 0x2028)]
-    blocks += [0x9, 0xA, 0xD, 0x20AC]
-    return _java_class(sorted(p for p in blocks if _is_plain(p)))
+    """Java character class of the characters the JVM folds exactly, by _is_plain."""
+    return _java_class([p for low, high in _PLAIN_BLOCKS for p in range(low, high + 1) if _is_plain(p)])
 
 
 @lru_cache(maxsize=1)
@@ -94,11 +113,6 @@ def _normalize_udf(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_text, na_action="ignore")
 
 
-# The optimizer would copy a deterministic one into every pushed-down filter on its result
-# and run it twice.
-_normalize_udf = _normalize_udf.asNondeterministic()
-
-
 @F.pandas_udf(StringType())
 def _remove_marks_udf(texts: pd.Series) -> pd.Series:
     return texts.map(remove_marks, na_action="ignore")
@@ -111,9 +125,8 @@ def normalize(text: Column) -> Column:
     rest arrive there as nulls and cost nothing.
     """
     plain = text.rlike(f"\\A[{plain_class()}]*\\z")
-    in_jvm = F.trim(
-        F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]+", " ")
-    )
+    folded = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    in_jvm = F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
     return F.when(plain, in_jvm).otherwise(_normalize_udf(F.when(~plain, text)))
 
 

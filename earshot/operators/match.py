@@ -79,14 +79,25 @@ def _window_text(toks: Column, start: Column, n: Column) -> Column:
 # --- branches ----------------------------------------------------------------------
 
 
-def text_passes(texts: DataFrame, keys: Sequence[str], text: str, run_packs: str) -> DataFrame:
-    """Pass 1 is the text itself; pass 2 its spelled-out form, where that differs."""
+def _lit_array(values: Sequence[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def text_passes(
+    texts: DataFrame, keys: Sequence[str], text: str, run_packs: str, languages: Sequence[str]
+) -> DataFrame:
+    """Pass 1 is the text itself; pass 2 its spelled-out form, where that differs.
+
+    Only texts that run a pack of these languages: said first, so that the filter
+    reaches the scan and the others are not even normalised.
+    """
     joined = tx.join_spelled_out(F.col("t"))
     first = F.struct(F.lit(1).alias("pass"), F.col("t").alias("t"))
     second = F.struct(F.lit(2).alias("pass"), F.col("j").alias("t"))
     both = F.when(F.col("j") == F.col("t"), F.array(first)).otherwise(F.array(first, second))
     return (
-        texts.select(*keys, F.col(run_packs).alias("run_packs"), F.col(text).alias("t"))
+        texts.filter(F.arrays_overlap(run_packs, _lit_array(languages)))
+        .select(*keys, F.col(run_packs).alias("run_packs"), F.col(text).alias("t"))
         .withColumn("j", joined)
         .select(*keys, "run_packs", F.inline(both))
     )
@@ -124,10 +135,6 @@ def anchors(packs: RulePacks) -> DataFrame:
     return phrases.unionByName(fuzzy)
 
 
-def _lit_array(values: Sequence[str]) -> Column:
-    return F.array(*map(F.lit, values)).cast("array<string>")
-
-
 def token_hits(passes: DataFrame, packs: RulePacks, keys: Sequence[str]) -> DataFrame:
     """Exact phrases, allow spans and fuzzy candidates.
 
@@ -302,12 +309,13 @@ def all_hits(
     run_packs: str = "run_packs",
 ) -> DataFrame:
     """Every occurrence of every pattern and allow term, before suppression."""
-    passes = text_passes(texts, keys, text, run_packs)
-    branches = [token_hits(passes, packs, keys)]
-    if packs.of_type("contains"):
-        branches.append(contains_hits(passes, packs, keys))
-    if packs.of_type("regex"):
-        branches.append(regex_hits(passes, packs, keys))
+    def passes(languages: Sequence[str]) -> DataFrame:
+        return text_passes(texts, keys, text, run_packs, languages)
+
+    branches = [token_hits(passes(packs.languages), packs, keys)]
+    for match_type, branch in (("contains", contains_hits), ("regex", regex_hits)):
+        if packs.of_type(match_type):
+            branches.append(branch(passes(packs.of_type(match_type)), packs, keys))
     return reduce(DataFrame.unionByName, branches)
 
 
