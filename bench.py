@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from catalogue import feeds, inputs  # noqa: E402
+from catalogue.registry import ship_package  # noqa: E402
 from earshot.operators import match, request_log, usage, verdict  # noqa: E402
+from earshot.plans.sizing import scratch_dir  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -34,8 +36,6 @@ def session() -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
-        # Small files still make one task per core.
-        .config("spark.sql.files.maxPartitionBytes", str(2 * 1024 * 1024))
         .config("spark.sql.files.openCostInBytes", "65536")
         .getOrCreate()
     )
@@ -43,6 +43,18 @@ def session() -> SparkSession:
     return spark
 
 
+def spread_tables(spark: SparkSession) -> str:
+    """The tables as the many files a large table has, made before the clock starts.
+
+    Each test table is one file of one row group, which one task would read alone.
+    """
+    folder = scratch_dir(spark, "bench-tables")
+    for name in ("documents", "conversations", "events"):
+        table = inputs.table(spark, SF_DIR, name)
+        table.repartition(2 * int(CPUS)).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
 def of_types(packs, *kinds):
     """packs with only the rules of these match types."""
     chosen = F.col("match_type").isin(*kinds)
@@ -52,11 +64,11 @@ def of_types(packs, *kinds):
     )
 
 
-def cases(spark: SparkSession) -> dict[str, DataFrame]:
+def cases(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     packs = inputs.neutral_packs(spark)
-    docs = inputs.documents(spark, SF_DIR)
-    talk = inputs.conversations(spark, SF_DIR)
-    log = inputs.event_log(spark, SF_DIR)
+    docs = inputs.documents(spark, sf)
+    talk = inputs.conversations(spark, sf)
+    log = inputs.event_log(spark, sf)
     limited = log.select("event_id", "tenant_key", "server_id", "occurred_at", F.lit(3).alias("lim"))
     every = docs.withColumn("run_packs", F.array(*map(F.lit, inputs.INSTALLED)))
     found = match.match_texts(docs, packs, ["doc_id"])
@@ -67,16 +79,16 @@ def cases(spark: SparkSession) -> dict[str, DataFrame]:
         "match_exact_fuzzy": match.match_texts(docs, of_types(packs, "exact", "fuzzy"), ["doc_id"]),
         "match_full": found,
         "match_full_all_packs": match.match_texts(every, packs, ["doc_id"]),
-        "match_word_packs": match.match_texts(docs, inputs.word_packs(spark, SF_DIR), ["doc_id"]),
+        "match_word_packs": match.match_texts(docs, inputs.word_packs(spark, sf), ["doc_id"]),
         "verdicts_documents": verdict.verdicts(docs, found, ["doc_id"]),
         "verdicts_conversations": verdict.verdicts(talk, match.match_texts(talk, packs, turn), turn),
-        "flagged_events": feeds.feed(spark, SF_DIR),
+        "flagged_events": feeds.feed(spark, sf),
         "usage": usage.usage(log),
         "usage_snapshots": usage.cumulative_snapshots(usage.usage_intervals(log)),
         "rate_limit": request_log.rate_limit(
             limited, ["tenant_key", "server_id"], "lim", tie=["event_id"], window_seconds=86_400
         ),
-        "replays": request_log.mark_replays(inputs.replay_log(spark, SF_DIR), ["scope", "request_id"]),
+        "replays": request_log.mark_replays(inputs.replay_log(spark, sf), ["scope", "request_id"]),
     }
 
 
@@ -91,7 +103,8 @@ def best_of(df: DataFrame, runs: int = 2) -> float:
 
 def main() -> None:
     spark = session()
-    queries = {name: best_of(df) for name, df in cases(spark).items()}
+    ship_package(spark)
+    queries = {name: best_of(df) for name, df in cases(spark, spread_tables(spark)).items()}
     n_docs, n_chars = inputs.table(spark, SF_DIR, "documents").agg(F.count(F.lit(1)), F.sum("n_chars")).first()
     n_events = inputs.table(spark, SF_DIR, "events").count()
     full = queries["match_full"]

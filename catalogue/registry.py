@@ -1,19 +1,45 @@
 from __future__ import annotations
 
+import os
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from earshot.plans.sizing import scratch_dir
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, wherever the driver was started from."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    folder = Path(scratch_dir(spark, "code").removeprefix("file:"))
+    if "://" in str(folder) or not os.access(folder.parent, os.W_OK):
+        folder = Path(os.environ.get("SPARK_LOCAL_DIRS", "/tmp").split(",")[0]) / folder.name
+    folder.mkdir(parents=True)
+    archive = folder / "earshot.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in [*root.glob("earshot/**/*.py"), *root.glob("catalogue/*.py")]:
+            out.write(source, source.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(spark.sparkContext.applicationId)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its name, with the SQL that must give the same rows."""
 
     def register(run: Query) -> Query:
         def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             return run(spark, sf_dir)
 

@@ -80,7 +80,7 @@ def _is_plain(point: int) -> bool:
 
 # Scripts the JVM path covers: Latin, Greek, Cyrillic, punctuation, symbols, emoji.
 _PLAIN_BLOCKS = (
-    (0x9, 0x52F), (0x1E00, 0x1EFF), (0x2010, 0x206F), (0x20A0, 0x20BF), (0x2190, 0x27BF),
+    (0x9, 0x7F), (0x80, 0x17F), (0x180, 0x36F), (0x370, 0x52F), (0x1E00, 0x1EFF), (0x2010, 0x206F), (0x20A0, 0x20BF), (0x2190, 0x27BF),
     (0x1F300, 0x1FAFF),
 )
 
@@ -88,7 +88,11 @@ _PLAIN_BLOCKS = (
 @lru_cache(maxsize=1)
 def plain_class() -> str:
     """Java character class of the characters the JVM folds exactly, by _is_plain."""
-    return _java_class([p for low, high in _PLAIN_BLOCKS for p in range(low, high + 1) if _is_plain(p)])
+    # A class per block, ASCII first: Java asks one range after another, so that a letter of
+    # a common script is settled after a few instead of all of them.
+    return "".join(
+        f"[{_java_class([p for p in range(low, high + 1) if _is_plain(p)])}]" for low, high in _PLAIN_BLOCKS
+    )
 
 
 @lru_cache(maxsize=1)
@@ -127,7 +131,7 @@ def normalize(text: Column) -> Column:
     plain = text.rlike(f"\\A[{plain_class()}]*\\z")
     folded = F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
     in_jvm = F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain, in_jvm).otherwise(_normalize_udf(F.when(~plain, text)))
+    return F.coalesce(_normalize_udf(F.when(~plain, text)), in_jvm)
 
 
 def without_marks(text: Column) -> Column:
