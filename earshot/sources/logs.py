@@ -79,7 +79,7 @@ def append_events(events: DataFrame, path: str, horizon_days: int | None = None)
     fresh = events.dropDuplicates(list(ev.EVENT_KEY)).withColumn("event_date", F.to_date("occurred_at"))
     if _exists(spark, path):
         held = spark.read.schema(
-            StructType(schemas.FLAGGED_EVENTS.fields).add("event_date", "date")
+            StructType([*schemas.FLAGGED_EVENTS.fields]).add("event_date", "date")
         ).parquet(path)
         if horizon_days is not None:
             bounds = events.agg(
