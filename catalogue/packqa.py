@@ -177,16 +177,15 @@ def _phrase_packs(spark, sf, phrase):
     )
 
 
-TWINNED = "CASE substr(md5(word), 6, 1) WHEN '0' THEN concat('i ll ', word) WHEN '1' THEN concat('ill ', word) WHEN '2' THEN concat('so i ll ', word) END"
+TWINNED = "CASE length(word) % 3 WHEN 0 THEN concat('i ll ', word) WHEN 1 THEN concat('ill ', word) ELSE concat('so i ll ', word) END"
 
 
 @query("q10_contractions", f"""WITH {RULED}, p AS (SELECT language, concat(rule_id, '-p') AS rule_id, {TWINNED} AS pattern FROM ruled WHERE language = 'en')
 SELECT language, rule_id, pattern, CASE WHEN contains(pattern, 'i ll ') THEN replace(pattern, 'i ll ', 'ill ') ELSE replace(pattern, 'ill ', 'i ll ') END AS twin
 FROM p WHERE pattern IS NOT NULL""")
 def contractions(spark, sf):
-    twinned = TWINNED.replace("md5(word)", "md5(word)")
     pairs = spark.createDataFrame([("i ll", "ill"), ("don t", "dont")], "spaced string, joined string")
-    return packqa.missing_contraction_twins(_phrase_packs(spark, sf, twinned), pairs)
+    return packqa.missing_contraction_twins(_phrase_packs(spark, sf, TWINNED), pairs)
 
 
 @query("q11_plain_twins", f"""WITH {RULED} SELECT language, rule_id, word AS pattern, strip_accents(word) AS twin FROM ruled WHERE strip_accents(word) <> word""")
@@ -266,12 +265,12 @@ def vocabulary_sweep(spark, sf):
     return packqa.vocabulary_hits(pages, inputs.neutral_packs(spark))
 
 
-DOUBLED = "CASE WHEN substr(md5(word), 7, 1) IN ('0', '1') THEN concat(word, ' ', word) END"
+DOUBLED = "concat(word, ' ', word)"
 
 
 @query("q18_defeated_phrases", f"""WITH {FIRES}
 SELECT r.language, concat(r.rule_id, '-p') AS rule_id, concat(word, ' ', word) AS pattern, f.rule_id AS matched_rule_id
-FROM ruled r JOIN fires f ON f.language = r.language AND f.token = r.word WHERE substr(md5(word), 7, 1) IN ('0', '1')""")
+FROM ruled r JOIN fires f ON f.language = r.language AND f.token = r.word""")
 def defeated(spark, sf):
     return packqa.defeated_phrases(_phrase_packs(spark, sf, DOUBLED))
 

@@ -48,10 +48,11 @@ def verdicts(
 ) -> DataFrame:
     """A verdict for every text, clean ones included.
 
-    The texts are shuffled by key at most once, and not at all when they are bucketed by
-    it. The matches are the build side: they are the sparse one.
+    The texts are shuffled by key at most once: not at all when they are bucketed by it,
+    or when at run time the matches turn out small enough to be broadcast. No join is
+    forced, since how dense matches are is for the run to find out.
     """
-    gathered = gather_matches(matches, keys).hint("shuffle_hash")
+    gathered = gather_matches(matches, keys)
     joined = texts.join(gathered, list(keys), "left").select(
         texts["*"],
         F.coalesce("rule_matches", F.array().cast(gathered.schema["rule_matches"].dataType)).alias("rule_matches"),

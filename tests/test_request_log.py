@@ -130,3 +130,30 @@ def test_single_language_model_always_heard_it(spark):
     one = [r[0] for r in df.select(route.heard_language(F.col("d"), ("en",))).collect()]
     two = [r[0] for r in df.select(route.heard_language(F.col("d"), ("en", "fr"))).collect()]
     assert one == ["en"] * 4 and two == ["fr", None, None, None]
+
+
+def test_a_saturated_server_with_a_third_of_the_log(spark):
+    """Far more refused than passed: the scan skips from one free place to the next."""
+    hot = [("hot", 10**15 + i * 5_000, i, 7) for i in range(60_000)]
+    rest = [(f"s{i % 500}", 10**15 + i * 700_000, 100_000 + i, 7) for i in range(2_000)]
+    df = spark.createDataFrame(hot + rest, "k string, us long, id long, lim int").withColumn(
+        "occurred_at", F.timestamp_micros("us"))
+    got = request_log.rate_limit(df, ["k"], "lim", tie=["id"]).collect()
+    assert {r.id: (r.rate_limited, r.retry_after_s) for r in got} == rate_model(hot + rest, 60)
+
+
+def test_limits_may_differ_within_a_server(spark):
+    rng = random.Random(8)
+    rows = [("s", 10**15 + i * 2 * 10**6, i, rng.choice([2, 5])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, us long, id long, lim int").withColumn(
+        "occurred_at", F.timestamp_micros("us"))
+    got = request_log.rate_limit(df, ["k"], "lim", tie=["id"]).collect()
+    assert {r.id: (r.rate_limited, r.retry_after_s) for r in got} == rate_model(rows, 60)
+
+
+def test_one_id_copied_all_day(spark):
+    rows = [("hot", 10**15 + i * 40_000, i, "d", True) for i in range(30_000)] + [(f"k{i}", 10**15 + i, 50_000 + i, "d", True) for i in range(1_000)]
+    df = spark.createDataFrame(rows, "k string, us long, row_id long, digest string, ok boolean").withColumn(
+        "occurred_at", F.timestamp_micros("us"))
+    got = request_log.mark_replays(df, ["k"]).collect()
+    assert {r.row_id: (r.is_replay, r.is_conflict) for r in got} == replay_model(rows, 120)
