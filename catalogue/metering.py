@@ -118,19 +118,17 @@ SELECT 'both' AS part, l AS language FROM d WHERE l IN (SELECT l FROM n)
 UNION ALL SELECT 'packs only', l FROM d WHERE l NOT IN (SELECT l FROM n)
 UNION ALL SELECT 'models only', l FROM n WHERE l NOT IN (SELECT l FROM d)""")
 def language_sets(spark, sf):
-    packs = inputs.table(spark, sf, "documents").agg(F.collect_set("lang").alias("packs"))
+    packs = inputs.table(spark, sf, "documents").agg(F.collect_set("lang")).scalar()
     nations = inputs.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     heard = inputs.table(spark, sf, "customer").join(F.broadcast(nations), "c_nationkey").agg(
         F.collect_set(F.lower(F.substring("n_name", 1, 2))).alias("models")
-    )
+    ).withColumn("packs", packs)
     parts = F.array(
         F.struct(F.lit("both").alias("part"), F.array_intersect("packs", "models").alias("codes")),
         F.struct(F.lit("packs only").alias("part"), F.array_except("packs", "models").alias("codes")),
         F.struct(F.lit("models only").alias("part"), F.array_except("models", "packs").alias("codes")),
     )
-    # Two one-row tables side by side.
-    sets = packs.withColumn("one", F.lit(1)).join(heard.withColumn("one", F.lit(1)), "one")
-    return sets.select(F.inline(parts)).select("part", F.explode("codes").alias("language"))
+    return heard.select(F.inline(parts)).select("part", F.explode("codes").alias("language"))
 
 
 @query("a7_top_match", f"""WITH {DOC_MATCHES}

@@ -103,7 +103,7 @@ def _with_allow(spark, sf, term, where="true"):
     ).withColumn("n_tokens", F.size(tx.tokens(F.col("term"))))
     table = terms.toArrow()
     local = spark.createDataFrame(table, schemas.ALLOW_TERMS)
-    return replace(packs, allow_terms=local, n_allow=table.num_rows)
+    return replace(packs, allow_terms=local, n_allow=table.num_rows, allow_languages=packs.languages)
 
 
 SHADOW = "CASE WHEN substr(md5(word), 3, 1) = '0' THEN word ELSE concat(word, 'qx') END"
@@ -184,7 +184,7 @@ TWINNED = "CASE length(word) % 3 WHEN 0 THEN concat('i ll ', word) WHEN 1 THEN c
 SELECT language, rule_id, pattern, CASE WHEN contains(pattern, 'i ll ') THEN replace(pattern, 'i ll ', 'ill ') ELSE replace(pattern, 'ill ', 'i ll ') END AS twin
 FROM p WHERE pattern IS NOT NULL""")
 def contractions(spark, sf):
-    pairs = spark.createDataFrame([("i ll", "ill"), ("don t", "dont")], "spaced string, joined string")
+    pairs = (("i ll", "ill"), ("don t", "dont"))
     return packqa.missing_contraction_twins(_phrase_packs(spark, sf, TWINNED), pairs)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from earshot import domains
 from earshot.functions import text as tx
-from earshot.plans.sizing import broadcast_slices
+from earshot.plans.sizing import broadcast_counted, broadcast_slices
 from earshot.sources.packs import RulePacks, compile_rule_regex
 
 # What every branch hands on, besides the keys of the text.
@@ -267,14 +267,9 @@ _regex_spans = _regex_spans.asNondeterministic()
 
 
 def _regex_table(packs: RulePacks) -> DataFrame:
-    languages = packs.allow_terms.select("language").distinct().withColumn("has_allow", F.lit(True))
-    return (
-        packs.patterns.filter("match_type = 'regex'")
-        .join(F.broadcast(languages), "language", "left")
-        .select(
-            "language", "rule_ord", "pattern_ord", "pattern", "prefilter",
-            F.col("has_allow").isNull().alias("first_only"),
-        )
+    allows = F.col("language").isin(*packs.allow_languages)
+    return packs.patterns.filter("match_type = 'regex'").select(
+        "language", "rule_ord", "pattern_ord", "pattern", "prefilter", (~allows).alias("first_only")
     )
 
 
@@ -289,7 +284,10 @@ def regex_hits(passes: DataFrame, packs: RulePacks, keys: Sequence[str]) -> Data
     may_match = F.col("prefilter").isNull() | F.regexp_like(
         F.translate(F.col("t"), "ı", "i"), F.col("prefilter")
     )
-    candidates = per_pack.join(F.broadcast(_regex_table(packs)), "language").filter(may_match)
+    parts = broadcast_slices(_regex_table(packs), packs.n_patterns)
+    candidates = reduce(
+        DataFrame.unionByName, [per_pack.join(part, "language").filter(may_match) for part in parts]
+    )
     return (
         candidates.withColumn("spans", _regex_spans("t", "pattern", "first_only"))
         .select(
@@ -377,7 +375,6 @@ def match_texts(
     the order they report. keys must identify a row.
     """
     hits = suppress_allowed(all_hits(texts, packs, keys, text, run_packs), keys)
-    # The rules are as bounded as their patterns are: there is at least one for each.
     return join_rules(first_hit_per_rule(hits, keys), packs, keys)
 
 
@@ -385,7 +382,9 @@ def join_rules(found: DataFrame, packs: RulePacks, keys: Sequence[str]) -> DataF
     rules = packs.rules.select(
         "language", "rule_ord", "rule_id", "category", "severity", "context_required"
     )
-    return found.join(F.broadcast(rules), ["language", "rule_ord"]).select(
+    # Every rule has a pattern, so there are no more of them.
+    small = broadcast_counted(rules, packs.n_patterns)
+    return found.join(small, ["language", "rule_ord"]).select(
         *keys, "pack_ord", "pass", "rule_ord", "language", "rule_id", "category", "severity",
         "matched_text", "context_required",
     )

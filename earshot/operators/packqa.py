@@ -15,6 +15,7 @@ from earshot import domains
 from earshot.functions import text as tx
 from earshot.operators import match
 from earshot.operators.verdict import acting_severity
+from earshot.plans.sizing import broadcast_counted
 from earshot.sources.packs import RulePacks
 
 def listed(packs: RulePacks, with_regex: bool = False) -> DataFrame:
@@ -26,7 +27,7 @@ def listed(packs: RulePacks, with_regex: bool = False) -> DataFrame:
     return patterns.select(
         "language", "rule_id", "rule_ord", "match_type", "pattern_ord", "pattern", "n_tokens",
         "n_chars",
-    ).join(F.broadcast(rules), ["language", "rule_ord"])
+    ).join(broadcast_counted(rules, packs.n_patterns), ["language", "rule_ord"])
 
 
 def run_texts(cases: DataFrame, packs: RulePacks, case_keys: Sequence[str]) -> DataFrame:
@@ -190,7 +191,7 @@ def uneven_fuzzy_patterns(patterns: DataFrame) -> DataFrame:
 
 
 def missing_contraction_twins(
-    packs: RulePacks, pairs: DataFrame, languages: Sequence[str] = ("en",)
+    packs: RulePacks, pairs: Sequence[tuple[str, str]], languages: Sequence[str] = ("en",)
 ) -> DataFrame:
     """Patterns with one spelling of a contraction whose rule lacks the other.
 
@@ -208,11 +209,9 @@ def missing_contraction_twins(
     twin = F.when(has(spaced), tx.replace_word_once(F.col("pattern"), spaced, joined)).when(
         has(joined), tx.replace_word_once(F.col("pattern"), joined, spaced)
     )
-    # Pairs go beside each pattern as one array; there are a handful.
-    gathered = pairs.agg(F.collect_list(F.struct("spaced", "joined")).alias("pairs"))
+    both = F.array(*[F.struct(F.lit(s).alias("spaced"), F.lit(j).alias("joined")) for s, j in pairs])
     expected = (
-        own.join(F.broadcast(gathered))
-        .select("language", "rule_id", "pattern", F.inline("pairs"))
+        own.select("language", "rule_id", "pattern", F.inline(both))
         .withColumn("twin", twin)
         .filter("twin IS NOT NULL")
     )

@@ -106,9 +106,8 @@ def languages_without_packs(models: DataFrame, rules: DataFrame) -> DataFrame:
 
 def packs_without_model(models: DataFrame, rules: DataFrame) -> DataFrame:
     """(model_id, language) with a pack that a model will never produce text for."""
-    packs = rules.select("language").distinct().crossJoin(models.select("model_id").distinct())
-    heard = models.select("model_id", F.explode("languages").alias("language"))
-    return packs.join(heard, ["model_id", "language"], "left_anti").select("model_id", "language")
+    packs = rules.agg(F.collect_set("language")).scalar()
+    return models.select("model_id", F.explode(F.array_except(packs, F.col("languages"))).alias("language"))
 
 
 # --- the cascade -------------------------------------------------------------------

@@ -23,6 +23,11 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> D
     return F.broadcast(df)
 
 
+def broadcast_counted(df: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if n_rows, its size or a bound on it, allows that."""
+    return F.broadcast(df) if n_rows <= max_rows else df
+
+
 def broadcast_slices(df: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> list[DataFrame]:
     """df as broadcast parts of at most about max_rows rows each.
 

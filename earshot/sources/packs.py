@@ -246,13 +246,14 @@ class RulePacks:
     match_types: dict[str, tuple[str, ...]]
     n_patterns: int
     n_allow: int
+    allow_languages: tuple[str, ...] = ()
 
     def of_type(self, match_type: str) -> tuple[str, ...]:
         """Languages that have rules of this match type."""
         return self.match_types.get(match_type, ())
 
     def without_allow(self) -> RulePacks:
-        return replace(self, allow_terms=self.allow_terms.filter("false"), n_allow=0)
+        return replace(self, allow_terms=self.allow_terms.filter("false"), n_allow=0, allow_languages=())
 
 
 def pack_tables(parsed: DataFrame, order: DataFrame) -> tuple[DataFrame, ...]:
@@ -338,7 +339,7 @@ def packs_from_files(files: DataFrame, mode: str = "failfast") -> RulePacks:
     return RulePacks(
         rules, patterns, allow_terms, rejects, tuple(in_order),
         {kind: tuple(langs) for kind, langs in by_type.items()},
-        len(pattern_rows), len(allow_rows),
+        len(pattern_rows), len(allow_rows), tuple(sorted({r["language"] for r in allow_rows})),
     )
 
 
