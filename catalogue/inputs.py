@@ -200,7 +200,7 @@ def frequent_words(spark: SparkSession, sf: str) -> DataFrame:
     sizes = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     return (
         docs.filter("length(word) >= 4").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df"))
-        .join(F.broadcast(sizes), "lang")
+        .join(sizes, "lang")
         .filter(F.col("df") >= WORD_SHARE * F.col("n_docs"))
         .select("lang", "word")
     )

@@ -120,7 +120,7 @@ UNION ALL SELECT 'models only', l FROM n WHERE l NOT IN (SELECT l FROM d)""")
 def language_sets(spark, sf):
     packs = inputs.table(spark, sf, "documents").agg(F.collect_set("lang")).scalar()
     nations = inputs.table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    heard = inputs.table(spark, sf, "customer").join(F.broadcast(nations), "c_nationkey").agg(
+    heard = inputs.table(spark, sf, "customer").join(nations, "c_nationkey").agg(
         F.collect_set(F.lower(F.substring("n_name", 1, 2))).alias("models")
     ).withColumn("packs", packs)
     parts = F.array(

@@ -128,7 +128,7 @@ def _models(spark, sf):
     nations = inputs.table(spark, sf, "nation").select(
         F.col("n_nationkey").alias("c_nationkey"), F.lower(F.substring("n_name", 1, 2)).alias("language")
     )
-    heard = inputs.table(spark, sf, "customer").join(F.broadcast(nations), "c_nationkey")
+    heard = inputs.table(spark, sf, "customer").join(nations, "c_nationkey")
     return heard.groupBy(F.col("c_mktsegment").alias("model_id")).agg(
         F.array_sort(F.collect_set("language")).alias("languages")
     )
@@ -184,7 +184,7 @@ def catalog(spark, sf):
     nations = inputs.table(spark, sf, "nation").select(
         F.col("n_nationkey").alias("c_nationkey"), F.lower(F.substring("n_name", 1, 2)).alias("code")
     )
-    counted = inputs.table(spark, sf, "customer").join(F.broadcast(nations), "c_nationkey").groupBy("code").agg(
+    counted = inputs.table(spark, sf, "customer").join(nations, "c_nationkey").groupBy("code").agg(
         F.sum("c_custkey").alias("n")
     )
     statuses = F.array(*map(F.lit, ("none", "draft", "reviewed", "verified")))

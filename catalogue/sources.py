@@ -20,7 +20,7 @@ def pack_patterns(spark, sf):
     packs = inputs.word_packs(spark, sf)
     rules = packs.rules.select("language", "rule_id", "category", "severity", "context_required", "pack_ord")
     return packs.patterns.select("language", "rule_id", "pattern", "match_type").join(
-        F.broadcast(rules), ["language", "rule_id"]
+        rules, ["language", "rule_id"]
     )
 
 
@@ -70,7 +70,7 @@ def model_registry(spark, sf):
     return _models(spark, sf).select("model_id", F.array_join("languages", ",").alias("languages"))
 
 
-# A tokens file per nation: customers are servers, some entries are faulty.
+# A tokens file per fifty customers: each is a server, some entries are faulty.
 ENTRY_OF = """CASE c_custkey % 12 WHEN 0 THEN 'unknown_keys' WHEN 1 THEN 'invalid_plan' WHEN 2 THEN 'invalid_languages' WHEN 3 THEN 'invalid_rate_limit'
   WHEN 4 THEN 'invalid_expiry' WHEN 5 THEN 'invalid_token' WHEN 6 THEN 'duplicate_token' END"""
 
@@ -83,10 +83,10 @@ def _token_files(spark, sf):
         WHEN 'invalid_rate_limit' THEN ', "rate-limit-per-minute": "5"' WHEN 'invalid_expiry' THEN ', "expires": "soon"'
         ELSE ', "languages": ["fr", "en"], "rate-limit-per-minute": 60, "expires": "2026-01-01T00:00:00+02:00"' END, '}') END""")
     named = customers.select(
-        F.concat(F.lit("nation-"), "c_nationkey").alias("source_path"),
+        F.expr("concat('file-', c_custkey DIV 50)").alias("source_path"),
         F.concat(F.lit('"srv-'), "c_custkey", F.lit('": '), entry).alias("pair"),
     )
-    # A tokens file is one object, so its entries are gathered to write one.
+    # A tokens file is one object, so its fifty entries are gathered to write one.
     return named.groupBy("source_path").agg(
         F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ", "), F.lit("}")).alias("value")
     )
@@ -94,7 +94,7 @@ def _token_files(spark, sf):
 
 @query("s5_credentials", f"""WITH c AS (SELECT *, {ENTRY_OF} AS fault FROM customer),
 plain AS (SELECT *, c_custkey % 12 = 7 AS bare FROM c WHERE fault IS NULL
-  OR (fault = 'duplicate_token' AND c_nationkey IN (SELECT c_nationkey FROM c WHERE fault = 'duplicate_token' GROUP BY c_nationkey HAVING count(*) = 1)))
+  OR (fault = 'duplicate_token' AND c_custkey // 50 IN (SELECT c_custkey // 50 FROM c WHERE fault = 'duplicate_token' GROUP BY ALL HAVING count(*) = 1)))
 SELECT concat('srv-', c_custkey) AS server_id, upper(sha256(CASE WHEN fault IS NULL THEN concat('tok-', c_custkey) ELSE 'same' END)) AS digest, 'selfhost' AS plan,
   CASE WHEN NOT bare THEN 'en,fr' END AS languages, CASE WHEN NOT bare THEN 60 END AS rate_limit_per_minute,
   CASE WHEN NOT bare THEN epoch_us(TIMESTAMP '2025-12-31 22:00:00') END AS expires_us FROM plain""")
@@ -107,8 +107,8 @@ def credentials(spark, sf):
 
 
 @query("s5_credential_rejects", f"""WITH c AS (SELECT *, {ENTRY_OF} AS fault FROM customer)
-SELECT concat('nation-', c_nationkey) AS source_path, concat('srv-', c_custkey) AS server_id, fault AS code FROM c
-WHERE fault IS NOT NULL AND NOT (fault = 'duplicate_token' AND c_nationkey IN
-  (SELECT c_nationkey FROM c WHERE fault = 'duplicate_token' GROUP BY c_nationkey HAVING count(*) = 1))""")
+SELECT concat('file-', c_custkey // 50) AS source_path, concat('srv-', c_custkey) AS server_id, fault AS code FROM c
+WHERE fault IS NOT NULL AND NOT (fault = 'duplicate_token' AND c_custkey // 50 IN
+  (SELECT c_custkey // 50 FROM c WHERE fault = 'duplicate_token' GROUP BY ALL HAVING count(*) = 1))""")
 def credential_rejects(spark, sf):
     return registry.parse_credentials(_token_files(spark, sf))[1]

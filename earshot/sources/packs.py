@@ -261,7 +261,7 @@ def pack_tables(parsed: DataFrame, order: DataFrame) -> tuple[DataFrame, ...]:
 
     order maps source_path to pack_ord.
     """
-    entries = parsed.join(F.broadcast(order), "source_path")
+    entries = parsed.join(order, "source_path")
     rules = entries.filter("entry = 'rule'").select(
         "language", F.col("pack_ord").cast("int"), "rule_ord", "rule_id", "category", "severity",
         "match_type", "context_required",

@@ -94,3 +94,14 @@ def test_stamps(spark):
 @pytest.mark.parametrize("text", ["Straße", "ΟΔΟΣ", "½"])
 def test_python_helper_agrees_with_model(text):
     assert tx.normalize_text(text) == model.normal(text)
+
+
+def test_one_very_long_token(spark):
+    """No recursion on the length of a text or a run."""
+    from earshot.operators.match import fuzzy_accepts
+
+    long = "b" + "a" * 300_000 + "nana"
+    df = spark.createDataFrame([(long,), ("x " * 100_000,)], "v string")
+    got = df.select(F.length(tx.skeleton(tx.join_spelled_out(tx.normalize(F.col("v")))))).collect()
+    assert [r[0] for r in got] == [6, 1]
+    assert not df.filter(F.length("v") > 250_000).select(fuzzy_accepts(F.lit("banana"), F.col("v"))).first()[0]
