@@ -10,7 +10,6 @@ import json
 import os
 import sys
 import time
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +32,7 @@ def session() -> SparkSession:
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
@@ -55,15 +55,6 @@ def spread_tables(spark: SparkSession) -> str:
     return folder
 
 
-def of_types(packs, *kinds):
-    """packs with only the rules of these match types."""
-    chosen = F.col("match_type").isin(*kinds)
-    return replace(
-        packs, rules=packs.rules.filter(chosen), patterns=packs.patterns.filter(chosen),
-        match_types={k: v for k, v in packs.match_types.items() if k in kinds},
-    )
-
-
 def cases(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     packs = inputs.neutral_packs(spark)
     docs = inputs.documents(spark, sf)
@@ -75,8 +66,8 @@ def cases(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     turn = ["conv_id", "turn"]
     return {
         "normalize": docs.select("doc_id", "norm"),
-        "match_exact": match.match_texts(docs, of_types(packs, "exact"), ["doc_id"]),
-        "match_exact_fuzzy": match.match_texts(docs, of_types(packs, "exact", "fuzzy"), ["doc_id"]),
+        "match_exact": match.match_texts(docs, packs.with_types("exact"), ["doc_id"]),
+        "match_exact_fuzzy": match.match_texts(docs, packs.with_types("exact", "fuzzy"), ["doc_id"]),
         "match_full": found,
         "match_full_all_packs": match.match_texts(every, packs, ["doc_id"]),
         "match_word_packs": match.match_texts(docs, inputs.word_packs(spark, sf), ["doc_id"]),

@@ -78,10 +78,10 @@ DOC_MATCHES = f"{DOC_TEXTS}, {hit_ctes('doc_id')}"
 TALK_MATCHES = f"{TALK_TEXTS}, {hit_ctes('conv_id, turn')}"
 
 
-def _doc_branch(spark, sf, branch):
-    packs = inputs.neutral_packs(spark)
-    passes = match.text_passes(inputs.documents(spark, sf), ["doc_id"], "norm", "run_packs", packs.languages)
-    return branch(passes, packs, ["doc_id"])
+def _doc_hits(spark, sf, kind):
+    """Occurrences of one match type in the documents, allow spans beside them."""
+    packs = inputs.neutral_packs(spark).with_types(kind)
+    return match.all_hits(inputs.documents(spark, sf), packs, ["doc_id"])
 
 
 def _spots(df, *extra):
@@ -100,28 +100,28 @@ def _spots_sql(source: str) -> str:
 
 @query("m1_exact_hits", _spots_sql("exact_hits"))
 def exact_hits(spark, sf):
-    return _spots(_doc_branch(spark, sf, match.token_hits).filter("entry = 'exact'"))
+    return _spots(_doc_hits(spark, sf, "exact").filter("entry = 'exact'"))
 
 
 @query("m2_contains_hits", _spots_sql("contains_hits"))
 def contains_hits(spark, sf):
-    return _spots(_doc_branch(spark, sf, match.contains_hits))
+    return _spots(_doc_hits(spark, sf, "contains").filter("entry = 'contains'"))
 
 
 @query("m3_regex_hits", _spots_sql("regex_hits"))
 def regex_hits(spark, sf):
-    return _spots(_doc_branch(spark, sf, match.regex_hits))
+    return _spots(_doc_hits(spark, sf, "regex").filter("entry = 'regex'"))
 
 
 @query("m4_fuzzy_hits", _spots_sql("fuzzy_hits"))
 def fuzzy_hits(spark, sf):
-    return _spots(_doc_branch(spark, sf, match.fuzzy_hits))
+    return _spots(match.accepted_fuzzy(_doc_hits(spark, sf, "fuzzy")))
 
 
 @query("m5_allow_spans", f"""WITH {DOC_MATCHES}
 SELECT doc_id, pass, (lo - 1)::INTEGER AS lo, (hi - 1)::INTEGER AS hi FROM spans""")
 def allow_spans(spark, sf):
-    spans = _doc_branch(spark, sf, match.token_hits).filter("entry = 'allow'")
+    spans = _doc_hits(spark, sf, "exact").filter("entry = 'allow'")
     return spans.select("doc_id", "pass", F.col("tok_start").alias("lo"), F.col("tok_end").alias("hi"))
 
 

@@ -24,12 +24,6 @@ from earshot.functions import text as tx
 from earshot.plans.sizing import broadcast_counted, broadcast_slices
 from earshot.sources.packs import RulePacks, compile_rule_regex
 
-# What every branch hands on, besides the keys of the text.
-HIT_COLUMNS = (
-    "pass", "language", "pack_ord", "entry", "rule_ord", "pattern_ord",
-    "tok_start", "tok_end", "occurrence", "matched_text", "pattern",
-)
-
 
 # --- single comparisons ------------------------------------------------------------
 
@@ -76,7 +70,11 @@ def _window_text(toks: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(toks, F.greatest(start + 1, F.lit(1)), n), " ")
 
 
-# --- branches ----------------------------------------------------------------------
+# --- finding occurrences -----------------------------------------------------------
+
+# Marks that keep other probes apart from tokens, which are letters and digits only.
+WHOLE_TEXT, SKELETON = "\u0001", "\u0002"
+WHOLE_TEXT_TYPES = ("contains", "regex")
 
 
 def _lit_array(values: Sequence[str]) -> Column:
@@ -91,30 +89,30 @@ def text_passes(
     Only texts that run a pack of these languages: said first, so that the filter
     reaches the scan and the others are not even normalised.
     """
-    joined = tx.join_spelled_out(F.col("t"))
     first = F.struct(F.lit(1).alias("pass"), F.col("t").alias("t"))
     second = F.struct(F.lit(2).alias("pass"), F.col("j").alias("t"))
     both = F.when(F.col("j") == F.col("t"), F.array(first)).otherwise(F.array(first, second))
     return (
         texts.filter(F.arrays_overlap(run_packs, _lit_array(languages)))
         .select(*keys, F.col(run_packs).alias("run_packs"), F.col(text).alias("t"))
-        .withColumn("j", joined)
+        .withColumn("j", tx.join_spelled_out(F.col("t")))
         .select(*keys, "run_packs", F.inline(both))
     )
 
 
 def anchors(packs: RulePacks) -> DataFrame:
-    """Exact patterns, fuzzy patterns and allow terms by the one token they are found by.
+    """Every pattern and allow term by the one probe it is found by.
 
     A phrase is found by its longest word, which is usually its rarest; a fuzzy pattern
-    by its skeleton.
+    by its skeleton; a substring or regex by its language, once per text.
     """
-    exact = packs.patterns.filter("match_type = 'exact'").select(
-        "language", F.lit("exact").alias("entry"), "rule_ord", "pattern_ord", "pattern", "n_tokens"
-    )
+    common = ("language", "rule_ord", "pattern_ord", "pattern", "n_tokens", "prefilter", "first_only")
+    allows = F.col("language").isin(*packs.allow_languages)
+    patterns = packs.patterns.withColumn("first_only", ~allows)
     allow = packs.allow_terms.select(
-        "language", F.lit("allow").alias("entry"), F.lit(-1).alias("rule_ord"),
-        F.col("allow_ord").alias("pattern_ord"), F.col("term").alias("pattern"), "n_tokens",
+        "language", F.lit(-1).alias("rule_ord"), F.col("allow_ord").alias("pattern_ord"),
+        F.col("term").alias("pattern"), "n_tokens", F.lit(None).cast("string").alias("prefilter"),
+        F.lit(False).alias("first_only"), F.lit("allow").alias("entry"),
     )
     longest = F.array_max(
         F.transform(
@@ -122,117 +120,38 @@ def anchors(packs: RulePacks) -> DataFrame:
             lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("back"), t.alias("token")),
         )
     )
+    exact = patterns.filter("match_type = 'exact'").select(*common, F.lit("exact").alias("entry"))
     phrases = exact.unionByName(allow).withColumn("longest", longest).select(
-        "language", "entry", "rule_ord", "pattern_ord", "pattern", "n_tokens",
-        F.col("longest.token").alias("anchor"), (-F.col("longest.back")).alias("anchor_at"),
-        F.lit(False).alias("by_skeleton"),
-    )
-    fuzzy = packs.patterns.filter("match_type = 'fuzzy'").select(
-        "language", F.lit("fuzzy").alias("entry"), "rule_ord", "pattern_ord", "pattern",
-        F.lit(1).alias("n_tokens"), F.col("skeleton").alias("anchor"),
-        F.lit(0).alias("anchor_at"), F.lit(True).alias("by_skeleton"),
-    )
-    return phrases.unionByName(fuzzy)
-
-
-def token_hits(passes: DataFrame, packs: RulePacks, keys: Sequence[str]) -> DataFrame:
-    """Exact phrases, allow spans and fuzzy candidates.
-
-    Fuzzy rows are only candidates here: the comparison itself works on arrays, outside
-    generated code, and belongs after the hits have left this stage.
-    """
-    probes = F.col("toks")
-    fuzzy_languages = packs.of_type("fuzzy")
-    if fuzzy_languages:
-        wanted = F.arrays_overlap("run_packs", _lit_array(fuzzy_languages))
-        skeletons = F.when(wanted, tx.tokens(tx.skeleton(F.col("t")))).otherwise(
-            F.array().cast("array<string>")
-        )
-        probes = F.concat(probes, skeletons)
-    exploded = passes.withColumn("toks", tx.tokens(F.col("t"))).select(
-        *keys, "run_packs", "pass", "toks", F.posexplode(probes).alias("probe_at", "probe")
-    )
-    n_toks = F.size("toks")
-    in_skeletons = F.col("probe_at") >= n_toks
-    start = F.col("probe_at") - F.when(in_skeletons, n_toks).otherwise(F.col("anchor_at"))
-    token = F.get("toks", start)
-    same_phrase = (F.col("n_tokens") == 1) | (
-        (start >= 0) & (_window_text(F.col("toks"), start, F.col("n_tokens")) == F.col("pattern"))
+        *common, "entry", F.col("longest.token").alias("anchor"),
+        (-F.col("longest.back")).alias("anchor_at"),
     )
-    near_length = ~F.col("by_skeleton") | (
-        (F.length(token) >= domains.FUZZY_MIN_CHARS)
-        & (F.length(token) <= F.length("pattern") + domains.FUZZY_MAX_EXTRA_CHARS)
+    others = patterns.filter("match_type <> 'exact'").select(
+        *common, F.col("match_type").alias("entry"),
+        F.when(F.col("match_type") == "fuzzy", F.concat(F.lit(SKELETON), "skeleton"))
+        .otherwise(F.concat(F.lit(WHOLE_TEXT), "language"))
+        .alias("anchor"),
+        F.lit(0).alias("anchor_at"),
     )
-    pack_at = F.array_position("run_packs", F.col("language"))
-    found = []
-    for part in broadcast_slices(anchors(packs), packs.n_patterns + packs.n_allow):
-        condition = (
-            (F.col("probe") == F.col("anchor"))
-            & (in_skeletons == F.col("by_skeleton"))
-            & (pack_at > 0)
-            & same_phrase
-            & near_length
-        )
-        found.append(
-            exploded.join(part, condition).select(
-                *keys, "pass", "language", (pack_at - 1).cast("int").alias("pack_ord"), "entry",
-                "rule_ord", "pattern_ord", start.alias("tok_start"),
-                (start + F.col("n_tokens") - 1).alias("tok_end"), F.lit(0).alias("occurrence"),
-                F.when(F.col("by_skeleton"), token).otherwise(F.col("pattern")).alias("matched_text"),
-                "pattern",
-            )
-        )
-    return reduce(DataFrame.unionByName, found)
-
-
-def fuzzy_hits(passes: DataFrame, packs: RulePacks, keys: Sequence[str]) -> DataFrame:
-    """Fuzzy candidates that pass the comparison, for a caller that wants only them.
-
-    The id is there to hold the comparison behind the lookup: the optimizer would move
-    it into the join condition and take that out of generated code.
-    """
-    candidates = token_hits(passes, packs, keys).filter("entry = 'fuzzy'")
-    held = candidates.withColumn("_held", F.monotonically_increasing_id())
-    accepted = fuzzy_accepts(F.col("pattern"), F.col("matched_text")) & (F.col("_held") >= 0)
-    return held.filter(accepted).drop("_held")
+    return phrases.unionByName(others)
 
 
-def _per_pack(passes: DataFrame, keys: Sequence[str], languages: Sequence[str]) -> DataFrame:
-    """A row per text and pack, for the few packs whose rules need the whole text."""
-    chosen = F.array_intersect("run_packs", _lit_array(languages))
-    return passes.select(*keys, "run_packs", "pass", "t", F.explode(chosen).alias("language"))
-
-
-def contains_hits(passes: DataFrame, packs: RulePacks, keys: Sequence[str]) -> DataFrame:
-    """Substrings: the whole text first, then the tokens of the texts that have one."""
-    patterns = packs.patterns.filter("match_type = 'contains'").select(
-        "language", "rule_ord", "pattern_ord", "pattern", "n_tokens"
-    )
-    per_pack = _per_pack(passes, keys, packs.of_type("contains"))
-    pack_at = F.array_position("run_packs", F.col("language"))
-    found = []
-    for part in broadcast_slices(patterns, packs.n_patterns):
-        texts = per_pack.join(part, "language").filter(F.instr(F.col("t"), F.col("pattern")) > 0)
-        at = (
-            texts.withColumn("toks", tx.tokens(F.col("t")))
-            .select(
-                *keys, "pass", "language", (pack_at - 1).cast("int").alias("pack_ord"), "rule_ord",
-                "pattern_ord", "pattern", "n_tokens", "toks",
-                F.posexplode("toks").alias("tok_start", "token"),
-            )
-        )
-        # Both the pattern and the window hold n - 1 spaces, so they line up one way only.
-        here = F.when(F.col("n_tokens") == 1, F.col("token")).otherwise(
-            _window_text(F.col("toks"), F.col("tok_start"), F.col("n_tokens"))
-        )
-        found.append(
-            at.filter(F.instr(here, F.col("pattern")) > 0).select(
-                *keys, "pass", "language", "pack_ord", F.lit("contains").alias("entry"), "rule_ord",
-                "pattern_ord", "tok_start", (F.col("tok_start") + F.col("n_tokens") - 1).alias("tok_end"),
-                F.lit(0).alias("occurrence"), F.col("pattern").alias("matched_text"), "pattern",
-            )
+def _probes(packs: RulePacks) -> Column:
+    """What a text is looked up by: its tokens, then their skeletons, then itself per pack."""
+    nothing = F.array().cast("array<string>")
+    parts = [F.col("toks")]
+    fuzzy = packs.of_type("fuzzy")
+    if fuzzy:
+        marked = F.concat(
+            F.lit(SKELETON), F.replace(tx.skeleton(F.col("t")), F.lit(" "), F.lit(f" {SKELETON}"))
         )
-    return reduce(DataFrame.unionByName, found)
+        wanted = F.arrays_overlap("run_packs", _lit_array(fuzzy))
+        parts.append(F.when(wanted, tx.tokens(marked)).otherwise(nothing))
+    whole = {language for kind in WHOLE_TEXT_TYPES for language in packs.of_type(kind)}
+    parts += [
+        F.when(F.array_contains("run_packs", language), _lit_array([WHOLE_TEXT + language])).otherwise(nothing)
+        for language in sorted(whole)
+    ]
+    return F.concat(*parts)
 
 
 _compiled = lru_cache(maxsize=4096)(compile_rule_regex)
@@ -259,62 +178,110 @@ def _regex_spans(
     batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]],
 ) -> Iterator[pd.Series]:
     for texts, patterns, first_only in batches:
-        yield pd.Series([_spans(*row) for row in zip(texts, patterns, first_only)], dtype=object)
+        found = [
+            None if text is None else _spans(text, pattern, first)
+            for text, pattern, first in zip(texts, patterns, first_only)
+        ]
+        yield pd.Series(found, dtype=object)
 
 
 # Kept from being copied into a pushed-down filter and so evaluated twice.
 _regex_spans = _regex_spans.asNondeterministic()
 
 
-def _regex_table(packs: RulePacks) -> DataFrame:
-    allows = F.col("language").isin(*packs.allow_languages)
-    return packs.patterns.filter("match_type = 'regex'").select(
-        "language", "rule_ord", "pattern_ord", "pattern", "prefilter", (~allows).alias("first_only")
-    )
+def _contains_spans() -> Column:
+    """Token windows of t that hold the pattern.
 
+    Both the pattern and a window of its length hold n - 1 spaces, so they line up one
+    way only.
+    """
+    toks, n = tx.tokens(F.col("t")), F.col("n_tokens")
+    windows = F.transform(
+        toks,
+        lambda token, i: F.struct(
+            i.alias("tok_start"), (i + n - 1).alias("tok_end"),
+            F.when(n == 1, token).otherwise(_window_text(toks, i, n)).alias("matched_text"),
+        ),
+    )
+    holding = F.filter(windows, lambda w: F.instr(w["matched_text"], F.col("pattern")) > 0)
+    return F.transform(
+        holding, lambda w: F.struct(w["tok_start"], w["tok_end"], F.col("pattern").alias("matched_text"))
+    )
 
-def regex_hits(passes: DataFrame, packs: RulePacks, keys: Sequence[str]) -> DataFrame:
-    """Regular expressions: a JVM prefilter where one is safe, then the pack's own engine.
 
-    All non-overlapping matches of a pattern count, since an allowed one must not hide
-    the next; where a pack allows nothing, the first is enough.
-    """
-    per_pack = _per_pack(passes, keys, packs.of_type("regex"))
-    pack_at = F.array_position("run_packs", F.col("language"))
-    may_match = F.col("prefilter").isNull() | F.regexp_like(
-        F.translate(F.col("t"), "ı", "i"), F.col("prefilter")
+def _looked_up(passes: DataFrame, packs: RulePacks, keys: Sequence[str]) -> DataFrame:
+    """One row per anchor found: a hit, but for substrings and regexes only a text that has one."""
+    exploded = passes.withColumn("toks", tx.tokens(F.col("t"))).select(
+        *keys, "run_packs", "pass", "t", "toks", F.posexplode(_probes(packs)).alias("probe_at", "probe")
     )
-    parts = broadcast_slices(_regex_table(packs), packs.n_patterns)
-    candidates = reduce(
-        DataFrame.unionByName, [per_pack.join(part, "language").filter(may_match) for part in parts]
+    fuzzy, whole = F.col("entry") == "fuzzy", F.col("entry").isin(*WHOLE_TEXT_TYPES)
+    start = F.col("probe_at") - F.when(fuzzy, F.size("toks")).otherwise(F.col("anchor_at"))
+    token = F.get("toks", start)
+    # Cheap checks decide here. A regex goes on where its prefilter, if it has one, lets it.
+    really = (
+        F.when(fuzzy, (F.length(token) >= domains.FUZZY_MIN_CHARS)
+               & (F.length(token) <= F.length("pattern") + domains.FUZZY_MAX_EXTRA_CHARS))
+        .when(F.col("entry") == "contains", F.instr(F.col("t"), F.col("pattern")) > 0)
+        .when(F.col("entry") == "regex", F.col("prefilter").isNull()
+              | F.regexp_like(F.translate(F.col("t"), "ı", "i"), F.col("prefilter")))
+        .otherwise((F.col("n_tokens") == 1) | (
+            (start >= 0) & (_window_text(F.col("toks"), start, F.col("n_tokens")) == F.col("pattern"))))
     )
-    return (
-        candidates.withColumn("spans", _regex_spans("t", "pattern", "first_only"))
-        .select(
-            *keys, "pass", "language", (pack_at - 1).cast("int").alias("pack_ord"), "rule_ord",
-            "pattern_ord", "pattern", F.posexplode("spans").alias("occurrence", "span"),
-        )
-        .select(
-            *keys, "pass", "language", "pack_ord", F.lit("regex").alias("entry"), "rule_ord",
-            "pattern_ord", "span.tok_start", "span.tok_end", "occurrence", "span.matched_text",
-            "pattern",
+    pack_at = F.array_position("run_packs", F.col("language"))
+    found = []
+    for part in broadcast_slices(anchors(packs), packs.n_patterns + packs.n_allow):
+        condition = (F.col("probe") == F.col("anchor")) & (pack_at > 0) & really
+        found.append(
+            exploded.join(part, condition).select(
+                *keys, "pass", "language", (pack_at - 1).cast("int").alias("pack_ord"), "entry",
+                "rule_ord", "pattern_ord", start.alias("tok_start"),
+                (start + F.col("n_tokens") - 1).alias("tok_end"),
+                F.when(fuzzy, token).otherwise(F.col("pattern")).alias("matched_text"), "pattern",
+                # Carried only where the rest of the work needs it.
+                F.when(whole, F.col("t")).alias("t"), "n_tokens", "first_only",
+            )
         )
-    )
+    return reduce(DataFrame.unionByName, found)
 
 
 def all_hits(
     texts: DataFrame, packs: RulePacks, keys: Sequence[str], text: str = "norm",
     run_packs: str = "run_packs",
 ) -> DataFrame:
-    """Every occurrence of every pattern and allow term, before suppression."""
-    def passes(languages: Sequence[str]) -> DataFrame:
-        return text_passes(texts, keys, text, run_packs, languages)
-
-    branches = [token_hits(passes(packs.languages), packs, keys)]
-    for match_type, branch in (("contains", contains_hits), ("regex", regex_hits)):
-        if packs.of_type(match_type):
-            branches.append(branch(passes(packs.of_type(match_type)), packs, keys))
-    return reduce(DataFrame.unionByName, branches)
+    """Every occurrence of every pattern and allow term, before suppression.
+
+    One reading of the texts. Fuzzy rows are candidates still: their comparison works on
+    arrays, outside generated code, and comes once the hits have left this stage. All
+    non-overlapping matches of a regex count, since an allowed one must not hide the
+    next; where a pack allows nothing, the first is enough.
+    """
+    passes = text_passes(texts, keys, text, run_packs, packs.languages)
+    found = _looked_up(passes, packs, keys)
+    kept = [*keys, "pass", "language", "pack_ord", "entry", "rule_ord", "pattern_ord"]
+    if not any(packs.of_type(kind) for kind in WHOLE_TEXT_TYPES):
+        return found.select(*kept, "tok_start", "tok_end", F.lit(0).alias("occurrence"), "matched_text", "pattern")
+    itself = F.array(F.struct("tok_start", "tok_end", "matched_text"))
+    spans = F.when(F.col("entry") == "contains", _contains_spans()).otherwise(itself)
+    if packs.of_type("regex"):
+        is_regex = F.col("entry") == "regex"
+        found = found.withColumn(
+            "regex_spans", _regex_spans(F.when(is_regex, F.col("t")), "pattern", "first_only")
+        )
+        spans = F.when(is_regex, F.col("regex_spans")).otherwise(spans)
+    return found.select(*kept, F.posexplode(spans).alias("occurrence", "span"), "pattern").select(
+        *kept, "span.tok_start", "span.tok_end", "occurrence", "span.matched_text", "pattern"
+    )
+
+
+def accepted_fuzzy(hits: DataFrame) -> DataFrame:
+    """Fuzzy candidates that pass the comparison, for a caller that wants only them.
+
+    The id is there to hold the comparison behind the lookup: the optimizer would move
+    it into the join condition and take that out of generated code.
+    """
+    held = hits.filter("entry = 'fuzzy'").withColumn("_held", F.monotonically_increasing_id())
+    accepted = fuzzy_accepts(F.col("pattern"), F.col("matched_text")) & (F.col("_held") >= 0)
+    return held.filter(accepted).drop("_held")
 
 
 # --- suppression and choice --------------------------------------------------------

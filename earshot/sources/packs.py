@@ -252,6 +252,14 @@ class RulePacks:
         """Languages that have rules of this match type."""
         return self.match_types.get(match_type, ())
 
+    def with_types(self, *kinds: str) -> RulePacks:
+        """The same packs with only the rules of these match types."""
+        chosen = F.col("match_type").isin(*kinds)
+        return replace(
+            self, rules=self.rules.filter(chosen), patterns=self.patterns.filter(chosen),
+            match_types={k: v for k, v in self.match_types.items() if k in kinds},
+        )
+
     def without_allow(self) -> RulePacks:
         return replace(self, allow_terms=self.allow_terms.filter("false"), n_allow=0, allow_languages=())
 
