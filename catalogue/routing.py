@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from catalogue import inputs
 from catalogue.inputs import INSTALLED, MODEL_LANGUAGES
 from catalogue.registry import query
-from earshot.operators import events as ev
 from earshot.operators import route
 from earshot.sources import registry
 

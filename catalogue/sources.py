@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogue import inputs
-from catalogue.inputs import CATEGORY_OF, FUZZY_OF, REVIEW_OF, SEVERITY_OF, WORDS_SQL
+from catalogue.inputs import WORDS_SQL
 from catalogue.packqa import RULED
 from catalogue.registry import query
 from catalogue.routing import CATALOG_SQL, MODELS_SQL, _models, catalog

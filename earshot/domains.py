@@ -38,22 +38,6 @@ PLAN = r"[a-z0-9-]{1,32}"
 MAX_RATE_LIMIT = 100_000
 SELFHOST_SCOPE = "selfhost"
 
-# Outcomes, in the order the checks run.
-OUTCOMES = (
-    "unauthorized",
-    "license_expired",
-    "rate_limited",
-    "invalid_request_id",
-    "invalid_player_id",
-    "invalid_language",
-    "invalid_preroll",
-    "invalid_partial",
-    "language_not_licensed",
-    "language_unsupported",
-    "request_id_reused",
-    "unsupported_detected_language",
-    "success",
-)
 # Refusals that end a request before anything is metered.
 UNMETERED_OUTCOMES = (
     "unauthorized",

@@ -107,6 +107,22 @@ def usage_intervals(
     ).select(F.col("window.end").alias("reported_at"), *keys, "requests", "flagged", "samples")
 
 
+def histogram_intervals(
+    requests: DataFrame, column: str, keys: Sequence[str] = SERVER,
+    interval: str = domains.USAGE_INTERVAL, occurred_at: str = "occurred_at",
+) -> DataFrame:
+    """Outcomes or severities per interval and server, as rows (column, n).
+
+    A severity counts only where it is of a finished utterance.
+    """
+    if column == "severity":
+        requests = requests.filter(_finished(requests) & F.col("severity").isNotNull())
+    counted = requests.groupBy(F.window(occurred_at, interval), *keys, column).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return counted.select(F.col("window.end").alias("reported_at"), *keys, column, "n")
+
+
 def cumulative_snapshots(intervals: DataFrame, keys: Sequence[str] = SERVER) -> DataFrame:
     """Running totals at every interval in which something happened.
 

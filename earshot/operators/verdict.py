@@ -87,9 +87,3 @@ def verdicts(
         confidence.alias("confidence"),
     )
 
-
-def flat_matches(verdict_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A row per match with its place in the report; for sinks without nested columns."""
-    return verdict_rows.select(*keys, F.posexplode("matches").alias("match_ord", "m")).select(
-        *keys, "match_ord", "m.*"
-    )

@@ -76,19 +76,22 @@ def append_events(events: DataFrame, path: str, horizon_days: int | None = None)
     enough when late redelivery is bounded.
     """
     spark = events.sparkSession
-    fresh = events.dropDuplicates(list(ev.EVENT_KEY)).withColumn("event_date", F.to_date("occurred_at"))
+    batch = events.dropDuplicates(list(ev.EVENT_KEY)).withColumn("event_date", F.to_date("occurred_at"))
+    fresh = batch
     if _exists(spark, path):
         held = spark.read.schema(
             StructType([*schemas.FLAGGED_EVENTS.fields]).add("event_date", "date")
         ).parquet(path)
         if horizon_days is not None:
-            bounds = events.agg(
+            batch.persist()
+            bounds = batch.agg(
                 F.date_sub(F.to_date(F.min("occurred_at")), horizon_days),
                 F.date_add(F.to_date(F.max("occurred_at")), horizon_days),
             ).first()
             held = held.filter(F.col("event_date").between(*map(F.lit, bounds)))
-        fresh = fresh.join(held.select(*ev.EVENT_KEY), list(ev.EVENT_KEY), "left_anti")
+        fresh = batch.join(held.select(*ev.EVENT_KEY), list(ev.EVENT_KEY), "left_anti")
     fresh.write.mode("append").partitionBy("event_date").parquet(path)
+    batch.unpersist()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

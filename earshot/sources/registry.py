@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tomllib
 from collections import Counter
 from pathlib import Path
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from earshot import domains, schemas
 
 _CATALOG_KEYS = {f.name for f in schemas.LANGUAGE_CATALOG.fields}
-_CODE = re.compile(r"[a-z]{2,3}")
 
 
 def _toml(path: str, keys: set[str], schemas_allowed: tuple[int, ...], what: str) -> dict:

@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from earshot import schemas
 from earshot.sources import registry
 
 ENTRY = """[[languages]]
@@ -98,6 +99,18 @@ def test_credential_faults(spark, entry, code):
     assert parse(spark, json.dumps({"s": entry})) == ({}, {("0", "s"): code})
 
 
+def test_tokens_file(spark, tmp_path):
+    path = tmp_path / "tokens.json"
+    path.write_text(json.dumps({"s": {"token": "t", "languages": ["en"]}}, indent=2))
+    read = registry.read_credentials(spark, str(path))
+    assert [f.name for f in read.schema] == schemas.CREDENTIALS.fieldNames()
+    assert [f.dataType for f in read.schema] == [f.dataType for f in schemas.CREDENTIALS]
+    assert read.first().server_id == "s" and read.first().tenant_key is None
+    path.write_text(json.dumps({"s": {"token": ""}}))
+    with pytest.raises(ValueError, match="invalid_token"):
+        registry.read_credentials(spark, str(path))
+
+
 def test_credential_file_faults(spark):
     assert parse(spark, "[]", "{", "{}")[1] == {(str(i), None): "invalid_file" for i in range(3)}
     assert parse(spark, json.dumps({"a": "t", "b": "t"}))[1] == {("0", "a"): "duplicate_token", ("0", "b"): "duplicate_token"}

@@ -56,6 +56,8 @@ def test_state_leaves_with_the_watermark(spark, tmp_path):
     query.awaitTermination()
     assert query.exception() is None
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    held = spark.read.format("statestore").option("stateVarName", "entry").load(str(tmp_path / "ck"))
+    assert {r.key.k for r in held.select("key").collect()} == {"newer"}
 
 
 def test_moderation_stream_equals_batch(spark, packs, tmp_path):
