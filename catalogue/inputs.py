@@ -191,7 +191,8 @@ def credentials_sql() -> str:
 # Words in at least one document in twenty of a language. Their number depends on how
 # long documents are and not on how many, so such a pack stays a pack at any scale.
 
-WORD_SHARE = 0.05
+# A floor keeps small samples from calling every word frequent.
+WORD_SHARE, WORD_FLOOR = 0.05, 10
 
 
 def frequent_words(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,7 +201,7 @@ def frequent_words(spark: SparkSession, sf: str) -> DataFrame:
     return (
         docs.filter("length(word) >= 4").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df"))
         .join(sizes, "lang")
-        .filter(F.col("df") >= WORD_SHARE * F.col("n_docs"))
+        .filter(F.col("df") >= F.greatest(F.lit(float(WORD_FLOOR)), WORD_SHARE * F.col("n_docs")))
         .select("lang", "word")
     )
 
@@ -212,7 +213,7 @@ docs AS (SELECT doc_id, lang, {NORM} AS norm FROM documents),
 seen AS (SELECT DISTINCT doc_id, lang, unnest(string_split(norm, ' ')) AS word FROM docs),
 sizes AS (SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang),
 words AS (SELECT lang, word FROM (SELECT lang, word, count(*) AS df FROM seen WHERE length(word) >= 4 GROUP BY lang, word)
-  JOIN sizes USING (lang) WHERE df >= {WORD_SHARE} * n_docs)"""
+  JOIN sizes USING (lang) WHERE df >= greatest({WORD_FLOOR}.0, {WORD_SHARE} * n_docs))"""
 
 # How a word becomes a rule; the same rule in both engines' words.
 CATEGORY_OF = "CASE length(word) % 5 WHEN 0 THEN 'spam' WHEN 1 THEN 'hate' WHEN 2 THEN 'threat' WHEN 3 THEN 'sexual' ELSE 'harassment' END"

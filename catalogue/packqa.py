@@ -13,7 +13,7 @@ from catalogue.inputs import (
 from catalogue.matching import DOC_MATCHES, hit_ctes
 from catalogue.registry import query
 from catalogue.text import VOWELS_RE
-from earshot import schemas
+from earshot import domains, schemas
 from earshot.functions import text as tx
 from earshot.operators import packqa
 from earshot.sources.packs import packs_from_files
@@ -23,21 +23,22 @@ RULED = f"""{WORDS_SQL},
 ruled AS (SELECT lang AS language, word, {RULE_ID_OF} AS rule_id, {CATEGORY_OF} AS category,
   ({SEVERITY_OF})::INTEGER AS severity, {REVIEW_OF} AS review, {FUZZY_OF} AS fuzzy FROM words)"""
 
-# Which fuzzy words accept which other words: runs lined up by number, one skeleton.
-PAIRS = f"""
-vocab AS (SELECT DISTINCT word FROM ruled),
+# Runs of a word as lists side by side, and what two words of as many runs cost.
+ENCODED = f"""
 letters AS (SELECT word, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1) AS i FROM vocab),
 marked AS (SELECT *, i - row_number() OVER (PARTITION BY word, c ORDER BY i) AS island FROM letters),
-grouped AS (SELECT word, c, min(i) AS i, count(*) AS n FROM marked GROUP BY word, c, island),
-runs AS (SELECT word, c, n, row_number() OVER (PARTITION BY word ORDER BY i) AS place,
-  regexp_matches(c, '^[{VOWELS_RE}]$') AS vowel FROM grouped),
-frames AS (SELECT word, string_agg(CASE WHEN vowel OR c IN ('0', '1', '3', '4') THEN 'a' ELSE c END, '' ORDER BY place) AS frame FROM runs GROUP BY word),
-near AS (SELECT p.word AS pattern, t.word AS token FROM (SELECT DISTINCT word FROM ruled WHERE fuzzy) p
-  JOIN frames fp ON fp.word = p.word JOIN frames t ON t.frame = fp.frame WHERE length(t.word) <= length(p.word) + 6),
-costs AS (SELECT pattern, token, sum(CASE WHEN p.c = t.c AND p.n = t.n THEN 0 WHEN p.c = t.c OR (p.vowel AND t.vowel)
-    OR (t.c, strip_accents(p.c)) IN (('0', 'o'), ('1', 'i'), ('3', 'e'), ('4', 'a')) THEN 1 ELSE 99 END) AS cost
-  FROM near JOIN runs p ON p.word = pattern JOIN runs t ON t.word = token AND t.place = p.place GROUP BY pattern, token),
-fuzzy_pairs AS (SELECT pattern, token FROM costs WHERE cost <= CASE WHEN length(pattern) >= 6 THEN 2 ELSE 1 END),
+grouped AS (SELECT word, c, min(i) AS i, count(*) AS n, regexp_matches(c, '^[{VOWELS_RE}]$') AS vowel FROM marked GROUP BY word, c, island),
+runs AS (SELECT word, list(c ORDER BY i) AS cs, list(strip_accents(c) ORDER BY i) AS bases, list(n ORDER BY i) AS ns, list(vowel ORDER BY i) AS vowels,
+  string_agg(CASE WHEN vowel OR c IN ('0', '1', '3', '4') THEN 'a' ELSE c END, '' ORDER BY i) AS frame FROM grouped GROUP BY word)"""
+COST = """list_sum(list_transform(range(1, len(a.cs) + 1), lambda k: CASE WHEN a.cs[k] = b.cs[k] AND a.ns[k] = b.ns[k] THEN 0
+  WHEN a.cs[k] = b.cs[k] OR (a.vowels[k] AND b.vowels[k]) OR (b.cs[k] || a.bases[k]) IN ('0o', '1i', '3e', '4a') THEN 1 ELSE 99 END))"""
+
+# Which fuzzy words accept which other words: those of one skeleton, at a low enough cost.
+PAIRS = f"""
+vocab AS (SELECT DISTINCT word FROM ruled), {ENCODED},
+fuzzy_pairs AS (SELECT a.word AS pattern, b.word AS token FROM (SELECT DISTINCT word FROM ruled WHERE fuzzy) p JOIN runs a ON a.word = p.word
+  JOIN runs b ON b.frame = a.frame WHERE length(b.word) <= length(a.word) + 6
+  AND {COST} <= CASE WHEN length(a.word) >= 6 THEN 2 ELSE 1 END),
 fires AS (SELECT language, word AS token, rule_id, category, severity, review FROM ruled WHERE NOT fuzzy
   UNION ALL SELECT language, token, rule_id, category, severity, review FROM ruled JOIN fuzzy_pairs ON pattern = word WHERE fuzzy)"""
 FIRES = f"{RULED}, {PAIRS}"
@@ -236,7 +237,29 @@ def pins(spark, sf):
     return packqa.broken_pins(inputs.word_packs(spark, sf), pinned)
 
 
-@query("q16_mutations")
+_CONSONANTS = ", ".join(f"('{c}')" for c in domains.CONSONANT_SAMPLE)
+_VOWELS = ", ".join(f"('{c}')" for c in domains.VOWELS)
+TRIED = f"""{RULED}, patterns AS (SELECT language, word AS p, length(word) AS n FROM ruled),
+spots AS (SELECT *, substr(p, i, 1) AS c, substr(p, 1, i - 1) AS head, substr(p, i + 1) AS tail, contains('{domains.VOWELS}', substr(p, i, 1)) AS vowel,
+  CASE WHEN i > 1 THEN substr(p, i - 1, 1) ELSE '' END AS l, substr(p, i + 1, 1) AS r FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM patterns)),
+gaps AS (SELECT *, substr(p, i, 1) AS c, CASE WHEN i > 1 THEN substr(p, i - 1, 1) ELSE '' END AS l FROM (SELECT *, unnest(range(1, n + 2)) AS i FROM patterns)),
+twos AS (SELECT *, list_filter(range(1, n + 1), lambda k: contains('{domains.VOWELS}', substr(p, k, 1)))[1:2] AS two FROM patterns),
+tried AS (
+  SELECT language, p, 'consonant swapped' AS kind, head || x || tail AS token, false AS accepted FROM spots, (VALUES {_CONSONANTS}) AS s(x) WHERE NOT vowel AND c <> x
+  UNION ALL SELECT language, p, 'consonant inserted', substr(p, 1, i - 1) || x || substr(p, i), false FROM gaps, (VALUES {_CONSONANTS}) AS s(x) WHERE l <> x AND c <> x
+  UNION ALL SELECT language, p, 'consonant dropped', head || tail, false FROM spots WHERE NOT vowel AND c <> l AND c <> r
+  UNION ALL SELECT language, p, 'vowel swapped', head || x || tail, true FROM spots, (VALUES {_VOWELS}) AS s(x) WHERE vowel AND c <> x
+  UNION ALL SELECT language, p, 'letter held', head || repeat(c, 3) || tail, true FROM spots
+  UNION ALL SELECT language, p, 'two vowels swapped', array_to_string(list_transform(range(1, n + 1), lambda k: CASE WHEN NOT list_contains(two, k) THEN substr(p, k, 1)
+    WHEN substr(p, k, 1) = 'a' THEN 'u' ELSE 'a' END), ''), n >= 6 FROM twos WHERE len(two) = 2),
+vocab AS (SELECT p AS word FROM tried UNION SELECT token FROM tried), {ENCODED}"""
+
+
+@query("q16_mutations", f"""WITH {TRIED},
+judged AS (SELECT t.*, t.token = t.p OR (length(t.token) >= 4 AND length(t.token) <= length(t.p) + 6 AND len(a.cs) = len(b.cs)
+  AND {COST} <= CASE WHEN length(t.p) >= 6 THEN 2 ELSE 1 END) AS got
+  FROM tried t JOIN runs a ON a.word = t.p JOIN runs b ON b.word = t.token)
+SELECT language, kind, accepted, count(*) AS n, count(*) FILTER (accepted = got) AS n_as_promised FROM judged GROUP BY language, kind, accepted""")
 def mutations(spark, sf):
     """Kinds of drift tried on every frequent word, and how often the answer was the promised one."""
     words = _words(spark, sf).select(

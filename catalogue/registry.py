@@ -1,14 +1,12 @@
 from __future__ import annotations
 
-import os
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from earshot.plans.sizing import scratch_dir
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -22,10 +20,8 @@ def ship_package(spark: SparkSession) -> None:
     if spark.sparkContext.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent.parent
-    folder = Path(scratch_dir(spark, "code").removeprefix("file:"))
-    if "://" in str(folder) or not os.access(folder.parent, os.W_OK):
-        folder = Path(os.environ.get("SPARK_LOCAL_DIRS", "/tmp").split(",")[0]) / folder.name
-    folder.mkdir(parents=True)
+    folder = Path(SparkFiles.getRootDirectory()) / "source"
+    folder.mkdir(exist_ok=True)
     archive = folder / "earshot.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for source in [*root.glob("earshot/**/*.py"), *root.glob("catalogue/*.py")]:
