@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -26,7 +27,11 @@ def ship_package(spark: SparkSession) -> None:
     with zipfile.ZipFile(archive, "w") as out:
         for source in [*root.glob("earshot/**/*.py"), *root.glob("catalogue/*.py")]:
             out.write(source, source.relative_to(root))
-    spark.sparkContext.addPyFile(str(archive))
+    context = spark.sparkContext
+    context.addPyFile(str(archive))
+    # Stateful streaming also starts a worker beside the driver, which is not given the archive.
+    known = context.environment.get("PYTHONPATH")
+    context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root), known]))
     _shipped.add(spark.sparkContext.applicationId)
 
 
