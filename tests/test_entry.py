@@ -11,7 +11,8 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    own = {name for name in entry.queries() if name != "pipeline" and not name.startswith("op")}
+    assert own <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @needs_data
