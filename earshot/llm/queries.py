@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue.registry import query
+from earshot.llm import htmltext, langid, warc
 from earshot.llm.decontam import find_passages
 from earshot.llm.mix import mix_sources
 from earshot.llm.shard import shard_rows
+from earshot.plans.sizing import scratch_dir
 
 SHARDS = 24
 
@@ -103,3 +105,35 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's share of a mix of the sources by weights 1, 2, 3."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op6_langid")
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    found = langid.identify(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query("op8_html")
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", "n_chars"
+    )
+
+
+@query("op2_warc", """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, p.payload_digest,
+  CASE WHEN page_id <> g.first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> g.first THEN g.first END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+""")
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    path = scratch_dir(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
