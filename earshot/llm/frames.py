@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -32,3 +33,23 @@ def append_columns(
             yield pa.RecordBatch.from_arrays([*batch.columns, *work(batch.column(at))], names=names)
 
     return kept.mapInArrow(run, schema)
+
+
+def runs_by_key(batches: Iterator[pa.RecordBatch], key: str = "key") -> Iterator[pa.Table]:
+    """One table per run of equal keys, from batches sorted by key; a run may span batches."""
+    open_run: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        if open_run and open_run[0].column(key)[0].as_py() != keys[0]:
+            yield pa.Table.from_batches(open_run)
+            open_run = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            open_run.append(batch.slice(a, b - a))
+            if b < len(keys):
+                yield pa.Table.from_batches(open_run)
+                open_run = []
+    if open_run:
+        yield pa.Table.from_batches(open_run)

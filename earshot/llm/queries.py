@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue.registry import query
-from earshot.llm import htmltext, langid, warc
+from earshot.llm import htmltext, langid, neardup, warc
 from earshot.llm.decontam import find_passages
 from earshot.llm.mix import mix_sources
 from earshot.llm.shard import shard_rows
@@ -137,3 +137,20 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_neardup", """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a
+""")
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-equal embeddings of one label: links and components."""
+    return neardup.near_vectors(table(spark, sf_dir, "embeddings"))

@@ -71,7 +71,7 @@ def communication_matrix(counts: DataFrame, n_partitions: int, totals: list[int]
     while FAN_OUT**levels < n_partitions:
         levels += 1
     spread = spark.range(1).select(
-        F.lit(0).cast("long").alias("node"), F.array(*[F.lit(t).cast("long") for t in totals]).alias("have")
+        F.col("id").alias("node"), F.array(*[F.lit(t).cast("long") for t in totals]).alias("have")
     )
     for level in reversed(range(levels)):
         width = FAN_OUT**level
