@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue.registry import query
-from earshot.llm import htmltext, langid, neardup, warc
+from earshot.llm import htmltext, langid, neardup, substring, warc
 from earshot.llm.decontam import find_passages
 from earshot.llm.mix import mix_sources
 from earshot.llm.shard import shard_rows
@@ -154,3 +154,9 @@ FROM embeddings JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-equal embeddings of one label: links and components."""
     return neardup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_substring")
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of the documents that repeats in another one."""
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))

@@ -98,11 +98,15 @@ class Words:
     hash: np.ndarray
     per_text: np.ndarray  # words of each text
     low: np.ndarray  # the bytes, lower-cased
-    prefix: np.ndarray  # hash sums up to each byte
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of data[start:end], equal for equal bytes."""
-        return mix((self.prefix[end] - self.prefix[start]) * _power_tables(len(self.low) + 1)[1][start])
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:end] for many spans, equal for equal bytes: differences of prefix sums."""
+    n = len(data)
+    power, inverse = _power_tables(n + 1)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
+    return mix((prefix[end] - prefix[start]) * inverse[start])
 
 
 def words(texts: Texts, is_word: np.ndarray) -> Words:
@@ -119,11 +123,7 @@ def words(texts: Texts, is_word: np.ndarray) -> Words:
         closes[edge - 1] = flag[edge - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     text = np.searchsorted(texts.offsets, start, side="right") - 1
-    power, inverse = _power_tables(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=prefix[1:])
-    hashed = mix((prefix[end] - prefix[start]) * inverse[start])
-    return Words(start, end, text, hashed, np.bincount(text, minlength=len(texts)), low, prefix)
+    return Words(start, end, text, span_hashes(low, start, end), np.bincount(text, minlength=len(texts)), low)
 
 
 def sequence_hash(hashes: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
