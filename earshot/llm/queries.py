@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue.registry import query
-from earshot.llm import htmltext, langid, neardup, substring, warc
+from earshot.llm import htmltext, jaccard, langid, neardup, substring, warc
 from earshot.llm.decontam import find_passages
 from earshot.llm.mix import mix_sources
 from earshot.llm.shard import shard_rows
@@ -160,3 +160,27 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of the documents that repeats in another one."""
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op7_jaccard", r"""
+WITH RECURSIVE w AS (SELECT doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 4)) AS g, len(w) AS words
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY 1, 2, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON r.reach = l.a),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id
+FROM documents d JOIN c ON d.doc_id = node LEFT JOIN n ON n.doc_id = d.doc_id
+""")
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size of every document and the component of near copies it is in."""
+    docs = table(spark, sf_dir, "documents")
+    parts = jaccard.similar_documents(docs)
+    return jaccard.count_shingles(docs).join(parts, "doc_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+    )
