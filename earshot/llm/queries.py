@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue.registry import query
-from earshot.llm import htmltext, jaccard, langid, neardup, substring, warc
+from earshot.llm import htmltext, jaccard, langid, neardup, substring, toxicity, warc
 from earshot.llm.decontam import find_passages
 from earshot.llm.mix import mix_sources
 from earshot.llm.shard import shard_rows
@@ -184,3 +184,12 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.count_shingles(docs).join(parts, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from the labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~langid.held_out())
+    found = toxicity.score(docs.withColumn("held_out", langid.held_out()), toxicity.fit(docs, labels))
+    return found.select("doc_id", "held_out", "score", "predicted", "evidence")

@@ -127,7 +127,7 @@ def write_archive(
     rows = _shards(mark_revisits(pages, revisit_bytes), shard_bytes)
     n_shards = rows.agg(F.max("shard")).first()[0]
     # Cut by shard, not by row: a task may get several shards, a shard is never in two tasks.
-    dealt = rows.repartition(max(1, (n_shards or 0) + 1), "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
+    dealt = rows.repartitionByRange(max(1, (n_shards or 0) + 1), "shard").sortWithinPartitions("shard", "page_id", "url", "digest")
     manifest = materialize(
         dealt.select("shard", "page_id", "url", "html", "refers_to").mapInArrow(_writer(path, date, file_bytes), _MANIFEST),
         "manifest",
