@@ -31,6 +31,7 @@ DIMENSIONS = 16
 #: Labelled rows the model is fitted on at most; the documented bound of the sample.
 SAMPLE_ROWS = 4_000
 MOST_LANGUAGES = 200
+_SLICES = 50
 UNDETERMINED = "und"
 _LETTER_BYTE = tb.byte_class([*range(0x61, 0x7B), *range(0x80, 0x100)])
 
@@ -120,14 +121,14 @@ def _sample(docs: DataFrame, text: str, label: str, rows: int) -> tuple[list, li
             )
 
     labelled = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).dropna()
-    # Equal shares of the languages: the first so many distinct texts of each, in hash order.
+    # Equal shares of the languages: the first distinct texts, in hash order, of every slice of each.
     hashed = labelled.withColumn("h", F.xxhash64("text"))
     names = [r[0] for r in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()]
     if not names:
         return [], []
-    order = Window.partitionBy("label").orderBy("h")
-    first = hashed.filter(F.col("label").isin(names)).select("label", "h").distinct()
-    first = first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, rows // len(names)))
+    order = Window.partitionBy("label", "slice").orderBy("h")
+    first = hashed.filter(F.col("label").isin(names)).select("label", "h", F.pmod("h", F.lit(_SLICES)).alias("slice")).distinct()
+    first = first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, rows // (len(names) * _SLICES)))
     chosen = hashed.join(F.broadcast(first.select("label", "h")), ["label", "h"])
     chosen = chosen.dropDuplicates(["label", "h"]).orderBy("label", "h").select("text", "label")
     got = chosen.mapInArrow(count, "ids array<int>, counts array<int>, label string").toArrow()
