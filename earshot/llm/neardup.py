@@ -100,7 +100,7 @@ def _verify(tile: pa.Table, threshold: float) -> pa.RecordBatch | None:
     norm = np.sqrt((x * x).sum(axis=1))
     linked = (x @ x.T) / np.outer(norm, norm) >= threshold
     np.fill_diagonal(linked, False)
-    if (block != block[0]).any():
+    if tile.column("across")[0].as_py():
         linked &= block[:, None] != block[None, :]  # what shares a block meets in that block's own tile
     if not linked.any():
         return None
@@ -161,7 +161,8 @@ def near_vectors(
     )
     tiled = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64(*bucket, F.least("block", "with"), F.greatest("block", "with"))
-    dealt = tiled.select(key.alias("key"), "t", "block", "rep", "n", "embedding", "codes").repartition("key").sortWithinPartitions("key")
+    across = F.col("block") != F.col("with")
+    dealt = tiled.select(key.alias("key"), across.alias("across"), "t", "block", "rep", "n", "embedding", "codes").repartition("key").sortWithinPartitions("key")
     found = materialize(dealt.mapInArrow(_verifier(threshold), "node long, links long, other long"), "links")
     links = found.groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.filter("other is not null"), "node", "other")

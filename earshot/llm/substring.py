@@ -140,12 +140,13 @@ def remove_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", t
     base = without(docs, out)
     joined = base.join(broadcast_if_bounded(materialize(spans, "spans"), 50_000), F.col(key) == F.col("__id"), "left").drop("__id")
     schema = T.StructType([*base.schema.fields, T.StructField(out, T.StringType())])
-    at = [c.lower() for c in base.columns].index(text.lower())
+    at, spans_at = [c.lower() for c in base.columns].index(text.lower()), len(base.columns)
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for value, spans in zip(batch.column(at), batch.column(len(base.columns))):
+            for value, spans in zip(batch.column(at), batch.column(spans_at)):
                 raw, spans = value.as_py(), spans.as_py()
                 if raw is not None and spans:
                     data, parts, last = raw.encode(), [], 0
@@ -154,6 +155,6 @@ def remove_passages(docs: DataFrame, passages: DataFrame, key: str = "doc_id", t
                         last = s["start_byte"] + s["n_bytes"]
                     raw = b"".join([*parts, data[last:]]).decode("utf-8", "ignore")
                 texts.append(raw)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=names)
 
     return joined.mapInArrow(run, schema)
