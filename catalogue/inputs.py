@@ -37,8 +37,8 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
-    """What users said, in no stated language: every installed pack runs."""
-    return table(spark, sf, "conversations").filter("role = 'user'").select(
+    """Every turn, in no stated language: every installed pack runs."""
+    return table(spark, sf, "conversations").select(
         "conv_id", "turn", tx.normalize(F.col("text")).alias("norm"),
         F.array(*map(F.lit, INSTALLED)).alias("run_packs"),
         F.lit(None).cast("string").alias("verdict_language"),
@@ -76,23 +76,40 @@ SELECT request_id, scope, occurred_us, digest, row_id FROM (
 ) AS copies
 """
 
+# The log with what clients do: every tenth request again a minute later in another spelling,
+# every eleventh id a minute later with another preroll, every thirteenth after its entry ran
+# out; and with each request of tok-4 in every other hour, four more within five seconds.
 RAW_REQUESTS = """
-SELECT event_id AS row_id, occurred_at,
+SELECT row_id, event_id, occurred_at,
   CASE WHEN event_id % 17 = 3 THEN upper(u) WHEN event_id % 17 = 4 THEN replace(u, '-', '') ELSE u END AS request_id,
-  CASE event_id % 19 WHEN 5 THEN concat('urn:uuid:', upper(u)) WHEN 6 THEN concat('{{', u, '}}')
-    WHEN 7 THEN 'nobody' WHEN 8 THEN replace(u, '-', '') ELSE u END AS player_id,
+  CASE WHEN event_id % 19 = 7 THEN 'nobody' ELSE
+    CASE (event_id + spelling) % 7 WHEN 1 THEN concat('urn:uuid:', upper(p)) WHEN 2 THEN concat('{{', p, '}}')
+      WHEN 3 THEN replace(p, '-', '') WHEN 4 THEN upper(p) ELSE p END END AS player_id,
   CASE event_id % 6 WHEN 0 THEN 'auto' WHEN 1 THEN 'en' WHEN 2 THEN 'en,de' WHEN 3 THEN 'fi'
     WHEN 4 THEN 'en,xx' ELSE 'de,de' END AS language_spec,
-  CASE event_id % 23 WHEN 1 THEN '7' WHEN 2 THEN '-3' WHEN 4 THEN 'abc' WHEN 6 THEN ' 960 ' WHEN 8 THEN '384003'
-    ELSE CAST(960 * (event_id % 10) AS STRING) END AS preroll,
+  CASE event_id % 23 WHEN 1 THEN '7' WHEN 2 THEN '-3' WHEN 4 THEN 'abc' WHEN 8 THEN '384003'
+    ELSE concat(CASE spelling WHEN 1 THEN ' +' ELSE '' END, CAST(960 * (event_id % 10) + more AS STRING), CASE spelling WHEN 1 THEN ' ' ELSE '' END)
+    END AS preroll,
   CASE event_id % 13 WHEN 1 THEN NULL WHEN 2 THEN '1' WHEN 3 THEN ' 1 ' WHEN 4 THEN 'yes' ELSE '0' END AS partial_flag,
   CASE event_id % 5 WHEN 0 THEN 'es' WHEN 1 THEN '' WHEN 2 THEN 'pl' ELSE NULL END AS detected_language,
   concat('tok-', CAST(user_id % 8 AS STRING)) AS token,
   samples_16k
 FROM (
-  SELECT event_id, user_id, {ts} AS occurred_at, CAST(round(value * 1000) AS BIGINT) AS samples_16k,
-    concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12)) AS u
-  FROM (SELECT *, md5(CAST(event_id AS STRING)) AS h FROM events) AS hashed
+  SELECT row_id, event_id, user_id, occurred_at, spelling, more, CAST(round(value * 1000) AS BIGINT) AS samples_16k,
+    concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-', substr(h, 13, 4), '-', substr(h, 17, 4), '-', substr(h, 21, 12)) AS u,
+    concat(substr(g, 1, 8), '-', substr(g, 9, 4), '-', substr(g, 13, 4), '-', substr(g, 17, 4), '-', substr(g, 21, 12)) AS p
+  FROM (
+    SELECT c.*, md5(concat(CAST(event_id AS STRING), burst)) AS h, md5(CAST(user_id AS STRING)) AS g FROM (
+      SELECT event_id, user_id, value, event_id * 8 AS row_id, {ts} AS occurred_at, 0 AS spelling, 0 AS more, '' AS burst FROM events
+      UNION ALL SELECT event_id, user_id, value, event_id * 8 + 1, {ts} + INTERVAL 60 SECONDS, 1, 0, '' FROM events WHERE event_id % 10 = 0
+      UNION ALL SELECT event_id, user_id, value, event_id * 8 + 2, {ts} + INTERVAL 60 SECONDS, 0, 3, '' FROM events WHERE event_id % 11 = 0
+      UNION ALL SELECT event_id, user_id, value, event_id * 8 + 3, {ts} + INTERVAL 121 SECONDS, 2, 0, '' FROM events WHERE event_id % 13 = 0
+      UNION ALL SELECT event_id, user_id, value, event_id * 8 + 4, {ts} + INTERVAL 1 SECONDS, 0, 0, 'a' FROM events WHERE user_id % 8 = 4 AND event_id % 2 = 0
+      UNION ALL SELECT event_id, user_id, value, event_id * 8 + 5, {ts} + INTERVAL 2 SECONDS, 0, 0, 'b' FROM events WHERE user_id % 8 = 4 AND event_id % 2 = 0
+      UNION ALL SELECT event_id, user_id, value, event_id * 8 + 6, {ts} + INTERVAL 3 SECONDS, 0, 0, 'c' FROM events WHERE user_id % 8 = 4 AND event_id % 2 = 0
+      UNION ALL SELECT event_id, user_id, value, event_id * 8 + 7, {ts} + INTERVAL 5 SECONDS, 0, 0, 'd' FROM events WHERE user_id % 8 = 4 AND event_id % 2 = 0
+    ) AS c
+  ) AS hashed
 ) AS named
 """
 
@@ -143,6 +160,13 @@ base AS (SELECT request_id, event_id, concat(coalesce(tenant_key, 'selfhost'), '
 copies AS ({REPLAY_LOG})"""
 
 
+def texts_said(spark: SparkSession, sf: str, numbered: DataFrame) -> DataFrame:
+    """numbered (event_id and more) with the text of the document whose turn it is: every event says something."""
+    docs = table(spark, sf, "documents")
+    turn = F.pmod("event_id", F.lit(docs.count())).alias("doc_id")
+    return numbered.select("*", turn).join(docs.select("doc_id", "lang", "text"), "doc_id")
+
+
 def raw_requests(spark: SparkSession, sf: str) -> DataFrame:
     sql = RAW_REQUESTS.format(ts=spark_ts()).replace("FROM events", "FROM {events}")
     return spark.sql(sql.replace("'{", "'{{").replace("}'", "}}'"), events=table(spark, sf, "events")).withColumn(

@@ -15,6 +15,7 @@ _PACKS = "[" + ", ".join(f"'{c}'" for c in INSTALLED) + "]"
 _MODEL = "[" + ", ".join(f"'{c}'" for c in MODEL_LANGUAGES) + "]"
 UUID_RE = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 PLAYER = "replace(regexp_replace(replace(replace(player_id, 'urn:', ''), 'uuid:', ''), '^[{}]+|[{}]+$', '', 'g'), '-', '')"
+PLAYER_UUID = rf"regexp_replace(lower({PLAYER}), '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\1-\2-\3-\4-\5')"
 PLAYER_OK = f"regexp_matches({PLAYER}, '^[0-9a-fA-F]{{32}}$')"
 SPEC_OK = """(language_spec = 'auto' OR (len(string_split(language_spec, ',')) <= 25
   AND regexp_matches(language_spec, '^[a-z]{2,3}(-[A-Za-z0-9]{2,8})*(,[a-z]{2,3}(-[A-Za-z0-9]{2,8})*)*$')

@@ -10,7 +10,7 @@ from catalogue.registry import query
 from earshot.functions import text as tx
 
 DOCS = f"docs AS (SELECT doc_id, lang, {NORM} AS norm FROM documents)"
-TALK = f"talk AS (SELECT conv_id, turn, {NORM} AS norm FROM conversations WHERE role = 'user')"
+TALK = f"talk AS (SELECT conv_id, turn, {NORM} AS norm FROM conversations)"
 # Vowels by base letter that the test languages can hold.
 VOWELS_RE = "aeiouyàáâãäåèéêëìíîïòóôõöùúûüýÿāăąēĕėęěĩīĭįōŏőũūŭůűųŷ"
 
@@ -100,16 +100,18 @@ def spelled_out(spark, sf):
     )
 
 
-@query("n7_request_digest", f"""WITH raw AS ({inputs.raw_requests_sql()})
-SELECT row_id, sha256(concat_ws(chr(1), player_id, language_spec, preroll,
+@query("n7_request_digest", rf"""WITH raw AS ({inputs.raw_requests_sql()}),
+bare AS (SELECT *, lower(regexp_replace(replace(player_id, 'urn:uuid:', ''), '[{{}}-]', '', 'g')) AS p FROM raw)
+SELECT row_id, sha256(concat_ws(chr(1), CASE WHEN length(p) = 32 THEN regexp_replace(p, '(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})', '\1-\2-\3-\4-\5') ELSE chr(0) END,
+  language_spec, coalesce(CAST(try_cast(trim(preroll) AS BIGINT) AS VARCHAR), chr(0)),
   CASE WHEN coalesce(trim(partial_flag), '0') = '1' THEN 'true' WHEN coalesce(trim(partial_flag), '0') = '0' THEN 'false' ELSE chr(0) END,
-  sha256(request_id))) AS digest FROM raw""")
+  sha256(request_id))) AS digest FROM bare""")
 def digests(spark, sf):
-    from earshot.operators.route import partial_flag
+    from earshot.operators.route import canonical_uuid, partial_flag, preroll_samples
 
     raw = inputs.raw_requests(spark, sf)
     digest = tx.request_digest(
-        F.col("player_id"), F.col("language_spec"), F.col("preroll"),
+        canonical_uuid(F.col("player_id")), F.col("language_spec"), preroll_samples(F.col("preroll")),
         partial_flag(F.col("partial_flag")), F.sha2("request_id", 256),
     )
     return raw.select("row_id", digest.alias("digest"))

@@ -207,9 +207,25 @@ def replace_word_once(text: Column, word: Column, substitute: Column) -> Column:
     return F.when(at > 0, rewritten).otherwise(text)
 
 
+_DAY_US = 86_400_000_000
+
+
+def utc_date(moment: Column) -> Column:
+    """The day a moment falls on in UTC, whatever the session's zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(moment) / _DAY_US).cast("int"))
+
+
 def iso_utc(moment: Column, millis: bool) -> Column:
-    pattern = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'" if millis else "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    return F.date_format(moment, pattern)
+    """An ISO stamp in UTC, whatever the session's zone."""
+    in_day = F.pmod(F.unix_micros(moment), F.lit(_DAY_US))
+
+    def part(unit: int, of: int, width: int) -> Column:
+        return F.lpad(F.pmod(F.floor(in_day / unit), F.lit(of)).cast("string"), width, "0")
+
+    clock = [F.lit("T"), part(3_600_000_000, 24, 2), F.lit(":"), part(60_000_000, 60, 2), F.lit(":"), part(1_000_000, 60, 2)]
+    if millis:
+        clock += [F.lit("."), part(1_000, 1_000, 3)]
+    return F.concat(utc_date(moment).cast("string"), *clock, F.lit("Z"))
 
 
 def request_digest(

@@ -29,6 +29,15 @@ def is_any_uuid(value: Column) -> Column:
     return F.coalesce((F.length(bare) == 32) & bare.rlike(hexadecimal), F.lit(False))
 
 
+def canonical_uuid(value: Column) -> Column:
+    """The lower-case hyphenated form of any spelling is_any_uuid takes; null for others."""
+    bare = F.replace(F.replace(value, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
+    bare = F.replace(F.regexp_replace(bare, r"\A[{}]+|[{}]+\z", ""), F.lit("-"), F.lit(""))
+    # What a number may be written with beside its digits, then the zeros those stood for.
+    digits = F.lpad(F.lower(F.regexp_replace(bare, r"\A\s*\+?(?:0[xX])?|_|\s", "")), 32, "0")
+    return F.when(is_any_uuid(value), F.regexp_replace(digits, "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"))
+
+
 def is_language_spec(spec: Column) -> Column:
     """auto, or up to 25 well-formed codes without repeats."""
     codes = F.split(spec, ",")
@@ -40,9 +49,14 @@ def is_language_spec(spec: Column) -> Column:
     return F.coalesce((spec == "auto") | listed, F.lit(False))
 
 
+def preroll_samples(value: Column) -> Column:
+    """The number a preroll is written as; null if it is none."""
+    return F.when(value.rlike(_PYTHON_INT), F.regexp_replace(value, "_|\\s", "").try_cast("bigint"))
+
+
 def is_preroll(value: Column, max_samples: int = domains.MAX_PREROLL_SAMPLES_48K) -> Column:
-    samples = F.regexp_replace(F.trim(value), "_|\\s", "").try_cast("bigint")
-    ok = value.rlike(_PYTHON_INT) & (samples >= 0) & (samples <= max_samples) & (samples % 3 == 0)
+    samples = preroll_samples(value)
+    ok = (samples >= 0) & (samples <= max_samples) & (samples % 3 == 0)
     return F.coalesce(ok, F.lit(False))
 
 
@@ -161,10 +175,15 @@ def model_outcome(model_languages: Sequence[str] | None) -> Column:
 def with_routing(
     requests: DataFrame, installed: Sequence[str], model_languages: Sequence[str] | None = None
 ) -> DataFrame:
-    """Adds partial, requested, detected, run_packs, verdict_language and what they rest on."""
+    """Adds partial, requested, detected, run_packs, verdict_language and what they rest on.
+
+    player_uuid and preroll_samples are the player and the preroll however they are spelled.
+    """
     spec = F.coalesce("language_spec", F.lit(""))
     return (
         requests.withColumn("partial", partial_flag(F.col("partial_flag")))
+        .withColumn("player_uuid", canonical_uuid(F.col("player_id")))
+        .withColumn("preroll_samples", preroll_samples(F.col("preroll")))
         .withColumn("requested", requested_languages(spec))
         .withColumn("detected", heard_language(F.col("detected_language"), model_languages))
         .withColumn("entitled", entitled_languages(installed, F.col("languages")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from earshot import schemas
+from earshot.functions.text import utc_date
 from earshot.operators import events as ev
 from earshot.operators import usage as metering
 
@@ -76,7 +77,7 @@ def append_events(events: DataFrame, path: str, horizon_days: int | None = None)
     enough when late redelivery is bounded.
     """
     spark = events.sparkSession
-    batch = events.dropDuplicates(list(ev.EVENT_KEY)).withColumn("event_date", F.to_date("occurred_at"))
+    batch = events.dropDuplicates(list(ev.EVENT_KEY)).withColumn("event_date", utc_date(F.col("occurred_at")))
     fresh = batch
     if _exists(spark, path):
         held = spark.read.schema(
@@ -85,8 +86,7 @@ def append_events(events: DataFrame, path: str, horizon_days: int | None = None)
         if horizon_days is not None:
             batch.persist()
             bounds = batch.agg(
-                F.date_sub(F.to_date(F.min("occurred_at")), horizon_days),
-                F.date_add(F.to_date(F.max("occurred_at")), horizon_days),
+                F.date_sub(F.min("event_date"), horizon_days), F.date_add(F.max("event_date"), horizon_days),
             ).first()
             held = held.filter(F.col("event_date").between(*map(F.lit, bounds)))
         fresh = batch.join(held.select(*ev.EVENT_KEY), list(ev.EVENT_KEY), "left_anti")

@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 from earshot import domains, schemas
 from earshot.functions import text as tx
 
-try:
-    import regex as _re
-except ImportError:  # the standard module lacks full case folding, nothing else
-    _re = None
+# Packs are written for this module: the standard one reads some of their patterns otherwise.
+import regex as _re
 
 _LANGUAGE = re.compile(domains.PACK_LANGUAGE)
 _RULE_ID = re.compile(domains.RULE_ID)
@@ -39,8 +37,6 @@ class PackFault(ValueError):
 
 def compile_rule_regex(pattern: str):
     """Case-insensitive with full folding, the way pack authors write them."""
-    if _re is None:
-        return re.compile(pattern, re.IGNORECASE)
     return _re.compile(pattern, _re.VERSION1 | _re.IGNORECASE | _re.FULLCASE)
 
 

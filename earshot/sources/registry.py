@@ -102,6 +102,49 @@ def supports_language(language: str | Column) -> Column:
 _CREDENTIAL_KEYS = ("token", "plan", "languages", "rate-limit-per-minute", "expires")
 
 
+_ISO_DATE = r"(\d{4})(?:-(\d\d)-(\d\d)|(\d\d)(\d\d)|-W(\d\d)(?:-(\d))?|W(\d\d)(\d)?)"
+_ISO_CLOCK = r"(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,](\d+))?)?)?"
+_ISO_OFFSET = r"(?:(Z)|([+-])(\d\d)(?::?(\d\d)(?::?(\d\d)(?:\.(\d+))?)?)?)"
+_ISO = rf"\A{_ISO_DATE}(?:[\s\S]{_ISO_CLOCK}{_ISO_OFFSET}?)?\z"
+# Hours, minutes and seconds are written all with colons or all without.
+_MIXED = r"\d\d:\d\d\d\d|\d\d\d\d:\d\d\z|[\s\S]\d\d\d\d:"
+
+
+def iso_moment(text: Column) -> Column:
+    """The moment an ISO 8601 text names, UTC unless it has an offset; null if it is none.
+
+    Calendar and week dates, with or without hyphens, alone or with a time of day after
+    any one character. The session's zone plays no part.
+    """
+
+    def group(i: int) -> Column:
+        return F.nullif(F.regexp_extract(text, _ISO, i), F.lit("")).cast("int")
+
+    def fraction(i: int) -> Column:
+        return F.rpad(F.substring(F.regexp_extract(text, _ISO, i), 1, 6), 6, "0").cast("int")
+
+    year, week = group(1), F.coalesce(group(6), group(8))
+    weekday = F.coalesce(group(7), group(9), F.lit(1))
+    fourth = F.make_date(F.nullif(year, F.lit(0)), F.lit(1), F.lit(4))
+    by_week = F.date_add(fourth, (week - 1) * 7 + weekday - 1 - F.weekday(fourth))
+    week_ok = weekday.between(1, 7) & (week >= 1) & (F.extract(F.lit("YEAROFWEEK"), by_week) == year)
+    zero = F.lit(0)
+    month, day = F.coalesce(group(2), group(4)), F.coalesce(group(3), group(5))
+    date = F.when(week.isNotNull(), F.when(week_ok, by_week)).otherwise(
+        F.to_date(F.try_make_timestamp(years=F.nullif(year, zero), months=month, days=day, hours=zero, mins=zero, secs=zero.cast("decimal(8,6)")))
+    )
+    hour, minute, second = (F.coalesce(group(i), zero) for i in (10, 11, 12))
+    off_hour, off_minute, off_second = (F.coalesce(group(i), zero) for i in (16, 17, 18))
+    clock = (hour * 3600 + minute * 60 + second).cast("long") * 1_000_000 + fraction(13)
+    offset = (off_hour * 3600 + off_minute * 60 + off_second).cast("long") * 1_000_000 + fraction(19)
+    sign = F.when(F.regexp_extract(text, _ISO, 15) == "-", -1).otherwise(1)
+    ok = (
+        text.rlike(_ISO) & ~F.substring(text, 9, 30).rlike(_MIXED) & date.isNotNull() & (hour < 24) & (minute < 60) & (second < 60)
+        & (off_hour < 24) & (off_minute < 60) & (off_second < 60)
+    )
+    return F.when(ok, F.timestamp_micros(F.unix_date(date).cast("long") * 86_400_000_000 + clock - sign * offset))
+
+
 def parse_credentials(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(credentials, rejects) from rows (source_path, value) of JSON text.
 
@@ -142,7 +185,7 @@ def parse_credentials(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         json_type("rate-limit-per-minute").alias("limit_type"),
         value("rate-limit-per-minute", "int").alias("rate_limit_per_minute"),
         json_type("expires").alias("expires_type"),
-        value("expires", "string").try_cast("timestamp").alias("expires_at"),
+        iso_moment(value("expires", "string")).alias("expires_at"),
     )
     code_ok = lambda c: c.rlike(rf"\A{domains.CREDENTIAL_LANGUAGE}\z")
     good_languages = (F.col("languages_type") == "VOID") | (

@@ -115,3 +115,36 @@ def test_credential_file_faults(spark):
     assert parse(spark, "[]", "{", "{}")[1] == {(str(i), None): "invalid_file" for i in range(3)}
     assert parse(spark, json.dumps({"a": "t", "b": "t"}))[1] == {("0", "a"): "duplicate_token", ("0", "b"): "duplicate_token"}
     assert parse(spark, json.dumps({"bad id": "t"}))[1] == {("0", "bad id"): "invalid_server_id"}
+
+
+ISO = {
+    "20260101": "2026-01-01T00:00:00", "2026-01-01": "2026-01-01T00:00:00", "2026-W01-1": "2025-12-29T00:00:00", "2026W011": "2025-12-29T00:00:00",
+    "2026-W01": "2025-12-29T00:00:00", "2026-01-01T00:00:00,5": "2026-01-01T00:00:00.500000", "2026-01-01 12": "2026-01-01T12:00:00",
+    "2026-01-01T12:30Z": "2026-01-01T12:30:00", "20260101T123015+0230": "2026-01-01T10:00:15", "2026-01-01T00:00:00-01:00": "2026-01-01T01:00:00",
+    "2026-01-01T00:00:00.1234567": "2026-01-01T00:00:00.123456", "2026": None, "2026-1-1": None, "2026-01-01T00:00:00 Europe/Berlin": None,
+    "2026-02-30": None, "2026-W54-1": None, "2026-01-01T24:30": None, "2026-01-01T1:00": None, "": None, "soon": None, "2026-01-01T": None,
+}
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_iso_moments_do_not_depend_on_the_session(spark, zone):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from earshot.functions.text import iso_utc, utc_date
+    from earshot.sources.registry import iso_moment
+
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = spark.createDataFrame([(t,) for t in ISO], "t string").select("t", F.unix_micros(iso_moment(F.col("t"))).alias("us")).collect()
+        for r in rows:
+            want = ISO[r.t] and datetime.datetime.fromisoformat(ISO[r.t]).replace(tzinfo=datetime.UTC)
+            assert r.us == (want and round(want.timestamp() * 1_000_000)), r.t
+        stamp = spark.sql("SELECT timestamp_micros(1767225600123456) AS m").select(
+            iso_utc(F.col("m"), True).alias("a"), iso_utc(F.col("m"), False).alias("b"), utc_date(F.col("m")).cast("string").alias("c")
+        ).first()
+        assert tuple(stamp) == ("2026-01-01T00:00:00.123Z", "2026-01-01T00:00:00Z", "2026-01-01")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
