@@ -5,9 +5,11 @@ share of its shingle hashes travels, packed (see packets); a document goes on if
 of these occur in other documents too. That drops what shares a passage or nothing with
 others, and loses no pair (see _region).
 
-Of the few that go on, equal sets are one class. Classes that share a hash of their
-prefixes (the hashes of which a pair must share one) lie in one cluster, and only pairs
-inside a cluster can link. Classes of a cluster are banded by set size, so that a class
+Of the few that go on, equal sets are one class. A class's prefix is so many of its
+rarest shingles, by how many classes have them, that a pair must share one of them;
+passages that many documents quote are frequent and so in hardly any prefix. Classes
+that share a shingle of their prefixes lie in one cluster, and only pairs inside a
+cluster can link. Classes of a cluster are banded by set size, so that a class
 can only link within its band and the next; bands are cut into blocks, and a tile is a
 pair of blocks. In a tile a bitmap of hashed shingles is made for each set, as wide as
 the sets of its bands ask for; differing bits bound the overlap from above, and what
@@ -100,8 +102,8 @@ def _matched(bucket: packets.Bucket) -> pa.RecordBatch | None:
     )
 
 
-def _set_maker(words: int, percent: int):
-    names = ["id", "n", "d1", "d2", "tokens", "prefix"]
+def _set_maker(words: int):
+    names = ["id", "n", "d1", "d2", "tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,18 +112,70 @@ def _set_maker(words: int, percent: int):
                 n = np.diff(begins)
                 at = np.flatnonzero(n)
                 rows = [tokens[begins[i] : begins[i + 1]] for i in at.tolist()]
-                p = n[at] - -(-n[at] * percent // 100) + 1
                 digests = [(int(tb.mix(r).sum(dtype=np.uint64)), int(tb.mix(r ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) for r in rows]
                 signed = lambda i: pa.array(np.array([d[i] for d in digests], np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(part.first, len(part)).take(pa.array(at)), pa.array(n[at].astype(np.int32)), signed(0), signed(1),
                     pa.array([r.tobytes() for r in rows], pa.binary()),
-                    pa.array([r[:k].view(np.int64) for r, k in zip(rows, p.tolist())], pa.list_(pa.int64())),
                 ], names=names)
 
     return run
 
 
+_RARITY = np.dtype([("count", "<u4"), ("token", "<u8")])
+
+
+def _class_packer(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            for a in range(0, batch.num_rows, 500):
+                own = sizes[a : a + 500]
+                tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")[a : a + 500]])
+                of = np.repeat(np.arange(len(own)), own)
+                yield packets.pack(tokens, of, np.zeros(len(of), np.uint8), batch.column("rep")[a : a + 500].to_numpy(), own, buckets)
+
+    return run
+
+
+def _frequent(bucket: packets.Bucket) -> pa.RecordBatch | None:
+    """The shingles that several classes have: a row per class, with their counts."""
+    at = np.flatnonzero(bucket.shared)
+    if not len(at):
+        return None
+    at = at[np.argsort(bucket.ids[at], kind="stable")]
+    rarity = np.empty(len(at), _RARITY)
+    rarity["count"], rarity["token"] = bucket.count[at], bucket.tokens[at]
+    ids = bucket.ids[at]
+    heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    edges = [*heads.tolist(), len(ids)]
+    blobs = [rarity[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(bucket.sizes[at][heads]), pa.array(blobs, pa.binary())], names=["key", "n", "rarity"])
+
+
+def _prefix_maker(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_by_key(batches):
+            rarity = np.concatenate([np.frombuffer(x.as_buffer(), _RARITY) for x in rows.column("rarity")])
+            n = rows.column("n")[0].as_py()
+            # Shingles of this class alone come first of all, and match nothing.
+            more = n - -(-n * percent // 100) + 1 - (n - len(rarity))
+            if more > 0:
+                tokens = rarity["token"][np.lexsort((rarity["token"], rarity["count"]))[:more]]
+                rep = np.full(len(tokens), rows.column("key")[0].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tokens.view(np.int64))], names=["rep", "token"])
+
+    return run
+
+
+def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
+    """rep and token: the shingles of each class's prefix that other classes have."""
+    buckets = packets.buckets_of(classes.sparkSession) // 4
+    packed = classes.mapInArrow(_class_packer(buckets), packets.PACKED)
+    found = packets.shared_tokens(packed, buckets, np.uint8, _frequent, "key long, n int, rarity binary")
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(_prefix_maker(percent), "rep long, token long")
+
+
 def _overlaps(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -249,17 +303,17 @@ def similar_documents(
     chosen = materialize(goes_on, "chosen")
     sets = materialize(
         rows.join(broadcast_if_bounded(chosen), "id").mapInArrow(
-            _set_maker(words, percent), "id long, n int, d1 long, d2 long, tokens binary, prefix array<long>"
+            _set_maker(words), "id long, n int, d1 long, d2 long, tokens binary"
         ),
         "sets",
     )
     same = materialize(sets.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
     belongs = sets.select("id", "n", "d1", "d2").join(same, ["n", "d1", "d2"]).select("id", "rep").distinct()
     classes = materialize(
-        sets.join(same, ["n", "d1", "d2"]).filter("id = rep").dropDuplicates(["rep", "d1", "d2"]).select("rep", "n", "tokens", "prefix"),
+        sets.join(same, ["n", "d1", "d2"]).filter("id = rep").dropDuplicates(["rep", "d1", "d2"]).select("rep", "n", "tokens"),
         "representatives",
     )
-    prefixes = classes.select("rep", F.explode("prefix").alias("token"))
+    prefixes = materialize(_prefixes(classes, percent), "prefixes")
     least = prefixes.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
     clusters = connected_components(prefixes.join(least, "token").filter("rep > low").select("low", "rep"), "low", "rep")
     members = materialize(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")

@@ -58,6 +58,7 @@ class Bucket:
     extra: np.ndarray
     shared: np.ndarray  # whether the token occurs in another document too
     first: np.ndarray  # the smallest document it occurs in
+    count: np.ndarray  # how often it occurs
 
 
 def _bucket(rows: pa.Table, extra_kind) -> Bucket:
@@ -69,7 +70,7 @@ def _bucket(rows: pa.Table, extra_kind) -> Bucket:
     heads = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     lengths = np.diff(np.append(heads, len(tokens)))
     low, high = np.minimum.reduceat(ids, heads), np.maximum.reduceat(ids, heads)
-    return Bucket(tokens, ids, sizes, extra, np.repeat(low != high, lengths), np.repeat(low, lengths))
+    return Bucket(tokens, ids, sizes, extra, np.repeat(low != high, lengths), np.repeat(low, lengths), np.repeat(lengths, lengths))
 
 
 def shared_tokens(packed: DataFrame, buckets: int, extra_kind, work, schema: str) -> DataFrame:
