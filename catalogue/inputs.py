@@ -7,6 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot import domains
 from earshot.functions import text as tx
 from earshot.sources.packs import RulePacks, packs_from_files, read_packs
 
@@ -212,21 +213,20 @@ def credentials_sql() -> str:
 
 
 # --- packs written from the data's own words ----------------------------------------
-# Words in at least one document in twenty of a language. Their number depends on how
-# long documents are and not on how many, so such a pack stays a pack at any scale.
+# Every word of the documents is a rule. A language's words are dealt by hash over as many
+# packs as keep each well under the thousand rules a pack may have: en-s0000, en-s0001, ...
 
-# A floor keeps small samples from calling every word frequent.
-WORD_SHARE, WORD_FLOOR = 0.05, 10
+PACK_RULES = 500
 
 
-def frequent_words(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf).select("doc_id", "lang", F.explode(F.array_distinct(tx.tokens(F.col("norm")))).alias("word"))
-    sizes = table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
-    return (
-        docs.filter("length(word) >= 4").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("df"))
-        .join(sizes, "lang")
-        .filter(F.col("df") >= F.greatest(F.lit(float(WORD_FLOOR)), WORD_SHARE * F.col("n_docs")))
-        .select("lang", "word")
+def pack_words(spark: SparkSession, sf: str) -> DataFrame:
+    """lang, the pack, and word: every distinct word that fits in a pattern."""
+    seen = documents(spark, sf).select("lang", F.explode(F.array_distinct(tx.tokens(F.col("norm")))).alias("word"))
+    words = seen.filter(f"word <> '' AND length(word) <= {domains.MAX_PATTERN_CHARS}").distinct()
+    sizes = words.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / PACK_RULES).cast("long").alias("packs"))
+    shard = F.pmod(F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long"), F.col("packs"))
+    return words.join(F.broadcast(sizes), "lang").select(
+        F.concat("lang", F.lit("-s"), F.lpad(shard.cast("string"), 4, "0")).alias("lang"), "word"
     )
 
 
@@ -234,21 +234,22 @@ NORM = r"trim(regexp_replace(replace(lower(nfc_normalize(text)),'ß','ss'),'[^\p
 
 WORDS_SQL = rf"""
 docs AS (SELECT doc_id, lang, {NORM} AS norm FROM documents),
-seen AS (SELECT DISTINCT doc_id, lang, unnest(string_split(norm, ' ')) AS word FROM docs),
-sizes AS (SELECT lang, count(*) AS n_docs FROM documents GROUP BY lang),
-words AS (SELECT lang, word FROM (SELECT lang, word, count(*) AS df FROM seen WHERE length(word) >= 4 GROUP BY lang, word)
-  JOIN sizes USING (lang) WHERE df >= greatest({WORD_FLOOR}.0, {WORD_SHARE} * n_docs))"""
+seen AS (SELECT DISTINCT lang, word FROM (SELECT lang, unnest(string_split(norm, ' ')) AS word FROM docs)
+  WHERE word <> '' AND length(word) <= {domains.MAX_PATTERN_CHARS}),
+sizes AS (SELECT lang, CAST(ceil(count(*) / {PACK_RULES}) AS BIGINT) AS packs FROM seen GROUP BY lang),
+words AS (SELECT concat(lang, '-s', lpad(CAST(CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT) % packs AS VARCHAR), 4, '0')) AS lang, word
+  FROM seen JOIN sizes USING (lang))"""
 
 # How a word becomes a rule; the same rule in both engines' words.
 CATEGORY_OF = "CASE length(word) % 5 WHEN 0 THEN 'spam' WHEN 1 THEN 'hate' WHEN 2 THEN 'threat' WHEN 3 THEN 'sexual' ELSE 'harassment' END"
 SEVERITY_OF = "1 + length(word) % 3"
 REVIEW_OF = "substr(md5(concat(lang, word)), 1, 1) IN ('0', '1', '2', '3')"
-FUZZY_OF = "substr(md5(concat(lang, word)), 2, 1) IN ('0', '1')"
+FUZZY_OF = f"length(word) >= {domains.FUZZY_MIN_CHARS} AND substr(md5(concat(lang, word)), 2, 1) IN ('0', '1')"
 PREFIX_OF = "CASE WHEN length(word) % 11 = 0 THEN 'misc' ELSE lang END"
 
 
 def word_pack_files(spark: SparkSession, sf: str, styled: bool = False) -> DataFrame:
-    """A YAML pack per language from its frequent words, as (source_path, content).
+    """The words as YAML packs, (source_path, content).
 
     styled writes terms with a capital and a full stop, which readers must undo.
     """
@@ -261,7 +262,7 @@ def word_pack_files(spark: SparkSession, sf: str, styled: bool = False) -> DataF
     for name, text in (("PREFIX", PREFIX_OF), ("TERM", term), ("CATEGORY", CATEGORY_OF),
                        ("SEVERITY", SEVERITY_OF), ("FUZZY", FUZZY_OF), ("REVIEW", REVIEW_OF)):
         rule = rule.replace(name, f"{text}" if name == "TERM" else f"({text})")
-    lines = frequent_words(spark, sf).select("lang", "word", F.expr(rule).alias("line"))
+    lines = pack_words(spark, sf).select("lang", "word", F.expr(rule).alias("line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "line"))), lambda r: r["line"]), "\n")
     # One file's rules are gathered; a pack is limited to a thousand.
     return lines.groupBy("lang").agg(body.alias("rules")).select(
@@ -271,11 +272,5 @@ def word_pack_files(spark: SparkSession, sf: str, styled: bool = False) -> DataF
     )
 
 
-_word_packs: dict[tuple, RulePacks] = {}
-
-
 def word_packs(spark: SparkSession, sf: str) -> RulePacks:
-    key = (id(spark.sparkContext), sf)
-    if key not in _word_packs:
-        _word_packs[key] = packs_from_files(word_pack_files(spark, sf))
-    return _word_packs[key]
+    return packs_from_files(word_pack_files(spark, sf))

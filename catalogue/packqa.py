@@ -1,4 +1,4 @@
-"""Q: quality jobs, over packs made of the documents' own frequent words."""
+"""Q: quality jobs, over packs made of all the documents' words."""
 
 from __future__ import annotations
 
@@ -13,9 +13,10 @@ from catalogue.inputs import (
 from catalogue.matching import DOC_MATCHES, hit_ctes
 from catalogue.registry import query
 from catalogue.text import VOWELS_RE
-from earshot import domains, schemas
+from earshot import domains
 from earshot.functions import text as tx
 from earshot.operators import packqa
+from earshot.plans.sizing import materialize
 from earshot.sources.packs import packs_from_files
 
 RULE_ID_OF = f"concat(({PREFIX_OF}), '.w-', substr(md5(word), 1, 12))"
@@ -37,7 +38,7 @@ COST = """list_sum(list_transform(range(1, len(a.cs) + 1), lambda k: CASE WHEN a
 PAIRS = f"""
 vocab AS (SELECT DISTINCT word FROM ruled), {ENCODED},
 fuzzy_pairs AS (SELECT a.word AS pattern, b.word AS token FROM (SELECT DISTINCT word FROM ruled WHERE fuzzy) p JOIN runs a ON a.word = p.word
-  JOIN runs b ON b.frame = a.frame WHERE length(b.word) <= length(a.word) + 6
+  JOIN runs b ON b.frame = a.frame WHERE length(b.word) >= 4 AND length(b.word) <= length(a.word) + 6
   AND {COST} <= CASE WHEN length(a.word) >= 6 THEN 2 ELSE 1 END),
 fires AS (SELECT language, word AS token, rule_id, category, severity, review FROM ruled WHERE NOT fuzzy
   UNION ALL SELECT language, token, rule_id, category, severity, review FROM ruled JOIN fuzzy_pairs ON pattern = word WHERE fuzzy)"""
@@ -45,7 +46,7 @@ FIRES = f"{RULED}, {PAIRS}"
 
 
 def _words(spark, sf):
-    return inputs.frequent_words(spark, sf)
+    return inputs.pack_words(spark, sf)
 
 
 @query("q1_self_firing", f"""WITH {FIRES}
@@ -56,11 +57,16 @@ def self_firing(spark, sf):
     return packqa.self_firing(inputs.word_packs(spark, sf))
 
 
+# Every other pack allows all of its own spam, and so declares a category it never reaches.
+MUTED = "category = 'spam' AND right(language, 1) IN ('0', '2', '4', '6', '8')"
+
+
 @query("q2_declared_facets", f"""WITH {RULED}
-SELECT DISTINCT language, 'category' AS facet, category AS value, true AS reached FROM ruled WHERE NOT review
-UNION SELECT DISTINCT language, 'severity', severity::VARCHAR, true FROM ruled WHERE NOT review""")
+SELECT DISTINCT language, 'category' AS facet, category AS value, NOT ({MUTED}) AS reached FROM ruled WHERE NOT review
+UNION SELECT language, 'severity', severity::VARCHAR, bool_or(NOT ({MUTED})) FROM ruled WHERE NOT review GROUP BY language, severity""")
 def declared_facets(spark, sf):
-    return packqa.declared_facets(inputs.word_packs(spark, sf))
+    muted = MUTED.replace("category", f"({CATEGORY_OF})").replace("language", "lang")
+    return packqa.declared_facets(_with_allow(spark, sf, "word", muted))
 
 
 @query("q3_acting_review_patterns", f"""WITH {FIRES}
@@ -72,14 +78,15 @@ def acting_review(spark, sf):
 
 CROSS = f"""{FIRES}, crossing AS (SELECT DISTINCT r.language, r.word AS pattern, f.language AS other_language, f.rule_id AS acting_rule_id
   FROM ruled r JOIN fires f ON f.token = r.word AND f.language <> r.language WHERE r.review AND NOT f.review),
-known AS (SELECT r.language, word AS pattern, o.language AS other_language FROM ruled r, (SELECT DISTINCT language FROM ruled) o
-  WHERE o.language <> r.language AND substr(md5(word), 4, 1) IN ('0', '1', '2', '3', '4'))"""
+known AS (SELECT r.language, word AS pattern, o.language AS other_language FROM ruled r JOIN (SELECT DISTINCT language FROM ruled) o
+  ON o.language <> r.language AND split_part(o.language, '-s', 2) = split_part(r.language, '-s', 2) WHERE substr(md5(word), 4, 1) IN ('0', '1', '2', '3', '4'))"""
 
 
 def _known(spark, sf):
-    """Disagreements taken for known: some words, against every other pack."""
+    """Disagreements taken for known: some words, against the packs of their number in other languages."""
     packs = inputs.word_packs(spark, sf)
-    others = F.array_remove(F.array(*map(F.lit, packs.languages)), F.col("lang"))
+    number = lambda c: F.substring_index(c, "-s", -1)
+    others = F.filter(F.array(*map(F.lit, packs.languages)), lambda o: (o != F.col("lang")) & (number(o) == number(F.col("lang"))))
     some = _words(spark, sf).filter("substr(md5(word), 4, 1) IN ('0', '1', '2', '3', '4')")
     return some.select(F.col("lang").alias("language"), F.col("word").alias("pattern"), F.explode(others).alias("other_language"))
 
@@ -102,9 +109,8 @@ def _with_allow(spark, sf, term, where="true"):
     terms = _words(spark, sf).filter(where).select(
         F.col("lang").alias("language"), F.lit(0).alias("allow_ord"), F.expr(term).alias("term")
     ).withColumn("n_tokens", F.size(tx.tokens(F.col("term"))))
-    table = terms.toArrow()
-    local = spark.createDataFrame(table, schemas.ALLOW_TERMS)
-    return replace(packs, allow_terms=local, n_allow=table.num_rows, allow_languages=packs.languages)
+    kept = materialize(terms, "allow-terms")
+    return replace(packs, allow_terms=kept, n_allow=kept.count(), allow_languages=packs.languages)
 
 
 SHADOW = "CASE WHEN substr(md5(word), 3, 1) = '0' THEN word ELSE concat(word, 'qx') END"
@@ -134,7 +140,7 @@ def _careless(spark, sf):
 
 
 @query("q8_unfit_fuzzy", f"""WITH {WORDS_SQL} SELECT lang AS language, {RULE_ID_OF} AS rule_id, {CARELESS} AS pattern FROM words
-WHERE substr(md5(word), 5, 1) IN ('0', '1')""")
+WHERE substr(md5(word), 5, 1) IN ('0', '1') OR length(word) < 4""")
 def unfit_fuzzy(spark, sf):
     return packqa.unfit_fuzzy_patterns(_careless(spark, sf))
 
@@ -156,8 +162,9 @@ def _phrase_packs(spark, sf, phrase):
     packs = inputs.word_packs(spark, sf)
     made = _words(spark, sf).select(
         F.col("lang").alias("language"), F.expr(RULE_ID_OF).alias("base_id"), F.expr(phrase).alias("pattern")
-    ).filter("pattern IS NOT NULL").withColumn("rule_id", F.concat("base_id", F.lit("-p")))
-    numbered = made.withColumn("rule_ord", (F.pmod(F.xxhash64("rule_id"), F.lit(1_000_000)) + 10_000).cast("int"))
+    ).filter("pattern IS NOT NULL")
+    base = packs.rules.select("language", F.col("rule_id").alias("base_id"), (F.col("rule_ord") + 10_000).alias("rule_ord"))
+    numbered = made.join(base, ["language", "base_id"]).withColumn("rule_id", F.concat("base_id", F.lit("-p")))
     rules = numbered.select(
         "language", F.lit(0).alias("pack_ord"), "rule_ord", "rule_id", F.lit("spam").alias("category"),
         F.lit(1).alias("severity"), F.lit("exact").alias("match_type"), F.lit(False).alias("context_required"),
@@ -169,24 +176,24 @@ def _phrase_packs(spark, sf, phrase):
         F.size(tx.tokens(F.col("pattern"))).alias("n_tokens"), F.length("pattern").alias("n_chars"),
         none.cast("array<string>").alias("run_chars"), none.cast("array<int>").alias("run_lens"), none.cast("string").alias("skeleton"),
     )
-    rules_table, patterns_table = rules.toArrow(), patterns.toArrow()
+    rules, patterns = materialize(rules, "phrase-rules"), materialize(patterns, "phrase-patterns")
     return replace(
-        packs,
-        rules=packs.rules.unionByName(spark.createDataFrame(rules_table, schemas.RULES)),
-        patterns=packs.patterns.unionByName(spark.createDataFrame(patterns_table, schemas.PATTERNS)),
-        n_patterns=packs.n_patterns + patterns_table.num_rows,
+        packs, rules=packs.rules.unionByName(rules), patterns=packs.patterns.unionByName(patterns),
+        n_patterns=packs.n_patterns + patterns.count(),
     )
 
 
 TWINNED = "CASE length(word) % 3 WHEN 0 THEN concat('i ll ', word) WHEN 1 THEN concat('ill ', word) ELSE concat('so i ll ', word) END"
 
 
-@query("q10_contractions", f"""WITH {RULED}, p AS (SELECT language, concat(rule_id, '-p') AS rule_id, {TWINNED} AS pattern FROM ruled WHERE language = 'en')
+@query("q10_contractions", f"""WITH {RULED}, p AS (SELECT language, concat(rule_id, '-p') AS rule_id, {TWINNED} AS pattern FROM ruled WHERE language LIKE 'en-%')
 SELECT language, rule_id, pattern, CASE WHEN contains(pattern, 'i ll ') THEN replace(pattern, 'i ll ', 'ill ') ELSE replace(pattern, 'ill ', 'i ll ') END AS twin
 FROM p WHERE pattern IS NOT NULL""")
 def contractions(spark, sf):
     pairs = (("i ll", "ill"), ("don t", "dont"))
-    return packqa.missing_contraction_twins(_phrase_packs(spark, sf, TWINNED), pairs)
+    packs = _phrase_packs(spark, sf, TWINNED)
+    english = [language for language in packs.languages if language.startswith("en-")]
+    return packqa.missing_contraction_twins(packs, pairs, english)
 
 
 @query("q11_plain_twins", f"""WITH {RULED} SELECT language, rule_id, word AS pattern, strip_accents(word) AS twin FROM ruled WHERE strip_accents(word) <> word""")
@@ -237,9 +244,9 @@ def pins(spark, sf):
     return packqa.broken_pins(inputs.word_packs(spark, sf), pinned)
 
 
-_CONSONANTS = ", ".join(f"('{c}')" for c in domains.CONSONANT_SAMPLE)
+_CONSONANTS = ", ".join(f"('{c}')" for c in packqa.CONSONANTS)
 _VOWELS = ", ".join(f"('{c}')" for c in domains.VOWELS)
-TRIED = f"""{RULED}, patterns AS (SELECT language, word AS p, length(word) AS n FROM ruled),
+TRIED = f"""{RULED}, patterns AS (SELECT language, word AS p, length(word) AS n FROM ruled WHERE fuzzy),
 spots AS (SELECT *, substr(p, i, 1) AS c, substr(p, 1, i - 1) AS head, substr(p, i + 1) AS tail, contains('{domains.VOWELS}', substr(p, i, 1)) AS vowel,
   CASE WHEN i > 1 THEN substr(p, i - 1, 1) ELSE '' END AS l, substr(p, i + 1, 1) AS r FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM patterns)),
 gaps AS (SELECT *, substr(p, i, 1) AS c, CASE WHEN i > 1 THEN substr(p, i - 1, 1) ELSE '' END AS l FROM (SELECT *, unnest(range(1, n + 2)) AS i FROM patterns)),
@@ -261,8 +268,8 @@ judged AS (SELECT t.*, t.token = t.p OR (length(t.token) >= 4 AND length(t.token
   FROM tried t JOIN runs a ON a.word = t.p JOIN runs b ON b.word = t.token)
 SELECT language, kind, accepted, count(*) AS n, count(*) FILTER (accepted = got) AS n_as_promised FROM judged GROUP BY language, kind, accepted""")
 def mutations(spark, sf):
-    """Kinds of drift tried on every frequent word, and how often the answer was the promised one."""
-    words = _words(spark, sf).select(
+    """Kinds of drift tried on every fuzzy word, and how often the answer was the promised one."""
+    words = _words(spark, sf).filter(FUZZY_OF).select(
         F.col("lang").alias("language"), F.expr(RULE_ID_OF).alias("rule_id"), F.col("word").alias("pattern")
     )
     from earshot.operators.match import fuzzy_accepts

@@ -24,7 +24,7 @@ def pack_patterns(spark, sf):
     )
 
 
-# One pack per frequent word, spoiled in the way its hash says.
+# One pack per word, spoiled in the way its hash says.
 SPOILT = """CASE substr(md5(word), 9, 1) WHEN '0' THEN 'invalid_category' WHEN '1' THEN 'invalid_severity' WHEN '2' THEN 'invalid_match_type'
   WHEN '3' THEN 'invalid_rule_id' WHEN '4' THEN 'invalid_language' WHEN '5' THEN 'fuzzy_pattern_not_single_token'
   WHEN '6' THEN 'empty_regex' WHEN '7' THEN 'invalid_regex' WHEN '8' THEN 'regex_rule_needs_probe' WHEN '9' THEN 'invalid_allow'
@@ -47,7 +47,7 @@ def pack_rejects(spark, sf):
         WHEN 'invalid_regex' THEN '(' WHEN 'regex_probe_does_not_match' THEN concat(word, 'qx') ELSE word END,
       'probe', if(code = 'regex_rule_needs_probe', '', concat(', probe: "', word, '"')),
       'allow', CASE code WHEN 'invalid_allow' THEN 'allow: ["!!"]' WHEN 'allow_shadows_rule' THEN concat('allow: ["', word, '"]') ELSE '' END)""")
-    f = inputs.frequent_words(spark, sf).withColumn("code", F.expr(SPOILT)).withColumn("p", pieces)
+    f = inputs.pack_words(spark, sf).withColumn("code", F.expr(SPOILT)).withColumn("p", pieces)
     text = F.expr("""concat(if(code = 'invalid_yaml', '{', ''), 'version: ', p.version, '\nlanguage: ', p.language, '\n', p.allow, '\nrules:\n  - {id: ', p.id, ', term: "', p.term,
       '", category: ', p.category, ', severity: ', p.severity, ', match: ', p.match, ', context_required: ', p.context, p.probe, '}\n')""")
     files = f.select(

@@ -24,9 +24,6 @@ FUZZY_MAX_EXTRA_CHARS = 6
 VOWELS = "aeiouy"
 LEET_VOWELS = {"0": "o", "1": "i", "3": "e", "4": "a"}
 
-# Consonants tried when a pack's fuzzy patterns are mutated.
-CONSONANT_SAMPLE = "bdfgklmnprstvz"
-
 # Requests.
 MAX_REQUEST_LANGUAGES = 25
 MAX_PREROLL_SAMPLES_48K = 384_000

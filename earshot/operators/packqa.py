@@ -6,6 +6,7 @@ matching as speech does.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,10 @@ from earshot.operators.verdict import acting_severity
 from earshot.plans.sizing import broadcast_counted
 from earshot.sources.packs import RulePacks
 
+#: Letters a mutation puts in a pattern's place or between its letters.
+CONSONANTS = "".join(c for c in string.ascii_lowercase if c not in domains.VOWELS)
+
+
 def listed(packs: RulePacks, with_regex: bool = False) -> DataFrame:
     """Patterns with their rule's tier, category and severity."""
     rules = packs.rules.select(
@@ -314,9 +319,9 @@ def mutations(fuzzy: DataFrame) -> DataFrame:
     vowel = F.lit(domains.VOWELS).contains(char)
     at = fuzzy.select("language", "rule_id", "pattern", F.explode(F.sequence(F.lit(1), n)).alias("i"))
     gaps = fuzzy.select("language", "rule_id", "pattern", F.explode(F.sequence(F.lit(1), n + 1)).alias("i"))
-    consonants = at.withColumn("r", F.explode(_chars_of(domains.CONSONANT_SAMPLE)))
+    consonants = at.withColumn("r", F.explode(_chars_of(CONSONANTS)))
     vowels = at.withColumn("r", F.explode(_chars_of(domains.VOWELS)))
-    inserts = gaps.withColumn("r", F.explode(_chars_of(domains.CONSONANT_SAMPLE)))
+    inserts = gaps.withColumn("r", F.explode(_chars_of(CONSONANTS)))
     r = F.col("r")
 
     def made(df: DataFrame, kind: str, token: Column, accepted: bool) -> DataFrame:
