@@ -99,6 +99,31 @@ def deltas(spark, sf):
     )
 
 
+def _map_text(column):
+    return F.array_join(F.transform(F.map_entries(column), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+
+
+def _running_map(name, column, condition):
+    @query(name, f"""WITH {DAILY},
+vals AS (SELECT DISTINCT {column} AS v FROM log WHERE {condition}),
+per AS (SELECT date_trunc('day', occurred_at) + INTERVAL 1 DAY AS reported_at, tenant_key, server_id, {column} AS v, count(*) AS n FROM log WHERE {condition} GROUP BY ALL),
+grid AS (SELECT r.reported_at, r.tenant_key, r.server_id, vals.v, coalesce(p.n, 0) AS n FROM running r CROSS JOIN vals
+  LEFT JOIN per p ON p.reported_at = r.reported_at AND p.server_id = r.server_id AND p.tenant_key IS NOT DISTINCT FROM r.tenant_key AND p.v = vals.v),
+total AS (SELECT *, sum(n) OVER (PARTITION BY tenant_key, server_id, v ORDER BY reported_at) AS s FROM grid)
+SELECT epoch_us(reported_at) AS reported_us, tenant_key, server_id,
+  coalesce(string_agg(v || ':' || CAST(s AS BIGINT), ',' ORDER BY v) FILTER (s > 0), '') AS counts FROM total GROUP BY ALL""")
+    def run(spark, sf):
+        log = inputs.event_log(spark, sf)
+        values = [r[0] for r in log.filter(condition).select(column).distinct().collect()]
+        histogram = usage.histogram_intervals(log, column, interval="1 day")
+        maps = usage.cumulative_maps(histogram, column, usage.usage_intervals(log, interval="1 day"), values)
+        return maps.select(F.unix_micros("reported_at").alias("reported_us"), "tenant_key", "server_id", _map_text("counts").alias("counts"))
+
+
+_running_map("a6_w1_outcomes", "outcome", "true")
+_running_map("a6_w1_severities", "severity", "outcome = 'success' AND NOT partial AND severity IS NOT NULL")
+
+
 @query("w3_newest", f"""WITH {LOG} SELECT tenant_key, request_id, severity FROM log WHERE tenant_key IS NOT NULL AND severity > 0
 ORDER BY occurred_at DESC, tenant_key DESC, request_id DESC LIMIT 2000""")
 def newest(spark, sf):
@@ -160,3 +185,20 @@ def latency(spark, sf):
     return usage.latency_summary(traces, exact=True).select(
         "outcome", "n", F.round("mean_ms", 6).alias("mean_ms"), "p50_ms", F.round("p95_ms", 6).alias("p95_ms")
     )
+
+
+STAGE_SQL = {"decode": "event_id % 7", "stt": "event_id % 11", "rules": "CASE WHEN event_id % 4 > 0 THEN event_id % 5 END", "classifier": "0",
+             "serialize": "NULL", "total": "CAST(round(value * 10) AS BIGINT)"}
+
+
+@query("a9_stages", "WITH t AS (" + " UNION ALL ".join(
+    f"SELECT event_type AS outcome, '{stage}' AS stage, CAST({sql} AS BIGINT) AS ms FROM events" for stage, sql in STAGE_SQL.items()
+) + """) SELECT outcome, stage, count(*) AS n, round(avg(ms), 6) AS mean_ms, round(quantile_cont(ms, 0.5), 6) AS p50_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms
+FROM t WHERE ms IS NOT NULL GROUP BY outcome, stage""")
+def stage_latencies(spark, sf):
+    events = inputs.table(spark, sf, "events")
+    traces = events.select(
+        F.col("event_type").alias("outcome"), *[F.expr(f"CAST({sql} AS BIGINT)").alias(f"{stage}_ms") for stage, sql in STAGE_SQL.items()]
+    )
+    found = usage.stage_latencies(traces, exact=True)
+    return found.select("outcome", "stage", "n", *[F.round(c, 6).alias(c) for c in ("mean_ms", "p50_ms", "p95_ms")])

@@ -140,6 +140,24 @@ def cumulative_snapshots(intervals: DataFrame, keys: Sequence[str] = SERVER) ->
     )
 
 
+def cumulative_maps(
+    histogram: DataFrame, column: str, intervals: DataFrame, values: Sequence, keys: Sequence[str] = SERVER
+) -> DataFrame:
+    """reported_at, keys and a map of value to its running count, at every report of a server.
+
+    histogram is histogram_intervals(column); values are those the column may have, a
+    short list. Every report gets a row of nothing for each of them, so that counts carry
+    on where nothing new happened; a value not seen yet is not in the map.
+    """
+    nothing = intervals.select("reported_at", *keys, F.explode(F.array(*map(F.lit, values))).alias(column), F.lit(0).cast("long").alias("n"))
+    counted = histogram.select("reported_at", *keys, column, "n").unionByName(nothing)
+    per = counted.groupBy("reported_at", *keys, column).agg(F.sum("n").alias("n"))
+    so_far = Window.partitionBy(*keys, column).orderBy("reported_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = per.select("reported_at", *keys, column, F.sum("n").over(so_far).alias("n"))
+    entries = F.collect_list(F.when(F.col("n") > 0, F.struct(column, "n")))
+    return running.groupBy("reported_at", *keys).agg(F.map_from_entries(F.array_sort(entries)).alias("counts"))
+
+
 def snapshot_deltas(
     snapshots: DataFrame, counters: Sequence[str] = ("requests", "flagged", "audio_seconds"),
     keys: Sequence[str] = SERVER,
@@ -178,10 +196,24 @@ def latency_summary(traces: DataFrame, exact: bool = False) -> DataFrame:
     The exact percentile keeps every distinct value, which milliseconds bound; the
     sketch is for logs where even that is too much.
     """
+    return _latencies(traces, "total_ms", ["outcome"], exact)
+
+
+STAGES = ("decode_ms", "stt_ms", "rules_ms", "classifier_ms", "serialize_ms", "total_ms")
+
+
+def stage_latencies(traces: DataFrame, exact: bool = False) -> DataFrame:
+    """The same per outcome and stage of the work; stages a request did not reach do not count."""
+    each = F.array(*[F.struct(F.lit(s.removesuffix("_ms")).alias("stage"), F.col(s).alias("ms")) for s in STAGES])
+    timed = traces.select("outcome", F.inline(each)).filter("ms IS NOT NULL")
+    return _latencies(timed, "ms", ["outcome", "stage"], exact)
+
+
+def _latencies(times: DataFrame, column: str, keys: Sequence[str], exact: bool) -> DataFrame:
     at = F.percentile if exact else F.percentile_approx
-    return traces.groupBy("outcome").agg(
+    return times.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("total_ms").alias("mean_ms"),
-        at("total_ms", F.lit(0.5)).alias("p50_ms"),
-        at("total_ms", F.lit(0.95)).alias("p95_ms"),
+        F.avg(column).alias("mean_ms"),
+        at(column, F.lit(0.5)).alias("p50_ms"),
+        at(column, F.lit(0.95)).alias("p95_ms"),
     )

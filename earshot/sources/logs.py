@@ -10,6 +10,9 @@ from earshot import schemas
 from earshot.functions.text import utc_date
 from earshot.operators import events as ev
 from earshot.operators import usage as metering
+from earshot.plans.sizing import materialize
+
+FILES_PER_TRIGGER = 64
 
 
 def read_utterances(
@@ -25,6 +28,9 @@ def stream_utterances(
     schema: StructType | None = schemas.UTTERANCES, **options: str,
 ) -> DataFrame:
     """Transcripts as they arrive: files of a folder, or any other streaming source."""
+    if path:
+        # Bounds what a micro-batch, and one key's part of it, may hold.
+        options = {"maxFilesPerTrigger": str(FILES_PER_TRIGGER), **options}
     reader = spark.readStream.format(fmt).options(**options)
     if schema is not None:
         reader = reader.schema(schema)
@@ -69,29 +75,27 @@ def write_verdicts(verdicts: DataFrame, path: str, flat: bool = False, mode: str
     out.write.mode(mode).parquet(path)
 
 
-def append_events(events: DataFrame, path: str, horizon_days: int | None = None) -> None:
+def append_events(events: DataFrame, path: str, horizon_days: int | None = 0) -> None:
     """Append the events whose (tenant, request) the table does not hold yet.
 
-    A redelivered batch therefore writes nothing. The table lies by day; with
-    horizon_days only the days within that reach of the batch are searched, which is
-    enough when late redelivery is bounded.
+    A redelivered batch therefore writes nothing. The table lies by day, and an event's
+    day is part of it, so only the batch's own days are searched: what a batch costs
+    does not grow with the table. horizon_days widens that, None searches all days.
     """
     spark = events.sparkSession
-    batch = events.dropDuplicates(list(ev.EVENT_KEY)).withColumn("event_date", utc_date(F.col("occurred_at")))
+    batch = materialize(events.dropDuplicates(list(ev.EVENT_KEY)).withColumn("event_date", utc_date(F.col("occurred_at"))), "batch")
     fresh = batch
     if _exists(spark, path):
         held = spark.read.schema(
             StructType([*schemas.FLAGGED_EVENTS.fields]).add("event_date", "date")
         ).parquet(path)
         if horizon_days is not None:
-            batch.persist()
             bounds = batch.agg(
                 F.date_sub(F.min("event_date"), horizon_days), F.date_add(F.max("event_date"), horizon_days),
             ).first()
             held = held.filter(F.col("event_date").between(*map(F.lit, bounds)))
         fresh = batch.join(held.select(*ev.EVENT_KEY), list(ev.EVENT_KEY), "left_anti")
     fresh.write.mode("append").partitionBy("event_date").parquet(path)
-    batch.unpersist()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
