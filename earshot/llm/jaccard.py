@@ -90,16 +90,33 @@ def _packer(words: int, percent: int, buckets: int):
     return run
 
 
-def _matched(bucket: packets.Bucket) -> pa.RecordBatch | None:
-    at = np.flatnonzero(bucket.shared)
-    if not len(at):
-        return None
-    order = np.lexsort((bucket.sizes[at], bucket.ids[at]))
-    ids, sizes = bucket.ids[at][order], bucket.sizes[at][order]
-    heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (sizes[1:] != sizes[:-1])]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[heads]), pa.array(sizes[heads]), pa.array(np.diff(np.append(heads, len(ids))))], names=["id", "n", "matched"]
-    )
+def _matched(groups: int):
+    """How many of each document's hashes in a bucket occur in other documents."""
+
+    def work(bucket: packets.Bucket) -> pa.RecordBatch | None:
+        at = np.flatnonzero(bucket.shared)
+        if not len(at):
+            return None
+        order = np.lexsort((bucket.sizes[at], bucket.ids[at]))
+        ids, sizes = bucket.ids[at][order], bucket.sizes[at][order]
+        heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (sizes[1:] != sizes[:-1])]))
+        return packets.scatter(ids[heads], sizes[heads], np.diff(np.append(heads, len(ids))).astype(np.int32), groups)
+
+    return work
+
+
+def _enough(percent: int):
+    """The documents of which enough hashes occur elsewhere."""
+
+    def work(ids: np.ndarray, sizes: np.ndarray, matched: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((sizes, ids))
+        ids, sizes, matched = ids[order], sizes[order].astype(np.int64), matched[order]
+        heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (sizes[1:] != sizes[:-1])]))
+        total = np.add.reduceat(matched.astype(np.int64), heads)
+        good = total * 10_000 >= sizes[heads] * ((100 - percent) * percent)
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(ids[heads][good]))], names=["id"])
+
+    return work
 
 
 def _set_maker(words: int):
@@ -138,42 +155,40 @@ def _class_packer(buckets: int):
     return run
 
 
-def _frequent(bucket: packets.Bucket) -> pa.RecordBatch | None:
-    """The shingles that several classes have: a row per class, with their counts."""
-    at = np.flatnonzero(bucket.shared)
-    if not len(at):
-        return None
-    at = at[np.argsort(bucket.ids[at], kind="stable")]
-    rarity = np.empty(len(at), _RARITY)
-    rarity["count"], rarity["token"] = bucket.count[at], bucket.tokens[at]
-    ids = bucket.ids[at]
-    heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    edges = [*heads.tolist(), len(ids)]
-    blobs = [rarity[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(ids[heads]), pa.array(bucket.sizes[at][heads]), pa.array(blobs, pa.binary())], names=["key", "n", "rarity"])
+def _frequent(groups: int):
+    """The shingles that several classes have, with their counts, class by class."""
 
+    def work(bucket: packets.Bucket) -> pa.RecordBatch | None:
+        at = np.flatnonzero(bucket.shared)
+        if not len(at):
+            return None
+        rarity = np.empty(len(at), _RARITY)
+        rarity["count"], rarity["token"] = bucket.count[at], bucket.tokens[at]
+        return packets.scatter(bucket.ids[at], bucket.sizes[at], rarity, groups)
 
-def _prefix_maker(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in runs_by_key(batches):
-            rarity = np.concatenate([np.frombuffer(x.as_buffer(), _RARITY) for x in rows.column("rarity")])
-            n = rows.column("n")[0].as_py()
-            # Shingles of this class alone come first of all, and match nothing.
-            more = n - -(-n * percent // 100) + 1 - (n - len(rarity))
-            if more > 0:
-                tokens = rarity["token"][np.lexsort((rarity["token"], rarity["count"]))[:more]]
-                rep = np.full(len(tokens), rows.column("key")[0].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tokens.view(np.int64))], names=["rep", "token"])
+    return work
 
-    return run
+
+def _prefix_of(percent: int):
+    def work(ids: np.ndarray, sizes: np.ndarray, rarity: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((rarity["token"], rarity["count"], ids))
+        ids, n, tokens = ids[order], sizes[order].astype(np.int64), rarity["token"][order]
+        heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        shared = np.diff(np.append(heads, len(ids)))
+        # Shingles of one class alone come first of all, and match nothing.
+        more = n[heads] - -(-n[heads] * percent // 100) + 1 - (n[heads] - shared)
+        keep = np.arange(len(ids)) - np.repeat(heads, shared) < np.repeat(more, shared)
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(tokens[keep].view(np.int64))], names=["rep", "token"])
+
+    return work
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     """rep and token: the shingles of each class's prefix that other classes have."""
     buckets = packets.buckets_of(classes.sparkSession) // 4
     packed = classes.mapInArrow(_class_packer(buckets), packets.PACKED)
-    found = packets.shared_tokens(packed, buckets, np.uint8, _frequent, "key long, n int, rarity binary")
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(_prefix_maker(percent), "rep long, token long")
+    found = packets.shared_tokens(packed, buckets, np.uint8, _frequent(buckets), packets.SCATTERED)
+    return packets.gather(found, buckets, (np.int32, _RARITY), _prefix_of(percent), "rep long, token long")
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray) -> int:
@@ -297,10 +312,9 @@ def similar_documents(
     buckets = packets.buckets_of(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).dropna()
     packed = rows.mapInArrow(_packer(words, percent, buckets), packets.PACKED)
-    found = packets.shared_tokens(packed, buckets, np.uint8, _matched, "id long, n int, matched long")
-    enough = F.sum("matched") * 10_000 >= F.col("n") * ((100 - percent) * percent)
-    goes_on = found.groupBy("id", "n").agg(enough.alias("enough")).filter("enough").select("id").distinct()
-    chosen = materialize(goes_on, "chosen")
+    groups = buckets // 4
+    found = packets.shared_tokens(packed, buckets, np.uint8, _matched(groups), packets.SCATTERED)
+    chosen = materialize(packets.gather(found, groups, (np.int32, np.int32), _enough(percent), "id long"), "chosen")
     sets = materialize(
         rows.join(broadcast_if_bounded(chosen), "id").mapInArrow(
             _set_maker(words), "id long, n int, d1 long, d2 long, tokens binary"

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from earshot.llm import textbytes as tb
 from earshot.llm.frames import runs_by_key
 
 PACKED = "key int, tokens binary, extra binary, ids binary, sizes binary, runs binary"
@@ -73,6 +74,35 @@ def _bucket(rows: pa.Table, extra_kind) -> Bucket:
     return Bucket(tokens, ids, sizes, extra, np.repeat(low != high, lengths), np.repeat(low, lengths), np.repeat(lengths, lengths))
 
 
+SCATTERED = "key int, ids binary, a binary, b binary"
+
+
+def scatter(ids: np.ndarray, a: np.ndarray, b: np.ndarray, groups: int) -> pa.RecordBatch:
+    """Figures of documents, packed again: one row per group of documents, by hash of the id."""
+    group = ((tb.mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int32)
+    order = np.lexsort((ids, group))
+    group, ids, a, b = group[order], ids[order], a[order], b[order]
+    edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+    spans = list(zip(edges[:-1], edges[1:]))
+    packed = [pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (ids.astype(np.int64), a, b)]
+    return pa.RecordBatch.from_arrays([pa.array(group[edges[:-1]]), *packed], names=["key", "ids", "a", "b"])
+
+
+def gather(scattered: DataFrame, groups: int, kinds: tuple, work, schema: str) -> DataFrame:
+    """work(ids, a, b) as rows of schema, for every group of documents, with each document's figures side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs_by_key(batches):
+            ids, a, b = (
+                np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)])
+                for name, kind in zip(("ids", "a", "b"), (np.int64, *kinds))
+            )
+            order = np.argsort(ids, kind="stable")
+            yield work(ids[order], a[order], b[order])
+
+    return scattered.repartition(groups, "key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
 def shared_tokens(packed: DataFrame, buckets: int, extra_kind, work, schema: str) -> DataFrame:
     """work(bucket) as rows of schema, for every bucket of packed."""
 
