@@ -103,3 +103,12 @@ def test_usage_stream_equals_batch(spark, tmp_path):
     got = run(spark, jobs.usage_stream(stream), tmp_path)
     want = usage.usage_intervals(spark.read.parquet(str(tmp_path / "in"))).filter(f"reported_at < timestamp_seconds({START + 9000})")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_request_path_survives_several_batches(spark):
+    """Outcomes of the two-stream path do not depend on how requests fall into micro-batches."""
+    import __spark_entry__ as entry
+
+    got = {r.row_id: (r.outcome, r.is_replay) for r in entry.queries()["t6_stream_requests"](spark, "/root/testdata/sf0.001").collect()}
+    want = {r.row_id: (r.outcome, r.is_replay) for r in entry.queries()["request_outcomes"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == want and {o for o, _ in want.values()} >= {"rate_limited", "request_id_reused", "success"}
