@@ -132,12 +132,21 @@ def _sample(docs: DataFrame, text: str, label: str, rows: int) -> tuple[list, li
     chosen = hashed.join(F.broadcast(first.select("label", "h")), ["label", "h"])
     chosen = chosen.dropDuplicates(["label", "h"]).orderBy("label", "h").select("text", "label")
     got = chosen.mapInArrow(count, "ids array<int>, counts array<int>, label string").toArrow()
-    pairs = [(np.asarray(a, np.int64), np.asarray(b, np.float64)) for a, b in zip(got["ids"].to_pylist(), got["counts"].to_pylist())]
+    # Views of the columns' own memory: as lists of Python numbers they would be ten times as large.
+    pairs = list(zip(_rows_of(got["ids"]), _rows_of(got["counts"])))
     keep = [i for i, p in enumerate(pairs) if len(p[0])]
     labels = got["label"].to_pylist()
     return [pairs[i] for i in keep], [labels[i] for i in keep]
 
 
+def _rows_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        values, offsets = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out.extend(values[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
+    return out
+
+
 def fit(
     docs: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS, seed: int = 3,
     epochs: int = 6, rate: float = 2.0, reject_rate: float = 0.001,
