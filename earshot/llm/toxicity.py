@@ -1,12 +1,16 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact cosine over a block-max index of all their terms.
 
-Terms are words and their leading five to eight bytes. The index has the terms that tell
-toxic examples from others (log-likelihood ratio), at most `vocabulary` of them, weighed
-by document frequencies counted over all documents. Its examples are a bounded sample of
-the labelled rows; both bounds are parameters. It is cut into blocks of 64 examples with
-the largest weight of every term in each. A query bounds every block by those maxima
-and visits blocks from the highest bound down, until no other block can hold a nearer
-example than the k found: the neighbours are exact.
+Terms are words and their leading five to eight bytes. The index has every term of its
+examples, of either class, by TF-IDF with frequencies counted over all documents; a term
+over-represented in toxic examples weighs the more, the larger its log-likelihood ratio,
+and no term weighs less than its TF-IDF. The examples are a bounded sample of the labelled
+rows, the one bound there is. They lie in blocks of 64 alike ones.
+
+The commonest terms are held as columns, with their largest weight in each block; the
+others as postings. A query adds up its postings, bounds every block by their largest sum
+in it and the columns' maxima, and visits the blocks that can still hold a nearer example
+than the k found, many queries at once. What comes near the k-th is computed again from
+the sparse vectors: the neighbours are exact.
 
 Neighbours vote with weights that fall with distance, classes weighed back to their
 shares among all labels. A monotone map, fitted on the examples with each left out of
@@ -15,6 +19,7 @@ its own neighbours, turns votes into calibrated scores.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,12 +33,15 @@ from earshot.llm import textbytes as tb
 from earshot.llm.frames import append_columns
 from earshot.plans.sizing import materialize
 
-#: Bounds of the sample: labelled examples of each class, and terms of the index.
+#: Bound of the sample: labelled examples of each class.
 CLASS_ROWS = 6_000
-VOCABULARY = 1_024
-EVIDENCE = 15.0  # least log-likelihood ratio of a term
+CHANCE = 15.0  # what chance may do to a log-likelihood ratio; the rest adds to a term's weight
 NEIGHBOURS = 15
 BLOCK = 64
+COLUMNS = 1_024  # so many of the commonest terms are columns, the others postings
+_GROUP = 8  # blocks visited at once
+_QUERIES = 128
+_NEAR = 1e-5  # more than single precision can be off
 SHARPNESS = 4  # votes weigh as this power of the cosine
 KEPT_CACHE = 20_000
 _PREFIXES = (5, 6, 7, 8)
@@ -54,32 +62,46 @@ def _terms(part: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Vocabulary:
-    """Sorted term hashes with their inverse document frequencies."""
+    """Sorted term hashes with the weight of each: inverse document frequency, times evidence."""
 
     terms: np.ndarray
-    idf: np.ndarray
-    sieve: np.ndarray = field(init=False)
+    weight: np.ndarray
+    slots: np.ndarray | None = field(init=False, default=None)  # made where texts are read
+
+    def _hash(self) -> None:
+        self._mask = np.uint64((1 << max(16, int(2 * len(self.terms)).bit_length())) - 1)
+        at = (self.terms & self._mask).astype(np.int32)
+        self.crowded = np.zeros(int(self._mask) + 1, bool)
+        ordered = np.sort(at)
+        self.crowded[ordered[1:][ordered[1:] == ordered[:-1]]] = True
+        self.slots = np.full(int(self._mask) + 1, -1, np.int32)
+        self.slots[at] = np.arange(len(at), dtype=np.int32)
 
-    def __post_init__(self) -> None:
-        self.sieve = np.zeros(1 << 16, bool)
-        self.sieve[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
+    def __reduce__(self):
+        return Vocabulary, (self.terms, self.weight)
 
     def counts(self, part: tb.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, term number and count of all terms of the vocabulary in the texts, ordered."""
         empty = np.zeros(0, np.int64)
         if not len(self.terms):
             return empty, empty, empty
+        if self.slots is None:
+            self._hash()
         hashes, texts = _terms(part)
-        at = np.flatnonzero(self.sieve[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
-        which = np.minimum(np.searchsorted(self.terms, hashes[at]), len(self.terms) - 1)
-        same = self.terms[which] == hashes[at]
-        pair, n = np.unique(texts[at[same]] * len(self.terms) + which[same], return_counts=True)
+        slot = (hashes & self._mask).astype(np.int64)
+        which = self.slots[slot].astype(np.int64)
+        same = (which >= 0) & (self.terms[which] == hashes)
+        others = np.flatnonzero(self.crowded[slot] & ~same)
+        if len(others):
+            which[others] = np.minimum(np.searchsorted(self.terms, hashes[others]), len(self.terms) - 1)
+            same[others] = self.terms[which[others]] == hashes[others]
+        pair, n = np.unique(texts[same] * len(self.terms) + which[same], return_counts=True)
         return pair // len(self.terms), pair % len(self.terms), n
 
     def vectors(self, part: tb.Texts) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Term numbers and unit TF-IDF weights of each text."""
+        """Term numbers and unit weights of each text."""
         text, term, n = self.counts(part)
-        weight = (1 + np.log(n)) * self.idf[term] if len(n) else np.zeros(0)
+        weight = (1 + np.log(n)) * self.weight[term] if len(n) else np.zeros(0)
         bounds = np.searchsorted(text, np.arange(len(part) + 1))
         out = []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -88,36 +110,117 @@ class Vocabulary:
         return out
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to its end, one range after another."""
+    n = ends - starts
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Index:
+    """Examples as sparse rows, the same as columns and postings, and the maxima of blocks."""
+
+    def __init__(self, n_terms: int, begins: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        self.n_terms, self.begins, self.terms, self.weights = n_terms, begins, terms, weights
+        self.n = len(begins) - 1
+        self.n_blocks = -(-self.n // BLOCK)
+        df = np.bincount(terms, minlength=n_terms)
+        columns = np.sort(np.argsort(-df, kind="stable")[:COLUMNS])
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[columns] = np.arange(len(columns), dtype=np.int32)
+        self.dense = np.zeros((self.n_blocks * BLOCK, len(columns)), np.float32)
+        for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
+            c = self.column[terms[a:b]]
+            self.dense[i, c[c >= 0]] = weights[a:b][c >= 0]
+        self.examples = None
+
+    def _post(self) -> None:
+        """Maxima of the columns, and postings of the other terms."""
+        self.maxima = self.dense.reshape(self.n_blocks, BLOCK, self.dense.shape[1]).max(axis=1)
+        rare = self.column[self.terms] < 0
+        terms = self.terms[rare]
+        order = np.argsort(terms, kind="stable").astype(np.int32)
+        of = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.begins))[rare]
+        self.posted = self.weights[rare][order]
+        self.post = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=self.n_terms))])
+        self.examples = of[order]
+
+    def __reduce__(self):
+        return Index, (self.n_terms, self.begins, self.terms, self.weights)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Numbers and cosines of the k nearest examples of every query, exactly; ties go to the lower number."""
+        if self.examples is None:
+            self._post()
+        m, width = len(queries), self.n_blocks * BLOCK
+        query = np.zeros((m, self.dense.shape[1]), np.float32)
+        posted = np.zeros((m, width), np.float32)
+        for i, (terms, weights) in enumerate(queries):
+            c = self.column[terms]
+            query[i, c[c >= 0]] = weights[c >= 0]
+            rare, w = terms[c < 0], weights[c < 0]
+            a, b = self.post[rare], self.post[rare + 1]
+            at = _ranges(a, b)
+            if len(at):
+                posted[i] = np.bincount(self.examples[at], self.posted[at] * np.repeat(w, b - a), width)
+        bounds = query @ self.maxima.T + posted.reshape(m, self.n_blocks, BLOCK).max(axis=2)
+        scores = np.zeros((m, width), np.float32)
+        best = np.zeros((m, k), np.float32)
+        for g in np.argsort(-np.add.reduceat(bounds.sum(axis=0), np.arange(0, self.n_blocks, _GROUP)), kind="stable").tolist():
+            blocks = slice(g * _GROUP, min((g + 1) * _GROUP, self.n_blocks))
+            span = slice(blocks.start * BLOCK, blocks.stop * BLOCK)
+            live = np.flatnonzero(bounds[:, blocks].max(axis=1) >= np.maximum(best[:, 0] - _NEAR, 1e-12))
+            if not len(live):
+                continue
+            part = query[live] @ self.dense[span].T + posted[live, span]
+            if leave_out is not None:
+                own = np.flatnonzero((leave_out[live] >= span.start) & (leave_out[live] < span.stop))
+                part[own, leave_out[live[own]] - span.start] = 0
+            scores[live, span] = part
+            both = np.concatenate([best[live], part], axis=1)
+            both = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            best[live] = np.sort(both, axis=1)
+        out = []
+        own = np.zeros(self.n_terms)
+        for i, (terms, weights) in enumerate(queries):
+            at = np.flatnonzero(scores[i] >= max(best[i, 0] - _NEAR, 1e-30))
+            own[terms] = weights
+            inner = _ranges(self.begins[at], self.begins[at + 1])
+            products = own[self.terms[inner]] * self.weights[inner]
+            own[terms] = 0
+            cosine = np.bincount(np.repeat(np.arange(len(at)), self.begins[at + 1] - self.begins[at]), products, len(at))
+            order = np.lexsort((at, -cosine))[:k]
+            out.append((at[order], cosine[order]))
+        return out
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
     ids: np.ndarray
     toxic: np.ndarray
     class_weight: np.ndarray  # of either class
-    blocks: list[np.ndarray]  # examples by terms
-    maxima: np.ndarray  # blocks by terms
+    index: Index
     k: int
     prior: float
     empty_score: float  # of a text without any term
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the monotone map
     scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    @property
+    def blocks(self) -> list[np.ndarray]:
+        """The examples by terms, block by block, in full: for tests."""
+        out = []
+        for a in range(0, self.index.n, BLOCK):
+            b = min(a + BLOCK, self.index.n)
+            m = np.zeros((b - a, self.index.n_terms))
+            x = slice(self.index.begins[a], self.index.begins[b])
+            m[np.repeat(np.arange(b - a), np.diff(self.index.begins[a : b + 1])), self.index.terms[x]] = self.index.weights[x]
+            out.append(m)
+        return out
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples, exactly; ties go to the lower number."""
-        bounds = self.maxima[:, terms] @ weights
-        found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(cosine) >= self.k and cosine[-1] > bounds[b] + 1e-12:
-                break
-            scores = self.blocks[b][:, terms] @ weights
-            at = np.flatnonzero(scores > 0)
-            number, score = at + b * BLOCK, scores[at]
-            if leave_out >= 0:
-                score, number = score[number != leave_out], number[number != leave_out]
-            found, cosine = np.concatenate([found, number]), np.concatenate([cosine, score])
-            order = np.lexsort((found, -cosine))[: self.k]
-            found, cosine = found[order], cosine[order]
-        return found, cosine
+        return self.index.nearest([(terms, weights)], self.k)[0]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         weight = np.minimum(cosine, 1.0) ** SHARPNESS * self.class_weight[self.toxic[found]]
@@ -157,18 +260,19 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[heads].view(np.int64)), pa.array(t), pa.array(n - t)], names=["term", "t", "o"])
 
 
-def _choose_terms(chosen: DataFrame, n_toxic: int, n_other: int, most: int) -> np.ndarray:
-    """The terms most over-represented in toxic examples."""
+def _all_terms(chosen: DataFrame, n_toxic: int, n_other: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every term of the examples, and by how much its evidence for toxic ones raises its weight: 1 at least."""
     counts = chosen.select("text", "toxic").mapInArrow(_term_counts, "term long, t long, o long").groupBy("term").agg(
         F.sum("t").alias("t"), F.sum("o").alias("o")
     )
-    both = F.col("t") + F.col("o")
-    n = n_toxic + n_other
+    both, n = F.col("t") + F.col("o"), n_toxic + n_other
     part = lambda x, share: F.when(x > 0, x * F.log(x / (both * share))).otherwise(0.0)
     ratio = 2 * (part(F.col("t"), n_toxic / n) + part(F.col("o"), n_other / n))
-    best = counts.filter(F.col("t") * n_other > F.col("o") * n_toxic).select("term", ratio.alias("g")).filter(F.col("g") >= EVIDENCE)
-    rows = best.orderBy(F.desc("g"), "term").limit(most).toArrow()
-    return np.sort(rows.column("term").to_numpy().view(np.uint64))
+    factor = F.when(F.col("t") * n_other > F.col("o") * n_toxic, 1 + F.greatest(ratio - CHANCE, F.lit(0.0))).otherwise(1.0)
+    rows = counts.select("term", factor.cast("float").alias("factor")).toArrow()
+    terms, factors = rows.column("term").to_numpy().view(np.uint64), rows.column("factor").to_numpy()
+    order = np.argsort(terms)
+    return terms[order], factors[order]
 
 
 def _document_frequencies(docs: DataFrame, text: str, terms: np.ndarray) -> np.ndarray:
@@ -191,7 +295,7 @@ def _document_frequencies(docs: DataFrame, text: str, terms: np.ndarray) -> np.n
 
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-    class_rows: int = CLASS_ROWS, vocabulary: int = VOCABULARY, k: int = NEIGHBOURS,
+    class_rows: int = CLASS_ROWS, k: int = NEIGHBOURS,
 ) -> Model | None:
     """A model from at most class_rows labelled examples of each class; None without both classes.
 
@@ -212,10 +316,10 @@ def fit(
     sampled = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     if len(sampled) < 2:
         return None
-    terms = _choose_terms(chosen, sampled[1], sampled[0], vocabulary)
+    terms, evidence = _all_terms(chosen, sampled[1], sampled[0])
     n_docs = docs.count()
     idf = np.log((1 + n_docs) / (1 + _document_frequencies(docs, text, terms))) + 1
-    known = Vocabulary(terms, idf)
+    known = Vocabulary(terms, idf * evidence)
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,32 +328,63 @@ def fit(
                 own = shared.value.vectors(part)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(part.first, len(part)).cast(pa.string()), batch.column(1).slice(part.first, len(part)),
-                    pa.array([v[0] for v in own], pa.list_(pa.int64())), pa.array([v[1] for v in own], pa.list_(pa.float64())),
+                    pa.array([v[0].astype(np.int32) for v in own], pa.list_(pa.int32())), pa.array([v[1].astype(np.float32) for v in own], pa.list_(pa.float32())),
                 ], names=["id", "toxic", "terms", "weights"])
 
-    rows = chosen.select("id", "toxic", "text").mapInArrow(vectors, "id string, toxic int, terms array<long>, weights array<double>").toArrow()
+    rows = chosen.select("id", "toxic", "text").mapInArrow(vectors, "id string, toxic int, terms array<int>, weights array<float>").toArrow()
     toxic = rows.column("toxic").to_numpy().astype(np.int64)
-    pairs = [(np.asarray(a, np.int64), np.asarray(b, np.float64)) for a, b in zip(rows.column("terms").to_pylist(), rows.column("weights").to_pylist())]
+    ids = rows.column("id").to_pylist()
+    pairs = list(zip(_lists(rows.column("terms")), _lists(rows.column("weights"))))
+    del rows
     weight = np.array([totals[c] / sampled[c] for c in (0, 1)])
     prior = totals[1] / (totals[0] + totals[1])
     some = np.array([len(p[0]) > 0 for p in pairs])
     mass = weight[toxic[~some]]
     empty = float((mass @ toxic[~some] + prior) / (mass.sum() + 1))
-    return _index(known, rows.column("id").to_pylist(), toxic, pairs, np.flatnonzero(some), weight, k, prior, empty)
+    return _index(known, ids, toxic, pairs, np.flatnonzero(some), weight, k, prior, empty)
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for chunk in column.chunks:
+        values, offsets = chunk.values.to_numpy(zero_copy_only=False), chunk.offsets.to_numpy()
+        out.extend(values[a:b] for a, b in zip(offsets[:-1], offsets[1:]))
+    return out
+
+
+def _packed(n_terms: int, pairs: list, at: np.ndarray) -> Index:
+    begins = np.concatenate([[0], np.cumsum([len(pairs[i][0]) for i in at.tolist()])]).astype(np.int64)
+    terms, weights = (np.concatenate([*(pairs[i][c] for i in at.tolist()), np.zeros(0, kind)]) for c, kind in ((0, np.int32), (1, np.float32)))
+    return Index(n_terms, begins, terms, weights)
+
+
+def _alike(dense: np.ndarray, centres: int = 32, rounds: int = 6) -> np.ndarray:
+    """A cluster for every row, by spherical k-means from evenly spaced rows. dense is scaled in place."""
+    unit = dense
+    unit /= np.maximum(np.sqrt(np.einsum("ij,ij->i", unit, unit)), 1e-9)[:, None]
+    centre = unit[np.linspace(0, len(unit) - 1, centres).astype(int)]
+    for _ in range(rounds):
+        own = (unit @ centre.T).argmax(axis=1)
+        centre = np.array([unit[own == c].sum(axis=0) for c in range(centres)])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+    return own
 
 
 def _index(known: Vocabulary, ids: list, toxic: np.ndarray, pairs: list, at: np.ndarray, weight: np.ndarray, k: int, prior: float, empty: float) -> Model:
-    # Examples with the same leading term side by side: blocks then differ in their maxima.
-    at = np.array(sorted(at.tolist(), key=lambda i: (int(pairs[i][0][pairs[i][1].argmax()]), len(pairs[i][0]), ids[i])), np.int64)
-    blocks = []
-    for a in range(0, len(at), BLOCK):
-        m = np.zeros((len(at[a : a + BLOCK]), len(known.terms)), np.float64)
-        for row, i in zip(m, at[a : a + BLOCK].tolist()):
-            row[pairs[i][0]] = pairs[i][1]
-        blocks.append(m)
-    maxima = np.array([m.max(axis=0) for m in blocks]).reshape(len(blocks), len(known.terms))
-    model = Model(known, np.array([ids[i] for i in at.tolist()], dtype=object), toxic[at], weight, blocks, maxima, k, prior, empty)
-    votes = np.array([model.vote(*model.nearest(*pairs[i], leave_out=j)) for j, i in enumerate(at.tolist())])
+    # Alike examples side by side: blocks then differ in their maxima.
+    at = np.array(sorted(at.tolist(), key=lambda i: ids[i]), np.int64)
+    if len(at):
+        own = _alike(_packed(len(known.terms), pairs, at).dense[: len(at)])
+        at = at[np.lexsort((np.arange(len(at)), toxic[at], own))]
+    index = _packed(len(known.terms), pairs, at)
+    pairs.clear()
+    model = Model(known, np.array([ids[i] for i in at.tolist()], dtype=object), toxic[at], weight, index, k, prior, empty)
+    votes = np.zeros(len(at))
+    for a in range(0, len(at), _QUERIES):
+        which = np.arange(a, min(a + _QUERIES, len(at)))
+        vectors = [(index.terms[x], index.weights[x]) for x in map(slice, index.begins[which].tolist(), index.begins[which + 1].tolist())]
+        near = index.nearest(vectors, k, which)
+        votes[which] = [model.vote(*x) for x in near]
     if len(votes):
         model.votes, model.scores = _monotone(votes, toxic[at].astype(np.float64), weight[toxic[at]])
     return model
@@ -258,7 +393,7 @@ def _index(known: Vocabulary, ids: list, toxic: np.ndarray, pairs: list, at: np.
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with score double (0 to 1), predicted int, evidence array of example ids and similarity array of their cosines.
 
-    A text with none of the index's terms, an empty or a null one, gets the share of toxic
+    A text with no term of any example, an empty or a null one, gets the share of toxic
     rows among such examples and no evidence. Without a model every score is 0. Equal
     texts get equal scores. Columns of the four names are replaced.
     """
@@ -272,19 +407,20 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
             scores, evidence, cosines = [0.0] * len(column), [[]] * len(column), [[]] * len(column)
         else:
             for part in tb.slices(column):
-                for terms, weights in model.vocabulary.vectors(part):
-                    if not len(terms):
-                        one = (model.empty_score, [], [])
-                    else:
-                        query = terms.tobytes() + weights.tobytes()
-                        one = cache.get(query)
-                        if one is None:
-                            found, cosine = model.nearest(terms, weights)
-                            value = float(model.calibrated(np.array([model.vote(found, cosine)]))[0]) if len(found) else model.empty_score
-                            one = (value, model.ids[found[:3]].tolist(), np.minimum(cosine[:3], 1).tolist())
-                            if len(cache) < KEPT_CACHE:
-                                cache[query] = one
-                    for out, v in zip((scores, evidence, cosines), one):
+                vectors = model.vocabulary.vectors(part)
+                keys = [hashlib.blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() for t, w in vectors]
+                known = {key: cache.get(key) for key in keys}
+                new = {key: v for key, v in zip(keys, vectors) if known[key] is None and len(v[0])}
+                todo = list(new)
+                for a in range(0, len(todo), _QUERIES):
+                    some = todo[a : a + _QUERIES]
+                    for key, (found, cosine) in zip(some, model.index.nearest([new[x] for x in some], model.k)):
+                        value = float(model.calibrated(np.array([model.vote(found, cosine)]))[0]) if len(found) else model.empty_score
+                        known[key] = (value, model.ids[found[:3]].tolist(), np.minimum(cosine[:3], 1).tolist())
+                        if len(cache) < KEPT_CACHE:
+                            cache[key] = known[key]
+                for key in keys:
+                    for out, v in zip((scores, evidence, cosines), known[key] or (model.empty_score, [], [])):
                         out.append(v)
         values = np.clip(np.array(scores, np.float64), 0, 1)
         return [

@@ -255,6 +255,19 @@ def test_nearest_examples_are_exact(spark):
             assert np.allclose(cosine, every[order]) and len(found) == len(order)
 
 
+def test_texts_without_toxic_words_are_compared_too(spark):
+    docs, labels = toxic_rows(300, 6)
+    d, l = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(d, l.filter(~langid.held_out()))
+    part = next(tb.slices(pa.array([t for _, t in docs])))
+    hashes, _ = toxicity._terms(next(tb.slices(pa.array([t for i, t in docs if str(i) in set(model.ids)]))))
+    assert np.array_equal(model.vocabulary.terms, np.unique(hashes))
+    assert all(len(terms) for terms, _ in model.vocabulary.vectors(part))
+    truth = dict(labels)
+    found = [x for x in toxicity.score(d, model).filter(langid.held_out()).collect() if not truth[x.doc_id]]
+    assert found and all(len(x.evidence) == 3 and x.similarity[0] > 0 for x in found)
+
+
 def test_toxicity_edges(spark):
     docs, labels = toxic_rows(120, 5)
     d = spark.createDataFrame(docs, DOCS)
