@@ -4,10 +4,12 @@ A page is a sequence of text nodes, each under a path of tags from the root. For
 path the lengths of its texts and their punctuation are summed and set against the
 number of its nodes: article paths carry long, punctuated texts, navigation paths many
 short ones. The two ratios are smoothed over the neighbouring nodes in page order,
-fused into one figure, and paths above a threshold that follows the page's own spread
-are content. What names itself as something else (menus, footers, forms, comments, by
-tag, class, id or role) is left out whatever its ratio. Where the page marks its
-article, the content paths are sought in it and short texts between content stay.
+fused into one figure, and what lies above the gap between the page's two groups of
+figures is content. Tags and names are weights of a path: an article's text weighs more,
+the larger its part of the page; what names itself as something else (menus, footers,
+forms, comments, by tag, class, id or role) and what is a link weighs less. Plain texts
+of an article that lie between its content stay. Only what a browser does not show is
+left out whatever its ratio.
 
 Each page is worked on alone inside a Spark task, in Arrow batches.
 """
@@ -15,6 +17,7 @@ Each page is worked on alone inside a Spark task, in Arrow batches.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
@@ -64,6 +67,18 @@ _OTHER_WORDS = frozenset(
     "comment comments commentlist disqus discussion reply replies respond responses reactions pagination pager copyright "
     "legal disclaimer skip hidden form search tags tagcloud".split()
 )
+#: Of those, words that an article's own sections may bear: they count as a whole name or beside one of _PARTS.
+_EITHER_WORDS = frozenset(
+    "ad ads related recommended discussion reply replies respond responses reactions legal notice notices alert search tags "
+    "form social share sharing foot promotion subscription copyright disclaimer overlay skip consent".split()
+)
+_PARTS = frozenset(
+    "posts articles links link stories list box bar block buttons button icons media content items section wrapper container "
+    "area slot unit text title".split()
+)
+# Weights of a path.
+ARTICLE, NAMED, EITHER, LINKED = 3.0, 0.005, 0.3, 0.1
+APART = 8.0  # two groups differ by so much at least
 # At the top of an article these hold its title; and "has-sidebar" speaks of the layout around.
 _HEADER_WORDS = frozenset("header headers masthead".split())
 _LAYOUT_WORDS = frozenset("has with no without".split())
@@ -75,41 +90,45 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
-    __slots__ = ("inside", "other", "tag")
+    __slots__ = ("article", "hidden", "link", "tag", "weight")
+
+    def __init__(self, tag: str, hidden: bool, weight: float, article: int, link: bool) -> None:
+        self.tag, self.hidden, self.weight, self.article, self.link = tag, hidden, weight, article, link
 
-    def __init__(self, tag: str, other: bool, inside: bool) -> None:
-        self.tag, self.other, self.inside = tag, other, inside
 
+def _name_weight(name: str, in_article: bool) -> float:
+    """Weight of a class or id: less than 1 if it names something beside the article."""
+    words = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
+    other = [w for w in words if w in _OTHER_WORDS and not (in_article and w in _HEADER_WORDS)]
+    if not other or _LAYOUT_WORDS.intersection(words):
+        return 1.0
+    if any(w not in _EITHER_WORDS for w in other):
+        return NAMED
+    if len(other) == len(words):
+        return EITHER if in_article and len(words) == 1 else NAMED
+    return NAMED if any(w in _PARTS for w in words) else 1.0
 
-def _named_other(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element says it is not the article, and whether it says it is."""
-    if tag in _OTHER_TAGS:
-        return True, False
+
+def _named_other(tag: str, attrs: str, in_article: bool) -> tuple[bool, float, bool]:
+    """Whether an element is not shown, its weight, and whether it says it is the article."""
+    weight = NAMED if tag in _OTHER_TAGS or tag == "header" and not in_article else 1.0
     if not attrs or attrs.isspace():
-        return tag == "header" and not in_article, tag in ("article", "main")
+        return False, weight, tag in ("article", "main")
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-        return True, False
+        return True, 0.0, False
     role = found.get("role", "").lower()
-    if role in _OTHER_ROLES:
-        return True, False
-    words: set[str] = set()
-    for value in (found.get("class", ""), found.get("id", "")):
-        words.update(_SPLIT.split(_CAMEL.sub("-", value).lower()))
     article = tag in ("article", "main") or role in ("article", "main")
     if article or tag in ("body", "html"):
-        return False, article
-    other = words & _OTHER_WORDS - (_HEADER_WORDS if in_article else frozenset())
-    if other and not words & _LAYOUT_WORDS:
-        return True, False
-    return tag == "header" and not in_article, False
-
+        return False, weight, article
+    if role in _OTHER_ROLES:
+        return False, NAMED, False
+    names = [*found.get("class", "").split(), *found.get("id", "").split()]
+    return False, min([weight, *(_name_weight(x, in_article) for x in names)]), False
 
-def _texts(page: str) -> list[tuple[tuple, str, int, bool]]:
-    """Every text outside of elements that name themselves as something else.
 
-    (path, raw text, block, inside an article). A new block begins at each block element.
-    """
+def _texts(page: str) -> list[tuple[tuple, str, int, _Node | None]]:
+    """Every text that is shown: (path, raw text, block, its element). A new block begins at each block element."""
     out = []
     stack: list[_Node] = []
     path: tuple = ()
@@ -130,8 +149,8 @@ def _texts(page: str) -> list[tuple[tuple, str, int, bool]]:
                 if text.startswith("<![CDATA["):
                     continue
                 continue
-            if not (stack and stack[-1].other):
-                out.append((path, text, block, bool(stack and stack[-1].inside)))
+            if not (stack and stack[-1].hidden):
+                out.append((path, text, block, stack[-1] if stack else None))
             continue
         tag = tag.lower()
         block += tag in _BLOCK
@@ -165,8 +184,14 @@ def _texts(page: str) -> list[tuple[tuple, str, int, bool]]:
         if tag in _VOID or m["attrs"].endswith("/") and tag not in _BLOCK:
             continue
         above = stack[-1] if stack else None
-        other, article = (True, False) if above and above.other else _named_other(tag, m["attrs"], bool(above and above.inside))
-        stack.append(_Node(tag, other, article or bool(above and above.inside)))
+        if above and above.hidden:
+            node = _Node(tag, True, 0.0, 0, False)
+        else:
+            inside = above.article if above else 0
+            hidden, weight, article = _named_other(tag, m["attrs"], bool(inside))
+            # The innermost mark counts: articles in a main are told apart.
+            node = _Node(tag, hidden, min(weight, above.weight if above else 1.0), m.end() if article else inside, tag == "a" or bool(above and above.link))
+        stack.append(node)
         path = (*path, tag)
     return out
 
@@ -179,34 +204,61 @@ def extract(page: str | None) -> str:
     """The main text of one page; blocks in page order, joined by one space."""
     if not page:
         return ""
-    nodes = _texts(page)
-    if any(inside and not text.isspace() for _, text, _, inside in nodes):
-        nodes = [x for x in nodes if x[3]]
     # Inline elements take no part in a path: their text belongs to the block around them.
     blocks: dict[int, list] = {}
-    for path, text, block, inside in nodes:
-        entry = blocks.setdefault(block, [tuple(t for t in path if t in _BLOCK), [], inside])
+    for path, text, block, node in _texts(page):
+        entry = blocks.setdefault(block, [tuple(t for t in path if t in _BLOCK), [], 1.0, 0, 0, 0])
         entry[1].append(text)
-    kept = [(path, " ".join(_SPACE.sub(" ", entities.unescape("".join(texts))).replace("\xa0", " ").split()), inside)
-            for path, texts, inside in blocks.values()]
-    kept = [x for x in kept if x[1]]
+        shown = len(text.strip())
+        if node and shown:
+            entry[2], entry[3] = min(entry[2], node.weight), node.article
+            entry[4] += node.link * shown
+        entry[5] += shown
+    kept = []
+    for path, texts, weight, article, linked, shown in blocks.values():
+        text = " ".join(_SPACE.sub(" ", entities.unescape("".join(texts))).replace("\xa0", " ").split())
+        if text:
+            kept.append(((path, weight, article, 2 * linked > shown), text))
     if not kept:
         return ""
-    length, marks, count = {}, {}, {}
-    for path, text, _ in kept:
-        length[path] = length.get(path, 0) + len(text)
-        marks[path] = marks.get(path, 0) + len(_PUNCTUATION.findall(text))
-        count[path] = count.get(path, 0) + 1
+    length, marks, count, part = {}, {}, {}, {}
+    for key, text in kept:
+        length[key] = length.get(key, 0) + len(text)
+        marks[key] = marks.get(key, 0) + len(_PUNCTUATION.findall(text))
+        count[key] = count.get(key, 0) + 1
+        part[key[2]] = part.get(key[2], 0) + len(text)
+    whole = sum(part.values())
+    weigh = {
+        k: min(k[1], LINKED if k[3] else 1.0) * (1 + ARTICLE * part[k[2]] / whole if k[2] else 1.0) for k in count
+    }
     # Length and punctuation per node of the path, smoothed over the neighbours in page order.
-    fused = [(length[p] / count[p]) * (1 + marks[p] / count[p]) for p, _, _ in kept]
-    smooth = [sum(fused[max(0, i - 1) : i + 2]) / len(fused[max(0, i - 1) : i + 2]) for i in range(len(fused))]
-    by_path: dict = {}
-    for (path, _, _), s in zip(kept, smooth):
-        by_path[path] = max(by_path.get(path, 0.0), s)
-    mean = sum(by_path.values()) / len(by_path)
-    spread = (sum((v - mean) ** 2 for v in by_path.values()) / len(by_path)) ** 0.5
-    threshold = min(mean, spread) * 0.1
-    return " ".join(text for path, text, inside in kept if inside or by_path[path] >= threshold)
+    fused = [(length[k] / count[k]) * (1 + marks[k] / count[k]) for k, _ in kept]
+    score: dict = {}
+    for i, (k, _) in enumerate(kept):
+        # A menu does not gain by the article it stands beside.
+        around = [fused[j] for j in range(max(0, i - 1), min(i + 2, len(kept))) if (kept[j][0][1] < EITHER) == (k[1] < EITHER)]
+        score[k] = score.get(k, 0.0) + weigh[k] * sum(around) / len(around) / count[k]
+    threshold = _between(list(score.values()))
+    content = [score[k] >= threshold for k, _ in kept]
+    # Plain texts between content of the same article.
+    ends: dict = {}
+    for i, (k, _) in enumerate(kept):
+        if k[2] and content[i]:
+            ends[k[2]] = (ends.get(k[2], (i, i))[0], i)
+    between = [k[2] in ends and k[1] == 1 and not k[3] and ends[k[2]][0] < i < ends[k[2]][1] for i, (k, _) in enumerate(kept)]
+    return " ".join(text for (_, text), c, b in zip(kept, content, between) if c or b)
+
+
+def _between(scores: list[float]) -> float:
+    """The least score of the upper of two groups (least variance within, of logarithms); of all if they are not apart."""
+    logs = sorted(math.log(max(x, 1.0)) for x in scores)
+    best, cut, total, low = 0.0, 0, sum(logs), 0.0
+    for i in range(1, len(logs)):
+        low += logs[i - 1]
+        gap = (total - low) / (len(logs) - i) - low / i
+        if gap >= math.log(APART) and i * (len(logs) - i) * gap * gap > best:
+            best, cut = i * (len(logs) - i) * gap * gap, i
+    return math.exp(logs[cut]) * (1 - 1e-9) if cut else 0.0
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text", length: str = "n_chars") -> DataFrame:

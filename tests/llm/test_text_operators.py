@@ -308,6 +308,18 @@ def test_html_odd_pages(page):
     assert isinstance(htmltext.extract(page), str)
 
 
+LONG = "".join(f"<p>This is paragraph {i}, with commas, and it is long enough to be read. It ends here.</p>" for i in range(6))
+LINKS = "<ul>" + "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+def test_html_ratios_decide_inside_and_outside_of_articles():
+    teasers = "".join(f"<article><h3><a href=/{i}>Teaser {i}</a></h3></article>" for i in range(3))
+    for page in (f"<body>{LINKS}<div>{LONG}</div>{teasers}", f"<body><main>{LINKS}<div>{LONG}</div>{LINKS}</main>", f"<body>{LINKS}<div>{LONG}</div>{LINKS}"):
+        got = htmltext.extract(page)
+        assert got.startswith("This is paragraph 0") and got.endswith("It ends here.") and got.count("paragraph") == 6
+        assert "Link" not in got and "Teaser" not in got
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "u", "<p>Hi, there.</p>", "z")], "page_id long, url string, html string, TEXT string")
     got = {x.page_id: x for x in htmltext.extract_text(df).collect()}
