@@ -36,7 +36,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # HTML's own sets of elements, fixed values.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary "
@@ -52,7 +52,7 @@ _SIBLINGS = {
 }
 _OTHER_TAGS = frozenset(
     "nav aside footer form button select option input textarea label fieldset menu dialog script style noscript template "
-    "svg math iframe object embed canvas audio video head title search".split()
+    "svg iframe object embed canvas audio video head title search".split()
 )
 _OTHER_ROLES = frozenset(
     "navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog tablist "
@@ -162,6 +162,8 @@ def _texts(page: str) -> list[tuple[tuple, str, int, _Node | None]]:
                 if stack[i].tag in ("td", "th", "article", "table") and tag not in _BLOCK:
                     break  # a stray end tag doesn't close what it lies in
             continue
+        if tag in ("svg", "math") and m["attrs"].endswith("/"):
+            continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, position)
             position = end.end() if end else (n if tag in ("script", "style", "textarea", "title") else position)

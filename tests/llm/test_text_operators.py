@@ -320,6 +320,18 @@ def test_html_ratios_decide_inside_and_outside_of_articles():
         assert "Link" not in got and "Teaser" not in got
 
 
+@pytest.mark.parametrize("opening", ["<section id='related-work'>", "<section id='discussion'>", "<div class='legal'>", "<div class='form'>", "<div class='responses'>"])
+def test_html_names_do_not_outweigh_long_texts(opening):
+    page = f"<body><nav>{LINKS}</nav><article><h1>Title</h1>{LONG}{opening}<p>A part of its own, which is long, has commas, and is to stay.</p></{opening[1:].split()[0]}></article>"
+    assert htmltext.extract(page).endswith("and is to stay.")
+
+
+def test_html_self_closed_graphics_and_formulas():
+    page = f"<article><svg width=1 />{LONG}<svg><path d=x /></svg><p>With a formula, <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, in it. <math/> It ends, too.</p></article>"
+    got = htmltext.extract(page)
+    assert got.count("paragraph") == 6 and got.endswith("With a formula, x=2, in it. It ends, too.")
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (None, "u", "<p>Hi, there.</p>", "z")], "page_id long, url string, html string, TEXT string")
     got = {x.page_id: x for x in htmltext.extract_text(df).collect()}
