@@ -28,9 +28,8 @@ from earshot.llm.frames import append_columns
 
 ROWS_BITS = 14
 DIMENSIONS = 16
-#: Labelled rows the model is fitted on at most; the documented bound of the sample.
+#: Labelled rows the model is fitted on at most, or one of each language if there are more of those.
 SAMPLE_ROWS = 4_000
-MOST_LANGUAGES = 200
 _SLICES = 50
 UNDETERMINED = "und"
 _LETTER_BYTE = tb.byte_class([*range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -123,12 +122,14 @@ def _sample(docs: DataFrame, text: str, label: str, rows: int) -> tuple[list, li
     labelled = docs.select(F.col(text).alias("text"), F.col(label).cast("string").alias("label")).dropna()
     # Equal shares of the languages: the first distinct texts, in hash order, of every slice of each.
     hashed = labelled.withColumn("h", F.xxhash64("text"))
-    names = [r[0] for r in labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES).collect()]
-    if not names:
+    languages = labelled.select("label").distinct().count()
+    if not languages:
         return [], []
+    share = max(1, rows // languages)
+    slices = min(_SLICES, share)
     order = Window.partitionBy("label", "slice").orderBy("h")
-    first = hashed.filter(F.col("label").isin(names)).select("label", "h", F.pmod("h", F.lit(_SLICES)).alias("slice")).distinct()
-    first = first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(1, rows // (len(names) * _SLICES)))
+    first = hashed.select("label", "h", F.pmod("h", F.lit(slices)).alias("slice")).distinct()
+    first = first.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= share // slices)
     chosen = hashed.join(F.broadcast(first.select("label", "h")), ["label", "h"])
     chosen = chosen.dropDuplicates(["label", "h"]).orderBy("label", "h").select("text", "label")
     got = chosen.mapInArrow(count, "ids array<int>, counts array<int>, label string").toArrow()
@@ -151,19 +152,28 @@ def fit(
     docs: DataFrame, text: str = "text", label: str = "lang", sample_rows: int = SAMPLE_ROWS, seed: int = 3,
     epochs: int = 6, rate: float = 2.0, reject_rate: float = 0.001,
 ) -> Model | None:
-    """A model of the labels of docs, from at most sample_rows rows with text and label.
+    """A model of all labels of docs, from rows with text and label.
 
-    None if no row has both. Of the labels the 200 commonest are learned.
+    At most sample_rows of them, in equal shares of the labels; with more labels than that,
+    one row of each. A label of which no sampled text has a subword is not learned. None if
+    no row has both.
     """
     pairs, labels = _sample(docs, text, label, sample_rows)
     if not pairs:
         return None
     languages = sorted(set(labels))
-    y = np.array([languages.index(x) for x in labels])
+    number = {x: i for i, x in enumerate(languages)}
+    y = np.array([number[x] for x in labels])
     random = np.random.default_rng(seed)
     order = random.permutation(len(pairs))
     held = order[: len(order) // 5] if len(order) >= 20 else order
     fitted = order[len(order) // 5 :] if len(order) >= 20 else order
+    # A language with all its rows kept from the fit would not be learned: one of them is fitted.
+    only = ~np.isin(y[held], y[fitted])
+    if only.any():
+        first = np.flatnonzero(only)[np.unique(y[held[only]], return_index=True)[1]]
+        fitted, rest = np.concatenate([fitted, held[first]]), np.delete(held, first)
+        held = rest if len(rest) else fitted
     embed = random.normal(0, 0.1, (1 << ROWS_BITS, DIMENSIONS))
     weights = random.normal(0, 0.1, (DIMENSIONS, len(languages)))
     bias = np.zeros(len(languages))

@@ -201,6 +201,17 @@ def test_language_of_held_out_texts(spark):
     assert sum(x.rejected for x in found) <= 0.02 * len(found)
 
 
+def test_every_label_is_learned_within_the_budget(spark):
+    r, letters = random.Random(7), "abcdefghijklmnopqrstuvwxyz"
+    stems = ["".join(r.choice(letters) for _ in range(6)) for _ in range(230)]
+    rows = [(10 * i + j, f"{stem} " * (j + 2), f"l{i:03}") for i, stem in enumerate(stems) for j in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.fit(df, sample_rows=230, epochs=1).languages) == {x[2] for x in rows}
+    for budget in (100, 460, 1200):
+        _, labels = langid._sample(df, "text", "lang", budget)
+        assert len(set(labels)) == 230 and len(labels) <= max(budget, 230)
+
+
 def test_language_edges(spark):
     df = spark.createDataFrame(spoken(60, 2), "doc_id long, text string, lang string")
     model = langid.fit(df)
