@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogue.registry import query
-from earshot.llm import htmltext, jaccard, langid, neardup, substring, toxicity, warc
+from earshot.llm import bpe, htmltext, jaccard, langid, neardup, search, substring, toxicity, trie, warc
 from earshot.llm.decontam import find_passages
 from earshot.llm.mix import mix_sources
 from earshot.llm.shard import shard_rows
-from earshot.plans.sizing import scratch_dir
+from earshot.plans.sizing import materialize, scratch_dir
 
 SHARDS = 24
 
@@ -193,3 +193,75 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(~langid.held_out())
     found = toxicity.score(docs.withColumn("held_out", langid.held_out()), toxicity.fit(docs, labels))
     return found.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
+@query("op11_trie", r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+        substr(sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text), 1, 32)) AS j FROM t),
+crc AS (SELECT conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+        list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, 3988292384::BIGINT * (v & 1))))) AS v
+      FROM (SELECT DISTINCT conv_id FROM t)),
+c AS (SELECT conv_id, v % 4 AS h, conv_id - conv_id % 20 AS base FROM crc),
+r AS (SELECT c.conv_id, 0 AS part, j, role, text FROM c JOIN o ON o.conv_id = base AND j <= h
+      UNION ALL SELECT c.conv_id, 1, j, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND j > h),
+q AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY part, j) AS s FROM r GROUP BY 1),
+a AS (SELECT c.conv_id, coalesce(s, []) AS s FROM c LEFT JOIN q USING (conv_id)),
+w AS (SELECT conv_id, CAST(d AS BIGINT) AS depth, md5(CAST(list_slice(s, 1, d) AS VARCHAR) || d) AS node, len(s) AS n,
+        CASE WHEN d > 0 THEN CAST(len(regexp_extract_all(s[d].text, '[^\x20\x09-\x0D]+')) AS BIGINT) ELSE 0 END AS words
+      FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM a)),
+up AS (SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM w),
+nodes AS MATERIALIZED (SELECT node, depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+        coalesce(string_agg(CASE WHEN n = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '') AS ends FROM up GROUP BY 1, 2),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY 1),
+above AS (SELECT node AS below, node FROM nodes UNION ALL SELECT below, parent FROM above JOIN nodes USING (node) WHERE parent IS NOT NULL),
+sums AS (SELECT above.node, sum((n_convs - 1) * words) AS saved_tokens, count(*) FILTER (kids.node IS NULL) AS n_leaves
+  FROM above JOIN nodes ON nodes.node = below LEFT JOIN kids ON kids.node = below GROUP BY 1)
+SELECT x.conv_id, x.depth, p.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x LEFT JOIN nodes p ON p.node = x.parent LEFT JOIN kids ON kids.node = x.node JOIN sums ON sums.node = x.node
+""")
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of conversations that share openings."""
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    nodes, ends = trie.prefix_trie(trie.share_openings(materialize(turns, "ordered")))
+    return nodes.join(trie.ends_digest(ends), ["conv_id", "depth"], "left").withColumn(
+        "ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256))
+    )
+
+
+BEST = 10
+
+
+@query("op12_search", f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS words FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+n AS MATERIALIZED (SELECT doc_id, r, words, CAST(len(words) AS BIGINT) AS n FROM d WHERE len(words) > 0),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM n),
+q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+f AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM n) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM f, g GROUP BY term, docs),
+s AS (SELECT item_id, n.r, n.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n.n * docs) // terms)))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN f USING (term) JOIN n ON n.r = f.r, g GROUP BY 1, 2, 3),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= {BEST}
+""")
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for every benchmark item."""
+    index = search.build_index(table(spark, sf_dir, "documents"))
+    return search.search(index, table(spark, sf_dir, "benchmark"), BEST)
+
+
+@query("op13_bpe")
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as tokens of a public vocabulary, and back."""
+    import public_tokenizers
+
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = bpe.encode_texts(docs, vocabulary).drop("text")
+    return bpe.decode_ids(coded, vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
