@@ -213,7 +213,7 @@ class Shard:
         out = np.where(self.hashes[at] == hashes, at, -1)
         for i in np.flatnonzero(out >= 0).tolist():
             t = out[i]
-            if self.term_bytes[self.term_ends[t - 1] if t else 0 : self.term_ends[t]] != terms[i]:
+            if bytes(self.term_bytes[self.term_ends[t - 1] if t else 0 : self.term_ends[t]]) != terms[i]:
                 out[i] = -1
         return out
 
