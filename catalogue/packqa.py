@@ -172,7 +172,7 @@ def _phrase_packs(spark, sf, phrase):
     none = F.lit(None)
     patterns = numbered.select(
         "language", "rule_id", "rule_ord", F.lit("exact").alias("match_type"), F.lit(0).alias("pattern_ord"), "pattern",
-        F.col("pattern").alias("source_pattern"), none.cast("string").alias("prefilter"),
+        F.col("pattern").alias("source_pattern"), none.cast("string").alias("prefilter"), none.cast("array<array<string>>").alias("literals"),
         F.size(tx.tokens(F.col("pattern"))).alias("n_tokens"), F.length("pattern").alias("n_chars"),
         none.cast("array<string>").alias("run_chars"), none.cast("array<int>").alias("run_lens"), none.cast("string").alias("skeleton"),
     )

@@ -1,8 +1,10 @@
 """Matching transcripts against rule packs.
 
 One pass over the text finds everything: each token is looked up in a broadcast table
-of pattern anchors, so clean text never leaves its task. Only hits are shuffled, once,
-by the key of their text. If the texts are already bucketed by that key, not even they
+of pattern anchors, so clean text never leaves its task. Substrings, and the literals that
+expressions cannot match without, are looked up by one of their trigrams in the same table
+once there are many of them: a text costs the same for a few hundred as for many thousand.
+Only hits are shuffled, once, by the key of their text. If the texts are already bucketed by that key, not even they
 are.
 
 Positions are token numbers. Normalised text is single-spaced, so a span of characters
@@ -73,8 +75,13 @@ def _window_text(toks: Column, start: Column, n: Column) -> Column:
 # --- finding occurrences -----------------------------------------------------------
 
 # Marks that keep other probes apart from tokens, which are letters and digits only.
-WHOLE_TEXT, SKELETON = "\u0001", "\u0002"
+WHOLE_TEXT, SKELETON, GRAM = "\u0001", "\u0002", "\u0003"
 WHOLE_TEXT_TYPES = ("contains", "regex")
+#: Characters of the grams that substrings are found by; shorter ones are looked for in whole texts.
+GRAM_CHARS = 3
+#: Patterns of one language from which on their grams are looked up: with fewer it is
+#: cheaper to look for each of them in the text.
+GRAMS_FROM = 200
 
 
 def _lit_array(values: Sequence[str]) -> Column:
@@ -100,19 +107,52 @@ def text_passes(
     )
 
 
+def _with_grams(packs: RulePacks) -> list[str]:
+    """Languages with so many substrings and expressions that an index of grams pays."""
+    kinds = {language for kind in WHOLE_TEXT_TYPES for language in packs.of_type(kind)}
+    return sorted(language for language in kinds if packs.n_whole.get(language, 0) >= GRAMS_FROM)
+
+
+def _grams_of(text: Column) -> Column:
+    """All runs of GRAM_CHARS characters without a space, overlapping ones too."""
+    return F.regexp_extract_all(text, F.lit(f"(?=([^ ]{{{GRAM_CHARS}}}))"), F.lit(1))
+
+
+def _gram_anchors(others: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """Substrings and expressions with the grams they are found by, or with their language's mark.
+
+    Of a pattern's first clause each literal has an anchor of its own, at the gram that
+    the fewest literals of the language have. A pattern with a literal too short for
+    grams, or without literals, is looked for in every text of its language.
+    """
+    long_enough = F.forall(F.get("literals", F.lit(0)), lambda x: F.size(_grams_of(x)) > 0)
+    indexed = F.col("language").isin(*languages) & (F.size("literals") > 0) & long_enough
+    marked = others.withColumn("indexed", F.coalesce(indexed, F.lit(False)))
+    every = marked.filter(~F.col("indexed")).select(*others.columns, F.concat(F.lit(WHOLE_TEXT), "language").alias("anchor"))
+    literals = marked.filter("indexed").select(
+        *[c for c in others.columns if c != "literal_at"], F.posexplode(F.get("literals", F.lit(0))).alias("literal_at", "literal")
+    )
+    grams = literals.select("language", "literal", F.explode(F.array_distinct(_grams_of(F.col("literal")))).alias("gram")).distinct()
+    held = grams.groupBy("language", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(held, ["language", "gram"]).groupBy("language", "literal").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    found = literals.join(rarest, ["language", "literal"]).select(*others.columns, F.concat(F.lit(GRAM), "gram").alias("anchor"))
+    return every.unionByName(found)
+
+
 def anchors(packs: RulePacks) -> DataFrame:
     """Every pattern and allow term by the one probe it is found by.
 
     A phrase is found by its longest word, which is usually its rarest; a fuzzy pattern
-    by its skeleton; a substring or regex by its language, once per text.
+    by its skeleton; a substring or regex by its language, once per text, or by grams.
     """
-    common = ("language", "rule_ord", "pattern_ord", "pattern", "n_tokens", "prefilter", "first_only")
+    common = ("language", "rule_ord", "pattern_ord", "pattern", "n_tokens", "prefilter", "literals", "first_only")
     allows = F.col("language").isin(*packs.allow_languages)
     patterns = packs.patterns.withColumn("first_only", ~allows)
+    none = F.lit(None)
     allow = packs.allow_terms.select(
         "language", F.lit(-1).alias("rule_ord"), F.col("allow_ord").alias("pattern_ord"),
-        F.col("term").alias("pattern"), "n_tokens", F.lit(None).cast("string").alias("prefilter"),
-        F.lit(False).alias("first_only"), F.lit("allow").alias("entry"),
+        F.col("term").alias("pattern"), "n_tokens", none.cast("string").alias("prefilter"),
+        none.cast("array<array<string>>").alias("literals"), F.lit(False).alias("first_only"), F.lit("allow").alias("entry"),
     )
     longest = F.array_max(
         F.transform(
@@ -122,21 +162,28 @@ def anchors(packs: RulePacks) -> DataFrame:
     )
     exact = patterns.filter("match_type = 'exact'").select(*common, F.lit("exact").alias("entry"))
     phrases = exact.unionByName(allow).withColumn("longest", longest).select(
-        *common, "entry", F.col("longest.token").alias("anchor"),
-        (-F.col("longest.back")).alias("anchor_at"),
+        *common, "entry", (-F.col("longest.back")).alias("anchor_at"), F.lit(0).alias("literal_at"),
+        F.col("longest.token").alias("anchor"),
     )
     others = patterns.filter("match_type <> 'exact'").select(
-        *common, F.col("match_type").alias("entry"),
-        F.when(F.col("match_type") == "fuzzy", F.concat(F.lit(SKELETON), "skeleton"))
-        .otherwise(F.concat(F.lit(WHOLE_TEXT), "language"))
-        .alias("anchor"),
-        F.lit(0).alias("anchor_at"),
+        *common, F.col("match_type").alias("entry"), F.lit(0).alias("anchor_at"), F.lit(0).alias("literal_at"), "skeleton",
     )
-    return phrases.unionByName(others)
+    fuzzy = others.filter("entry = 'fuzzy'").withColumn("anchor", F.concat(F.lit(SKELETON), "skeleton"))
+    whole = others.filter("entry <> 'fuzzy'")
+    if languages := _with_grams(packs):
+        whole = _gram_anchors(whole, languages)
+    else:
+        whole = whole.withColumn("anchor", F.concat(F.lit(WHOLE_TEXT), "language"))
+    return phrases.unionByName(fuzzy.drop("skeleton")).unionByName(whole.drop("skeleton"))
+
+
+def _as_compared(text: Column) -> Column:
+    """Text as expressions compare it: dotless i is an i to them."""
+    return F.translate(text, "ı", "i")
 
 
 def _probes(packs: RulePacks) -> Column:
-    """What a text is looked up by: its tokens, then their skeletons, then itself per pack."""
+    """What a text is looked up by: its tokens, their skeletons, itself per pack, the grams of its words."""
     nothing = F.array().cast("array<string>")
     parts = [F.col("toks")]
     fuzzy = packs.of_type("fuzzy")
@@ -151,9 +198,26 @@ def _probes(packs: RulePacks) -> Column:
         F.when(F.array_contains("run_packs", language), _lit_array([WHOLE_TEXT + language])).otherwise(nothing)
         for language in sorted(whole)
     ]
+    if languages := _with_grams(packs):
+        words = F.array_join(F.array_distinct("toks"), " ")
+        both = F.when(F.instr(words, "ı") > 0, F.concat(words, F.lit(" "), _as_compared(words))).otherwise(words)
+        grams = F.concat(F.lit(GRAM), F.array_join(F.array_distinct(_grams_of(both)), f" {GRAM}"))
+        parts.append(F.when(F.arrays_overlap("run_packs", _lit_array(languages)), tx.tokens(grams)).otherwise(nothing))
     return F.concat(*parts)
 
 
+def _literals_met() -> Column:
+    """Does t hold a literal of every clause, and of the first one none before that of this anchor?"""
+    text = F.when(F.col("entry") == "regex", _as_compared(F.col("t"))).otherwise(F.col("t"))
+    met = F.forall("literals", lambda clause: F.exists(clause, lambda x: F.instr(text, x) > 0))
+    first = F.get("literals", F.lit(0))
+    own = F.instr(text, F.get(first, F.col("literal_at"))) > 0
+    earlier = F.exists(F.slice(first, F.lit(1), F.col("literal_at")), lambda x: F.instr(text, x) > 0)
+    by_gram = F.substring("anchor", 1, 1) == GRAM
+    # Several literals may be found in one text: it counts for the first of them.
+    return F.coalesce(F.size("literals"), F.lit(0)).isin(0, -1) | (F.when(by_gram, own & ~earlier).otherwise(F.lit(True)) & met)
+
+
 _compiled = lru_cache(maxsize=4096)(compile_rule_regex)
 _SPANS = ArrayType(
     StructType()
@@ -222,8 +286,8 @@ def _looked_up(passes: DataFrame, packs: RulePacks, keys: Sequence[str]) -> Data
         F.when(fuzzy, (F.length(token) >= domains.FUZZY_MIN_CHARS)
                & (F.length(token) <= F.length("pattern") + domains.FUZZY_MAX_EXTRA_CHARS))
         .when(F.col("entry") == "contains", F.instr(F.col("t"), F.col("pattern")) > 0)
-        .when(F.col("entry") == "regex", F.col("prefilter").isNull()
-              | F.regexp_like(F.translate(F.col("t"), "ı", "i"), F.col("prefilter")))
+        .when(F.col("entry") == "regex", _literals_met() & (
+            F.col("prefilter").isNull() | F.regexp_like(_as_compared(F.col("t")), F.col("prefilter"))))
         .otherwise((F.col("n_tokens") == 1) | (
             (start >= 0) & (_window_text(F.col("toks"), start, F.col("n_tokens")) == F.col("pattern"))))
     )

@@ -49,6 +49,7 @@ PATTERNS = _struct(
     pattern=S,
     source_pattern=S,
     prefilter=S,
+    literals=ArrayType(ArrayType(S)),
     n_tokens=I,
     n_chars=I,
     run_chars=ArrayType(S),

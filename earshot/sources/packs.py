@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 import re
 from typing import Any
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from earshot import domains, schemas
 from earshot.functions import text as tx
+from earshot.functions.literals import required_literals
 from earshot.plans.sizing import materialize
 
 # Packs are written for this module: the standard one reads some of their patterns otherwise.
@@ -187,10 +188,14 @@ def read_pack(content: bytes) -> tuple[dict, list[PackFault]]:
 _PARSED = (
     "source_path string, entry string, language string, rule_ord int, rule_id string, "
     "category string, severity int, match_type string, context_required boolean, ord int, "
-    "pattern string, source_pattern string, prefilter string, code string, detail string"
+    "pattern string, source_pattern string, prefilter string, literals array<array<string>>, "
+    "code string, detail string"
 )
 _PARSED_COLUMNS = [tuple(field.split()) for field in _PARSED.split(", ")]
-_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_ARROW = {
+    "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(),
+    "array<array<string>>": pa.list_(pa.list_(pa.string())),
+}
 
 
 def _parsed_rows(path: str, content: bytes) -> Iterator[dict]:
@@ -209,12 +214,20 @@ def _parsed_rows(path: str, content: bytes) -> Iterator[dict]:
         yield {"source_path": path, "entry": "pattern", "language": language, "rule_ord": rule_ord,
                "rule_id": rule_id, "match_type": match_type, "ord": pattern_ord,
                "pattern": pattern, "source_pattern": source,
-               "prefilter": jvm_prefilter(source) if match_type == "regex" else None}
+               "prefilter": jvm_prefilter(source) if match_type == "regex" else None,
+               "literals": _literals(match_type, pattern)}
     for allow_ord, term in enumerate(pack["allow"]):
         yield {"source_path": path, "entry": "allow", "language": language, "ord": allow_ord,
                "pattern": term}
 
 
+def _literals(match_type: str, pattern: str) -> list[list[str]] | None:
+    """What a text must hold to have this pattern: one literal of each list."""
+    if match_type == "contains":
+        return [[pattern]]
+    return required_literals(pattern) if match_type == "regex" else None
+
+
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(name, _ARROW[kind]) for name, kind in _PARSED_COLUMNS])
     for batch in batches:
@@ -246,6 +259,8 @@ class RulePacks:
     n_patterns: int
     n_allow: int
     allow_languages: tuple[str, ...] = ()
+    #: How many patterns of each language are looked for in whole texts, not in tokens.
+    n_whole: dict[str, int] = field(default_factory=dict)
 
     def of_type(self, match_type: str) -> tuple[str, ...]:
         """Languages that have rules of this match type."""
@@ -277,7 +292,7 @@ def pack_tables(parsed: DataFrame, order: DataFrame) -> tuple[DataFrame, ...]:
     fuzzy = F.col("match_type") == "fuzzy"
     patterns = entries.filter("entry = 'pattern'").select(
         "language", "rule_id", "rule_ord", "match_type", F.col("ord").alias("pattern_ord"),
-        "pattern", "source_pattern", "prefilter",
+        "pattern", "source_pattern", "prefilter", "literals",
         F.size(tx.tokens(pattern)).alias("n_tokens"),
         F.length(pattern).alias("n_chars"),
         F.when(fuzzy, tx.run_chars(pattern)).alias("run_chars"),
@@ -338,9 +353,13 @@ def packs_from_files(files: DataFrame, mode: str = "failfast") -> RulePacks:
         for kind in row["kinds"]:
             by_type[kind] = (*by_type.get(kind, ()), row["language"])
     allowing = allow_terms.groupBy("language").count().collect()
+    whole = F.col("match_type").isin("contains", "regex")
+    # A row per language.
+    counted = patterns.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.count_if(whole).alias("whole")).collect()
     return RulePacks(
-        rules, patterns, allow_terms, rejects, tuple(in_order), by_type, patterns.count(),
+        rules, patterns, allow_terms, rejects, tuple(in_order), by_type, sum(r["n"] for r in counted),
         sum(r["count"] for r in allowing), tuple(sorted(r["language"] for r in allowing)),
+        {r["language"]: r["whole"] for r in counted if r["whole"]},
     )
 
 
