@@ -42,6 +42,44 @@ def test_rate_limit_matches_the_model(spark, seed, gap):
     assert {r.id: (r.rate_limited, r.retry_after_s) for r in got} == rate_model(rows, 60)
 
 
+@pytest.mark.parametrize("seed, gap, rounds", [(5, 0.4, 8), (6, 3, 8), (7, 0.05, 8), (8, 0.4, 0), (9, 0.4, 1)])
+def test_saturated_servers_in_segments_match_the_model(spark, monkeypatch, seed, gap, rounds):
+    """Few rows a segment; with no rounds of repair the rest of a stretch is one run."""
+    monkeypatch.setattr(request_log.settled_segments, "__defaults__", (rounds,))
+    rng = random.Random(seed)
+    rows, clock = [], {}
+    for i in range(4000):
+        key = rng.choice(["hot"] * 12 + ["a", None])
+        clock[key] = clock.get(key, 0) + int(rng.expovariate(1 / gap) * 10**6)
+        rows.append((key, clock[key], i + 2**60, {"hot": 5, "a": 2, None: 3}[key]))
+    df = spark.createDataFrame(rows, "k string, us long, id long, lim int").withColumn("occurred_at", F.timestamp_micros("us"))
+    got = request_log.rate_limit(df, ["k"], "lim", tie=["id"], segment_rows=150).collect()
+    assert len(got) == len(rows)
+    assert {r.id: (r.rate_limited, r.retry_after_s) for r in got} == rate_model(rows, 60)
+
+
+def test_a_clock_that_never_forgets_is_still_right(spark):
+    """One request a second under one a minute: each segment's answers hang on all before it."""
+    rows = [("hot", i * 10**6, i, 1) for i in range(2500)]
+    df = spark.createDataFrame(rows, "k string, us long, id long, lim int").withColumn("occurred_at", F.timestamp_micros("us"))
+    got = request_log.rate_limit(df, ["k"], "lim", tie=["id"], window_seconds=61, segment_rows=97).collect()
+    assert {r.id: (r.rate_limited, r.retry_after_s) for r in got} == rate_model(rows, 61)
+
+
+def test_one_saturated_server_is_the_work_of_several_tasks(spark):
+    """A third of the log is one server's, and all of that one stretch; it settles in a round or two."""
+    r = random.Random(3)
+    rows = [("hot" if i % 3 == 0 else f"s{i}", int(i * 20_000 + r.random() * 20_000), i, 50) for i in range(60_000)]
+    df = spark.createDataFrame(rows, "k string, us long, id long, lim int").withColumn("occurred_at", F.timestamp_micros("us"))
+    slot = F.floor(F.col("us") / 5_000_000).cast("long")
+    found = request_log.crowded_stretches(df, ["k"], "lim", slot, segment_rows=2_000)
+    per = found.groupBy("stretch", "segment").agg(F.min("slot").alias("a"), F.max("slot").alias("b")).orderBy("segment").collect()
+    assert len(per) == 10 and all(x.b < y.a for x, y in zip(per, per[1:]))
+    rows = df.withColumn("slot", slot).join(found, ["k", "slot"]).withColumns({"stretch_id": F.lit("one"), "at_micros": F.col("us")})
+    starts, runs = request_log.settled_segments(rows.select("stretch_id", "segment", "at_micros", "lim", "id"), "lim", ["id"], 60 * 10**6)
+    assert starts.count() == runs.filter("run = segment").count() == 10
+
+
 def test_calm_servers_are_never_read_in_order(spark):
     """Ten requests a second all day under a limit of 700 a minute: no stretch at all."""
     df = spark.range(36_000).select(F.lit("hot").alias("k"), (F.col("id") * 100_000).alias("us"), F.lit(700).alias("lim"))
