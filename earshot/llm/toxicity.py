@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,10 +41,12 @@ BLOCK = 64
 COLUMNS = 1_024  # so many of the commonest terms are columns, the others postings
 _GROUP = 8  # blocks visited at once
 _QUERIES = 128
+_RANGES = 64  # of terms, for adding up counts
 _NEAR = 1e-5  # more than single precision can be off
 SHARPNESS = 4  # votes weigh as this power of the cosine
 KEPT_CACHE = 20_000
 _PREFIXES = (5, 6, 7, 8)
+_POSTING = np.dtype([("example", "<i4"), ("weight", "<f4")])
 _WORD = tb.byte_class([*range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
@@ -117,58 +119,64 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Examples as sparse rows, the same as columns and postings, and the maxima of blocks."""
+    """Examples as sparse rows; made from them where it is used: columns, postings, and the maxima of blocks."""
 
     def __init__(self, n_terms: int, begins: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
         self.n_terms, self.begins, self.terms, self.weights = n_terms, begins, terms, weights
         self.n = len(begins) - 1
         self.n_blocks = -(-self.n // BLOCK)
-        df = np.bincount(terms, minlength=n_terms)
+        self.column = None
+
+    def _post(self) -> None:
+        """Columns of the commonest terms with the maxima of blocks, and postings of the other terms."""
+        df = np.bincount(self.terms, minlength=self.n_terms)
         columns = np.sort(np.argsort(-df, kind="stable")[:COLUMNS])
-        self.column = np.full(n_terms, -1, np.int32)
+        self.column = np.full(self.n_terms, -1, np.int32)
         self.column[columns] = np.arange(len(columns), dtype=np.int32)
+        of = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.begins))
+        column = self.column[self.terms]
+        rare = column < 0
         self.dense = np.zeros((self.n_blocks * BLOCK, len(columns)), np.float32)
-        for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
-            c = self.column[terms[a:b]]
-            self.dense[i, c[c >= 0]] = weights[a:b][c >= 0]
-        self.examples = None
-
-    def _post(self) -> None:
-        """Maxima of the columns, and postings of the other terms."""
-        self.maxima = self.dense.reshape(self.n_blocks, BLOCK, self.dense.shape[1]).max(axis=1)
-        rare = self.column[self.terms] < 0
+        self.dense[of[~rare], column[~rare]] = self.weights[~rare]
+        self.maxima = self.dense.reshape(self.n_blocks, BLOCK, len(columns)).max(axis=1)
         terms = self.terms[rare]
         order = np.argsort(terms, kind="stable").astype(np.int32)
-        of = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.begins))[rare]
-        self.posted = self.weights[rare][order]
+        # An example and its weight side by side: one access fetches both.
+        self.posted = np.empty(len(order), _POSTING)
+        self.posted["example"], self.posted["weight"] = of[rare][order], self.weights[rare][order]
         self.post = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=self.n_terms))])
-        self.examples = of[order]
 
     def __reduce__(self):
         return Index, (self.n_terms, self.begins, self.terms, self.weights)
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave_out: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """Numbers and cosines of the k nearest examples of every query, exactly; ties go to the lower number."""
-        if self.examples is None:
+        if self.column is None:
             self._post()
         m, width = len(queries), self.n_blocks * BLOCK
         query = np.zeros((m, self.dense.shape[1]), np.float32)
         posted = np.zeros((m, width), np.float32)
+        pairs = self.posted.view(np.int64)
         for i, (terms, weights) in enumerate(queries):
             c = self.column[terms]
             query[i, c[c >= 0]] = weights[c >= 0]
-            rare, w = terms[c < 0], weights[c < 0]
+            rare, w = terms[c < 0], weights[c < 0].astype(np.float32)
             a, b = self.post[rare], self.post[rare + 1]
-            at = _ranges(a, b)
-            if len(at):
-                posted[i] = np.bincount(self.examples[at], self.posted[at] * np.repeat(w, b - a), width)
-        bounds = query @ self.maxima.T + posted.reshape(m, self.n_blocks, BLOCK).max(axis=2)
+            met = pairs.take(_ranges(a, b)).view(_POSTING)
+            if len(met):
+                posted[i] = np.bincount(met["example"], met["weight"] * np.repeat(w, b - a), width)
+        # What only adds to a score: the k-th best of the blocks' largest sums of postings is a threshold already.
+        most = posted.reshape(m, self.n_blocks, BLOCK).max(axis=2)
+        bounds = query @ self.maxima.T + most
         scores = np.zeros((m, width), np.float32)
         best = np.zeros((m, k), np.float32)
+        sure = np.zeros(m, np.float32)
+        if self.n_blocks > k + 1 and leave_out is None:
+            sure = np.partition(most, self.n_blocks - k, axis=1)[:, self.n_blocks - k]
         for g in np.argsort(-np.add.reduceat(bounds.sum(axis=0), np.arange(0, self.n_blocks, _GROUP)), kind="stable").tolist():
             blocks = slice(g * _GROUP, min((g + 1) * _GROUP, self.n_blocks))
             span = slice(blocks.start * BLOCK, blocks.stop * BLOCK)
-            live = np.flatnonzero(bounds[:, blocks].max(axis=1) >= np.maximum(best[:, 0] - _NEAR, 1e-12))
+            live = np.flatnonzero(bounds[:, blocks].max(axis=1) >= np.maximum(np.maximum(best[:, 0], sure) - _NEAR, 1e-12))
             if not len(live):
                 continue
             part = query[live] @ self.dense[span].T + posted[live, span]
@@ -185,7 +193,7 @@ class Index:
             at = np.flatnonzero(scores[i] >= max(best[i, 0] - _NEAR, 1e-30))
             own[terms] = weights
             inner = _ranges(self.begins[at], self.begins[at + 1])
-            products = own[self.terms[inner]] * self.weights[inner]
+            products = own.take(self.terms.take(inner)) * self.weights.take(inner)
             own[terms] = 0
             cosine = np.bincount(np.repeat(np.arange(len(at)), self.begins[at + 1] - self.begins[at]), products, len(at))
             order = np.lexsort((at, -cosine))[:k]
@@ -276,20 +284,39 @@ def _all_terms(chosen: DataFrame, n_toxic: int, n_other: int) -> tuple[np.ndarra
 
 
 def _document_frequencies(docs: DataFrame, text: str, terms: np.ndarray) -> np.ndarray:
-    """In how many of all documents each term occurs."""
+    """In how many of all documents each term occurs.
+
+    A task sends its counts packed by ranges of terms; what adds up a range holds no more
+    than the range, whatever the number of tasks.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(terms, np.ones(len(terms))))
+    n_terms, parts = len(terms), _RANGES
+    edges = np.arange(parts + 1) * n_terms // parts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value.terms), np.int64)
+        total = np.zeros(n_terms, np.int64)
         for batch in batches:
             for part in tb.slices(batch.column(0)):
-                total += np.bincount(shared.value.counts(part)[1], minlength=len(total))
+                total += np.bincount(shared.value.counts(part)[1], minlength=n_terms)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "n"])
+        at = np.searchsorted(some, edges)
+        rows = [(k, np.stack([some[a:b], total[some[a:b]]]).tobytes()) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "counts"])
 
-    got = docs.select(text).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(terms), np.int64)
-    out[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                some, n = np.frombuffer(raw.as_buffer(), np.int64).reshape(2, -1)
+                sums.setdefault(key, np.zeros(edges[key + 1] - edges[key], np.int64))[some - edges[key]] += n
+        kinds = (list(sums), pa.int32()), ([s.tobytes() for s in sums.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(*x) for x in kinds], names=["key", "counts"])
+
+    schema = "key int, counts binary"
+    got = docs.select(text).mapInArrow(count, schema).repartition("key").mapInArrow(add, schema).toArrow()
+    out = np.zeros(n_terms, np.int64)
+    for key, raw in zip(got.column("key").to_pylist(), got.column("counts")):
+        out[edges[key] : edges[key + 1]] = np.frombuffer(raw.as_buffer(), np.int64)
     return out
 
 
@@ -341,7 +368,7 @@ def fit(
     some = np.array([len(p[0]) > 0 for p in pairs])
     mass = weight[toxic[~some]]
     empty = float((mass @ toxic[~some] + prior) / (mass.sum() + 1))
-    return _index(known, ids, toxic, pairs, np.flatnonzero(some), weight, k, prior, empty)
+    return _index(docs.sparkSession, known, ids, toxic, pairs, np.flatnonzero(some), weight, k, prior, empty)
 
 
 def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -358,9 +385,14 @@ def _packed(n_terms: int, pairs: list, at: np.ndarray) -> Index:
     return Index(n_terms, begins, terms, weights)
 
 
-def _alike(dense: np.ndarray, centres: int = 32, rounds: int = 6) -> np.ndarray:
-    """A cluster for every row, by spherical k-means from evenly spaced rows. dense is scaled in place."""
-    unit = dense
+def _alike(index: Index, centres: int = 32, rounds: int = 6, width: int = 256) -> np.ndarray:
+    """A cluster for every example, by spherical k-means of hashed vectors from evenly spaced ones."""
+    place = tb.mix(np.arange(index.n_terms, dtype=np.uint64) + np.uint64(1))
+    slot, sign = (place % np.uint64(width)).astype(np.int64), np.where(place >> np.uint64(63), 1.0, -1.0)
+    unit = np.zeros((index.n, width), np.float32)
+    for i, (a, b) in enumerate(zip(index.begins[:-1].tolist(), index.begins[1:].tolist())):
+        t = index.terms[a:b]
+        unit[i] = np.bincount(slot[t], sign[t] * index.weights[a:b], width)
     unit /= np.maximum(np.sqrt(np.einsum("ij,ij->i", unit, unit)), 1e-9)[:, None]
     centre = unit[np.linspace(0, len(unit) - 1, centres).astype(int)]
     for _ in range(rounds):
@@ -370,22 +402,38 @@ def _alike(dense: np.ndarray, centres: int = 32, rounds: int = 6) -> np.ndarray:
     return own
 
 
-def _index(known: Vocabulary, ids: list, toxic: np.ndarray, pairs: list, at: np.ndarray, weight: np.ndarray, k: int, prior: float, empty: float) -> Model:
+def _left_out_votes(spark: SparkSession, model: Model) -> np.ndarray:
+    """The vote on every example by its nearest others, worked out in tasks."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, index = shared.value, shared.value.index
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            for a in range(0, len(numbers), _QUERIES):
+                which = numbers[a : a + _QUERIES]
+                vectors = [(index.terms[x], index.weights[x]) for x in map(slice, index.begins[which].tolist(), index.begins[which + 1].tolist())]
+                votes = [model.vote(*x) for x in index.nearest(vectors, model.k, which)]
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(votes)], names=["i", "vote"])
+
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, model.index.n // (4 * _QUERIES)))
+    got = spark.range(0, model.index.n, 1, tasks).mapInArrow(vote, "i long, vote double").toArrow()
+    votes = np.zeros(model.index.n)
+    votes[got.column("i").to_numpy()] = got.column("vote").to_numpy()
+    return votes
+
+
+def _index(spark: SparkSession, known: Vocabulary, ids: list, toxic: np.ndarray, pairs: list, at: np.ndarray, weight: np.ndarray, k: int, prior: float, empty: float) -> Model:
     # Alike examples side by side: blocks then differ in their maxima.
     at = np.array(sorted(at.tolist(), key=lambda i: ids[i]), np.int64)
     if len(at):
-        own = _alike(_packed(len(known.terms), pairs, at).dense[: len(at)])
+        own = _alike(_packed(len(known.terms), pairs, at))
         at = at[np.lexsort((np.arange(len(at)), toxic[at], own))]
     index = _packed(len(known.terms), pairs, at)
     pairs.clear()
     model = Model(known, np.array([ids[i] for i in at.tolist()], dtype=object), toxic[at], weight, index, k, prior, empty)
-    votes = np.zeros(len(at))
-    for a in range(0, len(at), _QUERIES):
-        which = np.arange(a, min(a + _QUERIES, len(at)))
-        vectors = [(index.terms[x], index.weights[x]) for x in map(slice, index.begins[which].tolist(), index.begins[which + 1].tolist())]
-        near = index.nearest(vectors, k, which)
-        votes[which] = [model.vote(*x) for x in near]
-    if len(votes):
+    if len(at):
+        votes = _left_out_votes(spark, model)
         model.votes, model.scores = _monotone(votes, toxic[at].astype(np.float64), weight[toxic[at]])
     return model
 
