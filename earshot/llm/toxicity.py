@@ -21,10 +21,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -213,6 +214,16 @@ class Model:
     empty_score: float  # of a text without any term
     votes: np.ndarray = field(default_factory=lambda: np.zeros(0))  # the monotone map
     scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    sent: Broadcast | None = None
+
+    def share(self, spark: SparkSession):
+        """Vocabulary and index as they are sent to the workers: once."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast((self.vocabulary, self.index))
+        return self.sent
+
+    def without_index(self) -> Model:
+        return replace(self, vocabulary=None, index=None, sent=None)
 
     @property
     def blocks(self) -> list[np.ndarray]:
@@ -314,6 +325,7 @@ def _document_frequencies(docs: DataFrame, text: str, terms: np.ndarray) -> np.n
 
     schema = "key int, counts binary"
     got = docs.select(text).mapInArrow(count, schema).repartition("key").mapInArrow(add, schema).toArrow()
+    shared.destroy()
     out = np.zeros(n_terms, np.int64)
     for key, raw in zip(got.column("key").to_pylist(), got.column("counts")):
         out[edges[key] : edges[key + 1]] = np.frombuffer(raw.as_buffer(), np.int64)
@@ -359,6 +371,7 @@ def fit(
                 ], names=["id", "toxic", "terms", "weights"])
 
     rows = chosen.select("id", "toxic", "text").mapInArrow(vectors, "id string, toxic int, terms array<int>, weights array<float>").toArrow()
+    shared.destroy()
     toxic = rows.column("toxic").to_numpy().astype(np.int64)
     ids = rows.column("id").to_pylist()
     pairs = list(zip(_lists(rows.column("terms")), _lists(rows.column("weights"))))
@@ -404,16 +417,16 @@ def _alike(index: Index, centres: int = 32, rounds: int = 6, width: int = 256) -
 
 def _left_out_votes(spark: SparkSession, model: Model) -> np.ndarray:
     """The vote on every example by its nearest others, worked out in tasks."""
-    shared = spark.sparkContext.broadcast(model)
+    light, shared = model.without_index(), model.share(spark)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, index = shared.value, shared.value.index
+        index = shared.value[1]
         for batch in batches:
             numbers = batch.column(0).to_numpy()
             for a in range(0, len(numbers), _QUERIES):
                 which = numbers[a : a + _QUERIES]
                 vectors = [(index.terms[x], index.weights[x]) for x in map(slice, index.begins[which].tolist(), index.begins[which + 1].tolist())]
-                votes = [model.vote(*x) for x in index.nearest(vectors, model.k, which)]
+                votes = [light.vote(*x) for x in index.nearest(vectors, light.k, which)]
                 yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(votes)], names=["i", "vote"])
 
     tasks = max(1, min(spark.sparkContext.defaultParallelism, model.index.n // (4 * _QUERIES)))
@@ -445,24 +458,26 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     rows among such examples and no evidence. Without a model every score is 0. Equal
     texts get equal scores. Columns of the four names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    light = None if model is None else model.without_index()
+    shared = None if model is None else model.share(docs.sparkSession)
     cache: dict[bytes, tuple] = {}
 
     def work(column: pa.Array) -> list[pa.Array]:
-        model = shared.value
+        model = light
         scores, evidence, cosines = [], [], []
         if model is None:
             scores, evidence, cosines = [0.0] * len(column), [[]] * len(column), [[]] * len(column)
         else:
+            vocabulary, index = shared.value
             for part in tb.slices(column):
-                vectors = model.vocabulary.vectors(part)
+                vectors = vocabulary.vectors(part)
                 keys = [hashlib.blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() for t, w in vectors]
                 known = {key: cache.get(key) for key in keys}
                 new = {key: v for key, v in zip(keys, vectors) if known[key] is None and len(v[0])}
                 todo = list(new)
                 for a in range(0, len(todo), _QUERIES):
                     some = todo[a : a + _QUERIES]
-                    for key, (found, cosine) in zip(some, model.index.nearest([new[x] for x in some], model.k)):
+                    for key, (found, cosine) in zip(some, index.nearest([new[x] for x in some], model.k)):
                         value = float(model.calibrated(np.array([model.vote(found, cosine)]))[0]) if len(found) else model.empty_score
                         known[key] = (value, model.ids[found[:3]].tolist(), np.minimum(cosine[:3], 1).tolist())
                         if len(cache) < KEPT_CACHE:
