@@ -39,6 +39,8 @@ WORDS = 5
 PERCENT = 80
 BLOCK = 128
 WIDEST = 1 << 16
+BUCKET_BYTES = 32_000_000  # of text whose hashes a bucket gets, at most
+BROADCAST_BYTES = 64_000_000
 
 
 def _sets(part: tb.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +152,7 @@ def _class_packer(buckets: int):
                 own = sizes[a : a + 500]
                 tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")[a : a + 500]])
                 of = np.repeat(np.arange(len(own)), own)
-                yield packets.pack(tokens, of, np.zeros(len(of), np.uint8), batch.column("rep")[a : a + 500].to_numpy(), own, buckets)
+                yield packets.pack(tokens, of, np.zeros(len(of), np.uint8), batch.column("cls")[a : a + 500].to_numpy(), own, buckets)
 
     return run
 
@@ -178,17 +180,16 @@ def _prefix_of(percent: int):
         # Shingles of one class alone come first of all, and match nothing.
         more = n[heads] - -(-n[heads] * percent // 100) + 1 - (n[heads] - shared)
         keep = np.arange(len(ids)) - np.repeat(heads, shared) < np.repeat(more, shared)
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(tokens[keep].view(np.int64))], names=["rep", "token"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(tokens[keep].view(np.int64))], names=["cls", "token"])
 
     return work
 
 
-def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """rep and token: the shingles of each class's prefix that other classes have."""
-    buckets = packets.buckets_of(classes.sparkSession) // 4
+def _prefixes(classes: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """cls and token: the shingles of each class's prefix that other classes have."""
     packed = classes.mapInArrow(_class_packer(buckets), packets.PACKED)
     found = packets.shared_tokens(packed, buckets, np.uint8, _frequent(buckets), packets.SCATTERED)
-    return packets.gather(found, buckets, (np.int32, _RARITY), _prefix_of(percent), "rep long, token long")
+    return packets.gather(found, buckets, (np.int32, _RARITY), _prefix_of(percent), "cls long, token long")
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray) -> int:
@@ -247,7 +248,7 @@ def _tiler(percent: int):
             if tile.num_rows < 2:
                 continue
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in tile.column("tokens")]
-            links = tile_links(tile.column("rep").to_numpy(), tile.column("side").to_numpy(), sets, percent)
+            links = tile_links(tile.column("cls").to_numpy(), tile.column("side").to_numpy(), sets, percent)
             if links:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"]
@@ -262,22 +263,26 @@ def _leader_test(percent: int):
             read = lambda name: [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(name)]
             hit = [_linked(a, b, percent) for a, b in zip(read("tokens"), read("leader"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("cluster"), batch.column("rep"), batch.column("n"), pa.array(hit, pa.bool_())], names=["cluster", "rep", "n", "linked"]
+                [batch.column("cluster"), batch.column("cls"), batch.column("n"), pa.array(hit, pa.bool_())], names=["cluster", "cls", "n", "linked"]
             )
 
     return run
 
 
 def _large_clusters(members: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links to the leaders of large clusters, and rows (key, side, rep) of the tiles that are still to do."""
-    # A leader is one row per cluster, its sets' sizes bounded by a document's: joined, not broadcast.
-    leaders = members.filter("rep = cluster").select("cluster", "rep").join(classes.select("rep", F.col("tokens").alias("leader")), "rep").drop("rep")
-    pairs = members.join(classes.select("rep", "n", "tokens"), "rep").join(leaders, "cluster")
+    """Links to the leaders of large clusters, and rows (key, side, cls) of the tiles that are still to do."""
+    leaders = classes.join(broadcast_if_bounded(members.filter("cls = cluster").select("cls", "cluster")), "cls").select(
+        "cluster", F.col("tokens").alias("leader")
+    )
+    # One set per large cluster: broadcast only if their bytes are few.
+    size = leaders.agg(F.sum(F.octet_length("leader"))).first()[0] or 0
+    leaders = F.broadcast(leaders) if size <= BROADCAST_BYTES else leaders
+    pairs = classes.join(broadcast_if_bounded(members), "cls").join(leaders, "cluster")
     tested = materialize(
-        pairs.select("cluster", "rep", "n", "tokens", "leader").mapInArrow(_leader_test(percent), "cluster long, rep long, n int, linked boolean"),
+        pairs.select("cluster", "cls", "n", "tokens", "leader").mapInArrow(_leader_test(percent), "cluster long, cls long, n int, linked boolean"),
         "leaders",
     )
-    links = tested.filter("linked and rep <> cluster").select(F.col("cluster").alias("a"), F.col("rep").alias("b"))
+    links = tested.filter("linked and cls <> cluster").select(F.col("cluster").alias("a"), F.col("cls").alias("b"))
     apart = tested.filter("not linked").select("cluster").distinct()
     banded = tested.join(apart, "cluster").withColumn("band", F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int"))
     sizes = banded.groupBy("cluster", "band", "linked").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -285,14 +290,14 @@ def _large_clusters(members: DataFrame, classes: DataFrame, percent: int) -> tup
     layout = sizes.groupBy("cluster").agg(F.collect_list(F.struct("band", "linked", "blocks")).alias("layout"))
     placed = banded.join(layout, "cluster").withColumn(
         "block", F.expr("element_at(filter(layout, e -> e.band = band and e.linked = linked), 1).blocks")
-    ).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("block")).cast("int"))
+    ).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("block")).cast("int"))
     others = F.expr("""flatten(transform(filter(layout, e -> abs(e.band - band) <= 1 and not (e.linked and linked)),
         e -> transform(sequence(0, e.blocks - 1), i -> struct(e.band as band, e.linked as linked, i as block))))""")
     own = F.struct("band", "linked", "block")
     spread = placed.withColumn("own", own).withColumn("other", F.explode(others))
     tiles = spread.select(
         F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "rep",
+        (F.col("own") > F.col("other")).cast("int").alias("side"), "cls",
     )
     return links, tiles
 
@@ -304,40 +309,47 @@ def similar_documents(
 
     Shingles are runs of `words` words (anything but ASCII white space, A-Z lower-cased);
     a text of fewer words is one shingle as a whole; one without words has none and links
-    with nothing, like a null. Rows with a null id take no part, rows that share an id
-    are one document. component_id is the smallest id reachable by links. Shingles are
+    with nothing, like a null. Rows with a null id take no part; rows that share an id
+    are one document, which has the links of each of its texts. Ties cannot arise: equal
+    sets are one class. An empty table has no components. Only the two columns are read,
+    so others may have any name. component_id is the smallest id reachable by links. Shingles are
     64-bit hashes: a false link would take a fifth of a set to collide.
     """
-    spark = docs.sparkSession
-    buckets = packets.buckets_of(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).dropna()
+    buckets = _buckets(rows)
     packed = rows.mapInArrow(_packer(words, percent, buckets), packets.PACKED)
     groups = buckets // 4
     found = packets.shared_tokens(packed, buckets, np.uint8, _matched(groups), packets.SCATTERED)
     chosen = materialize(packets.gather(found, groups, (np.int32, np.int32), _enough(percent), "id long"), "chosen")
-    sets = materialize(
-        rows.join(broadcast_if_bounded(chosen), "id").mapInArrow(
-            _set_maker(words), "id long, n int, d1 long, d2 long, tokens binary"
-        ),
-        "sets",
-    )
-    same = materialize(sets.groupBy("n", "d1", "d2").agg(F.min("id").alias("rep")), "classes")
-    belongs = sets.select("id", "n", "d1", "d2").join(same, ["n", "d1", "d2"]).select("id", "rep").distinct()
+    made = rows.join(broadcast_if_bounded(chosen), "id").mapInArrow(_set_maker(words), "id long, n int, d1 long, d2 long, tokens binary")
+    # The number of a row, once written, names its set; sets are not moved to find equal ones.
+    sets = materialize(made.withColumn("row", F.monotonically_increasing_id()), "sets")
+    same = materialize(sets.groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "row")).alias("first")).select("n", "d1", "d2", "first.*"), "classes")
+    reps = same.select(F.col("row").alias("cls"), F.col("id").alias("rep"))
+    belongs = sets.select("id", "n", "d1", "d2").join(same.withColumnRenamed("id", "rep"), ["n", "d1", "d2"]).select("id", "rep").distinct()
     classes = materialize(
-        sets.join(same, ["n", "d1", "d2"]).filter("id = rep").dropDuplicates(["rep", "d1", "d2"]).select("rep", "n", "tokens"),
-        "representatives",
+        sets.select(F.col("row").alias("cls"), "n", "tokens").join(broadcast_if_bounded(reps.select("cls")), "cls"), "representatives"
     )
-    prefixes = materialize(_prefixes(classes, percent), "prefixes")
-    least = prefixes.groupBy("token").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    clusters = connected_components(prefixes.join(least, "token").filter("rep > low").select("low", "rep"), "low", "rep")
-    members = materialize(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "clusters")
+    prefixes = materialize(_prefixes(classes, percent, groups), "prefixes")
+    least = prefixes.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).filter("low < high")
+    clusters = connected_components(prefixes.join(least, "token").filter("cls > low").select("low", "cls"), "low", "cls")
+    members = materialize(clusters.select(F.col("node").alias("cls"), F.col("component").alias("cluster")), "clusters")
     counts = members.groupBy("cluster").agg(F.count("*").alias("m"))
     large = materialize(counts.filter(F.col("m") > BLOCK).select("cluster"), "large")
     small = members.join(broadcast_if_bounded(large), "cluster", "left_anti")
-    links, tiles = _large_clusters(members.join(broadcast_if_bounded(large), "cluster"), classes, percent)
-    tiles = tiles.unionByName(small.select(F.xxhash64(F.lit("small"), "cluster").alias("key"), F.lit(0).alias("side"), "rep"))
-    dealt = tiles.join(classes.select("rep", "tokens"), "rep").repartition("key").sortWithinPartitions("key")
-    within = dealt.select("key", "side", "rep", "tokens").mapInArrow(_tiler(percent), "a long, b long")
+    links, tiles = _large_clusters(materialize(members.join(broadcast_if_bounded(large), "cluster"), "large-members"), classes, percent)
+    tiles = materialize(tiles.unionByName(small.select(F.xxhash64(F.lit("small"), "cluster").alias("key"), F.lit(0).alias("side"), "cls")), "tiles")
+    dealt = classes.select("cls", "tokens").join(broadcast_if_bounded(tiles), "cls").repartition("key").sortWithinPartitions("key")
+    within = dealt.select("key", "side", "cls", "tokens").mapInArrow(_tiler(percent), "a long, b long")
+    linked = links.unionByName(within)
+    for end in ("a", "b"):
+        linked = linked.join(reps.select(F.col("cls").alias(end), F.col("rep").alias(f"{end}_rep")), end)
     twins = belongs.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    edges = links.unionByName(within).unionByName(twins)
+    edges = linked.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).unionByName(twins)
     return connected_components(edges, "a", "b").select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def _buckets(rows: DataFrame) -> int:
+    """Buckets to deal hashes into: some for every shuffle partition, more for more text."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(packets.buckets_of(rows.sparkSession), 4 * -(-size // (4 * BUCKET_BYTES)))

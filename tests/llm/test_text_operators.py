@@ -108,6 +108,19 @@ def test_jaccard_edges(spark):
     assert jac.similar_documents(spark.createDataFrame(rows, DOCS)).count() == 0
 
 
+def test_jaccard_of_an_id_with_two_texts(spark):
+    """The quoted text's shingles are frequent, so its prefix is not that of the id's other text."""
+    r, words = random.Random(21), vocabulary(3000)
+    x, y = prose(r, words, 260), prose(r, words, 120)
+    cut = lambda t, n: " ".join(t.split(" ")[:-n])
+    docs = [(1, x), (1, y), (2, cut(x, 12)), (9, cut(y, 6))]
+    docs += [(20 + i, prose(r, words, 900) + " " + y + " " + prose(r, words, 900)) for i in range(6)]
+    docs += [(40, "Short text"), (41, "short  TEXT"), (42, "short text one"), (43, None), (44, prose(r, words, 60_000))]
+    docs.append((45, docs[-1][1] + " end"))
+    df = spark.createDataFrame(docs, DOCS).selectExpr("doc_id", "text", "'x' as CLS", "1 as tokens", "2 as rep", "3 as n")
+    assert {c.doc_id: c.component_id for c in jac.similar_documents(df).collect()} == {1: 1, 2: 1, 9: 1, 40: 40, 41: 40, 44: 44, 45: 44}
+
+
 def test_contamination_equals_brute_force(spark):
     r, words = random.Random(9), vocabulary(120)
     items = [(i, prose(r, words, r.choice([1, 2, 5, 12, 13, 14, 40]))) for i in range(30)] + [(30, None), (31, ""), (None, "zz yy xx ww")]
