@@ -48,6 +48,49 @@ def test_stream_rate_limit(spark, tmp_path, parts):
     assert {r.id: (r.rate_limited, r.retry_after_s) for r in got} == rate_model(rows, 60)
 
 
+# A row far in the future, of another key, lets all before it out.
+FLUSH = (START + 1_000_000) * 10**6
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_shuffled_replays_by_event_time_are_those_of_a_batch(spark, tmp_path, parts):
+    rng = random.Random(19)
+    rows = [(rng.choice(["hot", "hot", "a", "b"]), (START + rng.randrange(0, 900)) * 10**6 + rng.randrange(3), i, rng.choice(["d1", "d1", "d2"]), rng.random() > 0.2) for i in range(400)]
+    want = replay_model(rows, 120)
+    rng.shuffle(rows)
+    stream = batches(spark, [*rows, ("end", FLUSH, -1, "d", True)], "k string, us long, row_id long, digest string, remembered boolean", str(tmp_path / "in"), parts)
+    got = run(spark, processors.stream_replays(stream, ["k"], watermark="1 hour", by_event_time=True), tmp_path).collect()
+    assert len(got) == len(rows) and {r.row_id: (r.is_replay, r.is_conflict) for r in got} == want
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_shuffled_rate_limits_by_event_time_are_those_of_a_batch(spark, tmp_path, parts):
+    rng = random.Random(14)
+    rows = [(rng.choice(["hot", "hot", "a"]), (START + rng.randrange(0, 600)) * 10**6 + rng.randrange(3), i, rng.choice([4, 4, 4, None])) for i in range(500)]
+    want = rate_model(rows, 60)
+    rng.shuffle(rows)
+    stream = batches(spark, [*rows, ("end", FLUSH, -1, 4)], "k string, us long, id long, lim int", str(tmp_path / "in"), parts)
+    got = run(spark, processors.stream_rate_limit(stream, ["k"], "lim", tie="id", watermark="1 hour", by_event_time=True), tmp_path).collect()
+    assert len(got) == len(rows) and {r.id: (r.rate_limited, r.retry_after_s) for r in got} == want
+
+
+def test_a_key_that_fills_a_batch_is_taken_in_parts(spark, tmp_path):
+    """Rows wait in parts of the Arrow batch size, and leave a slot at a time; nothing is left behind."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rows = [("hot", (START + i % 300) * 10**6, i, 4) for i in range(1200)]
+        stream = batches(spark, [*rows, ("end", FLUSH, -1, 4), ("end", FLUSH + 10**12, -2, 4)], "k string, us long, id long, lim int", str(tmp_path / "in"), 2)
+        got = run(spark, processors.stream_rate_limit(stream, ["k"], "lim", tie="id", watermark="10 minutes", by_event_time=True), tmp_path).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {r.id: (r.rate_limited, r.retry_after_s) for r in got if r.id >= 0} == rate_model(rows, 60)
+    for name in ("waiting", "parts"):
+        held = spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "ck"))
+        assert {r.key.k for r in held.select("key").collect()} <= {"end"}
+    assert spark.read.format("statestore").option("stateVarName", "window").load(str(tmp_path / "ck")).filter("key.k = 'hot'").count() == 0
+
+
 def test_state_leaves_with_the_watermark(spark, tmp_path):
     """Once time has moved on, a key that fell silent holds no state."""
     rows = [("old", START * 10**6, 1, "d", True), ("new", (START + 10_000) * 10**6, 2, "d", True), ("newer", (START + 20_000) * 10**6, 3, "d", True)]
