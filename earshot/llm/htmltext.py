@@ -86,6 +86,7 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
+_LETTER = re.compile(r"[^\W\d_]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -220,11 +221,13 @@ def extract(page: str | None) -> str:
     for path, texts, weight, article, linked, shown in blocks.values():
         text = " ".join(_SPACE.sub(" ", entities.unescape("".join(texts))).replace("\xa0", " ").split())
         if text:
-            kept.append(((path, weight, article, 2 * linked > shown), text))
+            # A paragraph that leads into a link is no entry of a list of links.
+            led = linked < shown and path[-1:] != ("li",) and bool(_LETTER.search("".join(texts)))
+            kept.append(((path, weight, article, 2 * linked > shown), text, led))
     if not kept:
         return ""
     length, marks, count, part = {}, {}, {}, {}
-    for key, text in kept:
+    for key, text, _ in kept:
         length[key] = length.get(key, 0) + len(text)
         marks[key] = marks.get(key, 0) + len(_PUNCTUATION.findall(text))
         count[key] = count.get(key, 0) + 1
@@ -234,33 +237,36 @@ def extract(page: str | None) -> str:
         k: min(k[1], LINKED if k[3] else 1.0) * (1 + ARTICLE * part[k[2]] / whole if k[2] else 1.0) for k in count
     }
     # Length and punctuation per node of the path, smoothed over the neighbours in page order.
-    fused = [(length[k] / count[k]) * (1 + marks[k] / count[k]) for k, _ in kept]
+    fused = [(length[k] / count[k]) * (1 + marks[k] / count[k]) for k, _, _ in kept]
     score: dict = {}
-    for i, (k, _) in enumerate(kept):
+    for i, (k, _, _) in enumerate(kept):
         # A menu does not gain by the article it stands beside.
         around = [fused[j] for j in range(max(0, i - 1), min(i + 2, len(kept))) if (kept[j][0][1] < EITHER) == (k[1] < EITHER)]
         score[k] = score.get(k, 0.0) + weigh[k] * sum(around) / len(around) / count[k]
     threshold = _between(list(score.values()))
-    content = [score[k] >= threshold for k, _ in kept]
-    # Plain texts between content of the same article.
-    ends: dict = {}
-    for i, (k, _) in enumerate(kept):
-        if k[2] and content[i]:
-            ends[k[2]] = (ends.get(k[2], (i, i))[0], i)
-    between = [k[2] in ends and k[1] == 1 and not k[3] and ends[k[2]][0] < i < ends[k[2]][1] for i, (k, _) in enumerate(kept)]
-    return " ".join(text for (_, text), c, b in zip(kept, content, between) if c or b)
+    content = [score[k] >= threshold for k, _, _ in kept]
+    # An article with content is kept from its first plain block to its last, titles and short lists too.
+    articles = {k[2] for (k, _, _), c in zip(kept, content) if c and k[2]}
+    own = [k[2] in articles and k[1] == 1 and (not k[3] or led) for k, _, led in kept]
+    return " ".join(text for (_, text, _), c, o in zip(kept, content, own) if c or o)
 
 
 def _between(scores: list[float]) -> float:
-    """The least score of the upper of two groups (least variance within, of logarithms); of all if they are not apart."""
-    logs = sorted(math.log(max(x, 1.0)) for x in scores)
-    best, cut, total, low = 0.0, 0, sum(logs), 0.0
-    for i in range(1, len(logs)):
-        low += logs[i - 1]
-        gap = (total - low) / (len(logs) - i) - low / i
-        if gap >= math.log(APART) and i * (len(logs) - i) * gap * gap > best:
-            best, cut = i * (len(logs) - i) * gap * gap, i
-    return math.exp(logs[cut]) * (1 - 1e-9) if cut else 0.0
+    """The least score of the upper of two groups (least variance within, of logarithms); of all if they are not apart.
+
+    Scores below 1 say no more than 1, unless that leaves nothing apart.
+    """
+    for least in (1.0, 1e-6):
+        logs = sorted(math.log(max(x, least)) for x in scores)
+        best, cut, total, low = 0.0, 0, sum(logs), 0.0
+        for i in range(1, len(logs)):
+            low += logs[i - 1]
+            gap = (total - low) / (len(logs) - i) - low / i
+            if gap >= math.log(APART) and i * (len(logs) - i) * gap * gap > best:
+                best, cut = i * (len(logs) - i) * gap * gap, i
+        if cut:
+            return math.exp(logs[cut]) * (1 - 1e-9)
+    return 0.0
 
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text", length: str = "n_chars") -> DataFrame:
