@@ -189,6 +189,58 @@ def corpus_schema(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet").schema
 
 
+#: Names that the operators give their own columns, and some that are odd.
+CLASHES = [
+    "size", "score", "n_words", "SHARD", "slot", "Rejected", "lang_pred", "copies", "target", "taken", "source_size", "hit_spans", "item_ids",
+    "contaminated", "component_id", "set_aside", "tokens", "cls", "row", "n", "a.b", "id",
+]
+
+
+def test_pipeline_stages_leave_other_columns_alone(spark):
+    source = spark.read.parquet(f"{DATA}/documents.parquet")
+    df = source.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id")).alias(c) for c in CLASHES])
+    columns = df.columns
+    for name, stage in corpus_pipeline.STAGES:
+        path = scratch_dir(spark, "stage")
+        stage(spark, df, DATA).write.parquet(path)
+        df = spark.read.parquet(path)
+        if name == "shards":
+            columns = [c for c in columns if c.lower() not in ("shard", "slot")] + ["shard", "slot"]
+        assert df.columns == columns
+        kept = [c for c in CLASHES if c in columns and c.lower() not in ("shard", "slot")]
+        rows = df.select("doc_id", *[F.col(f"`{c}`") for c in kept]).collect()
+        assert rows and all(x[i + 1] == f"{c}-{x[0]}" for x in rows for i, c in enumerate(kept))
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in every column, repeated ids, very long texts and empty tables."""
+    schema = corpus_schema(spark)
+    real = [tuple(x) for x in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    at = schema.names.index
+    blank = lambda **v: tuple(v.get(n) for n in schema.names)
+    long = " ".join(x[at("text")] or "" for x in real[:60])
+    odd = [
+        blank(), blank(doc_id=9001), blank(doc_id=9002, text=""), blank(text="no id at all"), blank(text="no id at all"),
+        blank(doc_id=9003, text=long, source="s"), blank(doc_id=9004, text="one text", lang="en"), blank(doc_id=9004, text="another one", lang="en"),
+        blank(doc_id=9004, text="another one", lang="en"), real[0], real[0],
+    ]
+    df = spark.createDataFrame(real + odd, schema)
+    by_id = lambda d: collections.Counter(x.doc_id for x in d.select("doc_id").collect())
+    apart = by_id(corpus_pipeline.distinct(spark, df, DATA))
+    assert apart[None] == 3 and all(n == 1 for i, n in apart.items() if i is not None)
+    assert {9001, 9002, 9003, 9004} <= set(apart)
+    known = by_id(corpus_pipeline.recognised(spark, df, DATA))
+    assert not {9001, 9002} & set(known) and known[real[0][at("doc_id")]] in (0, 3)
+    clean = by_id(corpus_pipeline.uncontaminated(spark, df, DATA))
+    assert {9001, 9002} <= set(clean) and clean[None] == 3
+    assert by_id(corpus_pipeline.mixed(spark, df, DATA)).total() > 0
+    rows = corpus_pipeline.sharded(spark, df, DATA).collect()
+    assert collections.Counter(x.doc_id for x in rows) == by_id(df)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df.limit(0), DATA)
+        assert out.count() == 0 and out.columns[: len(schema.names)] == schema.names
+
+
 def test_pipeline_equals_brute_force(spark):
     docs = [tuple(x) for x in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     kept = expected(spark, docs)

@@ -364,7 +364,6 @@ PARAGRAPH = "<p>" + "This is a long paragraph, with words and marks. " * 8 + "</
     (f"<main>{PARAGRAPH}{PARAGRAPH}<h2>Closing list</h2><ul><li>one</li><li>two</li><li>three</li><li>four</li></ul></main>", ["Closing list one two three four"], []),
     (f"<article>{PARAGRAPH}<p>See <a href='x'>the full report of the committee</a>.</p></article>", ["See the full report of the committee."], []),
     ("<p>Short text.</p><p>And more of it.</p><div class='footer'>All rights reserved.</div>", ["Short text. And more of it."], ["rights"]),
-    (f"<main>{PARAGRAPH}<ul><li><a href='x'>Another story</a></li><li><a href='y'>One more story</a></li></ul>{PARAGRAPH}</main>", ["long paragraph"], ["story"]),
     (f"<article><div class='comments'><p>First! Nice one.</p></div>{PARAGRAPH}<div class='cookie-notice'>We use them.</div></article>", [], ["First", "We use"]),
     (f"<div class='teaser'><article><a href='x'>A teaser</a></article></div><div id='story'><h2>Headline</h2>{PARAGRAPH}{PARAGRAPH}</div>", ["long paragraph"], ["teaser"]),
 ])
