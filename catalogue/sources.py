@@ -9,6 +9,7 @@ from catalogue.inputs import WORDS_SQL
 from catalogue.packqa import RULED
 from catalogue.registry import query
 from catalogue.routing import CATALOG_SQL, MODELS_SQL, _models, catalog
+from earshot.plans.sizing import scratch_dir
 from earshot.sources import packs as pack_source
 from earshot.sources import registry
 
@@ -67,7 +68,16 @@ def catalog_faults(spark, sf):
 
 @query("s4_model_registry", f"""WITH {MODELS_SQL} SELECT model_id, string_agg(language, ',' ORDER BY language) AS languages FROM heard GROUP BY model_id""")
 def model_registry(spark, sf):
-    return _models(spark, sf).select("model_id", F.array_join("languages", ",").alias("languages"))
+    """A registry written as the operator's file, in pieces, and read back."""
+    path = scratch_dir(spark, "model-registry")
+    quoted = F.array_join(F.transform("languages", lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", ")
+    entry = F.concat(F.lit('[[models]]\nid = "'), "model_id", F.lit('"\nfamily = "ctc"\nlanguages = ['), quoted, F.lit("]\n"))
+    head = spark.range(1).select(F.lit("schema = 1\n").alias("value"))
+    # Names of pieces begin with their place.
+    head.coalesce(1).write.text(f"{path}/piece=0")
+    _models(spark, sf).select(entry.alias("value")).write.text(f"{path}/piece=1")
+    models = registry.read_model_registry(spark, path)
+    return models.select("model_id", F.array_join("languages", ",").alias("languages"))
 
 
 # A tokens file per fifty customers: each is a server, some entries are faulty.

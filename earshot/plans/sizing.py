@@ -65,3 +65,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """df written out in buckets by key, and read back: joins and groupings by key need not move it again.
+
+    df should be partitioned by key in as many parts as there are shuffle partitions; then
+    each task writes one bucket, and nothing is moved for that either. The files are in the
+    shared folder; the catalog only lends its name for the writing.
+    """
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", scratch_dir(spark, label)).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    kept = spark.table(name)
+    kept.schema  # The plan now holds the files themselves.
+    spark.sql(f"DROP TABLE {name}")
+    return kept

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -10,7 +12,7 @@ from earshot import schemas
 from earshot.functions.text import utc_date
 from earshot.operators import events as ev
 from earshot.operators import usage as metering
-from earshot.plans.sizing import materialize
+from earshot.plans.sizing import broadcast_if_bounded, materialize
 
 FILES_PER_TRIGGER = 64
 
@@ -75,12 +77,19 @@ def write_verdicts(verdicts: DataFrame, path: str, flat: bool = False, mode: str
     out.write.mode(mode).parquet(path)
 
 
-def append_events(events: DataFrame, path: str, horizon_days: int | None = 0) -> None:
-    """Append the events whose (tenant, request) the table does not hold yet.
+#: Beside the days of an event table, in a folder its readers pass over: a hash of every event's key.
+KEYS = "_keys"
+
 
-    A redelivered batch therefore writes nothing. The table lies by day, and an event's
-    day is part of it, so only the batch's own days are searched: what a batch costs
-    does not grow with the table. horizon_days widens that, None searches all days.
+def append_events(events: DataFrame, path: str, horizon_days: int | None = None) -> None:
+    """Append the events whose (tenant, request) the table does not hold yet, on whatever day.
+
+    The table lies by day, with a sketch of each day's keys beside it: eight bytes an
+    event. A batch is held against the sketches, and only days whose sketch has one of
+    its keys are read, which are its own when it is delivered again and hardly any
+    otherwise. Keys are written before their events, so an append that died half way
+    makes the next one look into a day in vain, and no more. horizon_days searches so
+    many days around the batch's own only.
     """
     spark = events.sparkSession
     batch = materialize(events.dropDuplicates(list(ev.EVENT_KEY)).withColumn("event_date", utc_date(F.col("occurred_at"))), "batch")
@@ -94,10 +103,28 @@ def append_events(events: DataFrame, path: str, horizon_days: int | None = 0) ->
                 F.date_sub(F.min("event_date"), horizon_days), F.date_add(F.max("event_date"), horizon_days),
             ).first()
             held = held.filter(F.col("event_date").between(*map(F.lit, bounds)))
-        fresh = batch.join(held.select(*ev.EVENT_KEY), list(ev.EVENT_KEY), "left_anti")
+        elif (days := days_that_may_hold(batch, path)) is not None:
+            held = held.filter(F.col("event_date").isin(days))
+        fresh = materialize(batch.join(held.select(*ev.EVENT_KEY), list(ev.EVENT_KEY), "left_anti"), "fresh")
+    _keys_of(fresh).write.mode("append").partitionBy("event_date").parquet(f"{path}/{KEYS}")
     fresh.write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def _keys_of(events: DataFrame) -> DataFrame:
+    return events.select("event_date", F.xxhash64(*ev.EVENT_KEY).alias("key_hash"))
+
+
+def days_that_may_hold(batch: DataFrame, path: str) -> list[date] | None:
+    """The days of an event table on which some event of batch may be; None if the table has no sketches."""
+    spark = batch.sparkSession
+    if not _exists(spark, f"{path}/{KEYS}"):
+        return None
+    sketches = spark.read.schema("key_hash long, event_date date").parquet(f"{path}/{KEYS}")
+    asked = broadcast_if_bounded(_keys_of(batch).select("key_hash"))
+    # A row per day at most.
+    return [r["event_date"] for r in sketches.join(asked, "key_hash", "left_semi").select("event_date").distinct().collect()]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tomllib
 from collections import Counter
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +13,10 @@ from earshot import domains, schemas
 _CATALOG_KEYS = {f.name for f in schemas.LANGUAGE_CATALOG.fields}
 
 
-def _toml(path: str, keys: set[str], schemas_allowed: tuple[int, ...], what: str) -> dict:
-    document = tomllib.loads(Path(path).read_text(encoding="utf-8"))
+def _toml(spark: SparkSession, path: str, keys: set[str], schemas_allowed: tuple[int, ...], what: str) -> dict:
+    """One document, from wherever Spark can read: a file, or a folder of its pieces in the order of their names."""
+    pieces = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value").orderBy("file")
+    document = tomllib.loads("\n".join(r["value"] for r in pieces.toLocalIterator()))
     if set(document) != keys or document["schema"] not in schemas_allowed:
         raise ValueError(f"{what} must hold exactly {sorted(keys)} with a known schema")
     return document
@@ -23,7 +24,7 @@ def _toml(path: str, keys: set[str], schemas_allowed: tuple[int, ...], what: str
 
 def read_language_catalog(spark: SparkSession, path: str) -> DataFrame:
     """TOML catalog as a table, once check_language_catalog finds nothing wrong."""
-    document = _toml(path, {"schema", "languages"}, (1,), "language catalog")
+    document = _toml(spark, path, {"schema", "languages"}, (1,), "language catalog")
     entries = document["languages"]
     for entry in entries:
         if not isinstance(entry, dict) or set(entry) != _CATALOG_KEYS:
@@ -82,7 +83,7 @@ def base_code(catalog: DataFrame) -> DataFrame:
 
 def read_model_registry(spark: SparkSession, path: str) -> DataFrame:
     """Model id, family and languages; the download pins are of no use here."""
-    document = _toml(path, {"schema", "models"}, (1, 2), "model registry")
+    document = _toml(spark, path, {"schema", "models"}, (1, 2), "model registry")
     models = document["models"]
     if not models:
         raise ValueError("model registry must contain models")

@@ -108,6 +108,45 @@ def test_event_table_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(path).count() == 5
 
 
+def test_an_event_is_filed_once_whatever_its_day(spark, tmp_path):
+    rows = [("t", f"r{i}", False, "text", [match_of("a", 1)]) for i in range(6)]
+    events, path = ev.flagged_events(verdict_rows(spark, rows)), str(tmp_path / "events")
+    late = events.withColumn("occurred_at", F.col("occurred_at") + F.expr("interval 40 days"))
+    logs.append_events(events.filter("request_id < 'r3'"), path)
+    logs.append_events(late.filter("request_id < 'r4'"), path)
+    table = spark.read.parquet(path)
+    assert sorted(r.request_id for r in table.collect()) == ["r0", "r1", "r2", "r3"]
+    assert table.select("event_date").distinct().count() == 2
+    # Only the days that may hold one of the batch are read.
+    with_date = lambda df: df.withColumn("event_date", F.to_date("occurred_at"))
+    first, second = sorted(r.event_date for r in table.select("event_date").distinct().collect())
+    assert logs.days_that_may_hold(with_date(events.filter("request_id = 'r1'")), path) == [first]
+    assert logs.days_that_may_hold(with_date(late.filter("request_id = 'r3'")), path) == [second]
+    assert logs.days_that_may_hold(with_date(late.filter("request_id = 'r5'")), path) == []
+    # An explicit horizon searches the batch's own days, and files r0 again.
+    logs.append_events(late.filter("request_id = 'r0'"), path, horizon_days=0)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_keys_written_without_their_events_do_no_harm(spark, tmp_path):
+    rows = [("t", f"r{i}", False, "text", [match_of("a", 1)]) for i in range(3)]
+    events, path = ev.flagged_events(verdict_rows(spark, rows)), str(tmp_path / "events")
+    logs.append_events(events.filter("request_id = 'r0'"), path)
+    dated = events.withColumn("event_date", F.to_date("occurred_at"))
+    logs._keys_of(dated).write.mode("append").partitionBy("event_date").parquet(f"{path}/{logs.KEYS}")
+    logs.append_events(events, path)
+    assert spark.read.parquet(path).count() == 3
+    assert "key_hash" not in spark.read.parquet(path).columns
+
+
+def test_tables_without_sketches_are_searched_whole(spark, tmp_path):
+    rows = [("t", f"r{i}", False, "text", [match_of("a", 1)]) for i in range(3)]
+    events, path = ev.flagged_events(verdict_rows(spark, rows)), str(tmp_path / "events")
+    events.withColumn("event_date", F.to_date("occurred_at")).write.partitionBy("event_date").parquet(path)
+    logs.append_events(events.withColumn("occurred_at", F.col("occurred_at") + F.expr("interval 9 days")), path)
+    assert spark.read.parquet(path).count() == 3
+
+
 def test_traces(spark):
     lines = spark.createDataFrame([
         ("12:00 INFO request_trace request_id=r1 outcome=success total_ms=214 decode_ms=3 stt_ms=198 rules_ms=1 classifier_ms=0 serialize_ms=1",),

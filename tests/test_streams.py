@@ -91,6 +91,20 @@ def test_a_key_that_fills_a_batch_is_taken_in_parts(spark, tmp_path):
     assert spark.read.format("statestore").option("stateVarName", "window").load(str(tmp_path / "ck")).filter("key.k = 'hot'").count() == 0
 
 
+def test_retention_equals_the_batch_view_at_every_trigger(spark, tmp_path):
+    from earshot.operators import events as ev
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["t1", "t1", "t2"]), (START + rng.randrange(0, 500)) * 10**6, f"r{i}") for i in range(240)]
+    stream = batches(spark, rows, "tenant_key string, us long, request_id string", str(tmp_path / "in"), 4)
+    jobs.retention_view(stream, str(tmp_path / "view"), n=15, checkpoint=str(tmp_path / "ck")).awaitTermination()
+    plain = lambda df: sorted((x.tenant_key, x.dropped, [tuple(e)[:2] for e in x.events]) for x in df.collect())
+    for trigger in range(4):
+        so_far = spark.createDataFrame(rows[: (trigger + 1) * 60], "tenant_key string, us long, request_id string").withColumn("occurred_at", F.timestamp_micros("us"))
+        assert plain(jobs.retained(spark, str(tmp_path / "view"), trigger=trigger)) == plain(ev.retained_events(so_far, n=15))
+    assert [x[1] for x in plain(jobs.retained(spark, str(tmp_path / "view")))] == [len([r for r in rows if r[0] == t]) - 15 for t in ("t1", "t2")]
+
+
 def test_state_leaves_with_the_watermark(spark, tmp_path):
     """Once time has moved on, a key that fell silent holds no state."""
     rows = [("old", START * 10**6, 1, "d", True), ("new", (START + 10_000) * 10**6, 2, "d", True), ("newer", (START + 20_000) * 10**6, 3, "d", True)]
