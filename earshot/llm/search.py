@@ -31,7 +31,7 @@ from earshot.llm import textbytes as tb
 from earshot.plans.sizing import materialize
 
 #: Bytes of text per shard; a longer single text is a shard of its own.
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
 BLOCK = 128
 #: Query terms (a term counts once for each query that has it) that are sent to the tasks at once.
 TERMS_AT_ONCE = 200_000
