@@ -54,14 +54,15 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with a null id have no copies and all stay. A document without words has none either.
     """
     ship_package(spark)
+    own = [F.col(f"`{c}`") for c in docs.columns]
     copies = similar_documents(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(broadcast_if_bounded(materialize(copies, "copies")), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(broadcast_if_bounded(materialize(copies, "copies")), "doc_id", "left_anti").select(*own)
     repeated = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     repeated = broadcast_if_bounded(materialize(repeated, "repeated"))
     # Narrow where ids are unique, and added up before it is moved where one is not.
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*own)
     one = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(row)).alias("row"))
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
+    return kept.join(repeated, "doc_id", "left_anti").select(*own).unionByName(one.select("row.*"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
