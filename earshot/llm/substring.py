@@ -29,8 +29,10 @@ CANDIDATE = 6  # one byte in so many is a candidate
 LEAST = 7  # and a cut if the one before it is so many bytes off
 MOST = 512  # longer chunks are cut every so many bytes
 WINDOW = 4
-#: Bytes a reported passage has at least: some 25 words.
+#: A reported passage has so many bytes at least, some 25 words of prose, or so many words,
+#: which a passage of more than 50 keeps when its edges are cut to chunk borders.
 PASSAGE_BYTES = 140
+PASSAGE_WORDS = 30
 
 
 def _cuts(part: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +57,16 @@ def _cuts(part: tb.Texts) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(part.offsets, starts, side="right") - 1
 
 
-_SPAN = np.dtype([("start", "<u4"), ("length", "<u4")])
+_SPAN = np.dtype([("start", "<u4"), ("length", "<u4"), ("word", "<u4"), ("words", "<u4")])
+
+
+def _word_starts(part: tb.Texts) -> np.ndarray:
+    flag = tb.NOT_SPACE[part.data]
+    opens = flag.copy()
+    opens[1:] &= ~flag[:-1]
+    edge = part.offsets[:-1][part.offsets[:-1] < len(flag)]
+    opens[edge] = flag[edge]
+    return np.flatnonzero(opens)
 
 
 def _packer(buckets: int):
@@ -82,6 +93,9 @@ def _packer(buckets: int):
                 span = np.empty(len(whole), _SPAN)
                 span["start"] = starts[whole] - part.offsets[text[whole]]
                 span["length"] = ends[to[whole]] - starts[whole]
+                words = _word_starts(part)
+                begun, past = np.searchsorted(words, starts[whole]), np.searchsorted(words, ends[to[whole]])
+                span["word"], span["words"] = begun - np.searchsorted(words, part.offsets[text[whole]]), past - begun
                 own_ids = ids[part.first : part.first + len(part)]
                 out = packets.pack(token, text[whole], span, own_ids, np.zeros(len(part), np.int32), buckets)
                 if out is not None:
@@ -94,19 +108,23 @@ def _repeats(bucket: packets.Bucket) -> pa.RecordBatch | None:
     at = np.flatnonzero(bucket.shared)
     if not len(at):
         return None
-    start = bucket.extra["start"][at].astype(np.int64)
+    start, word = (bucket.extra[c][at].astype(np.int64) for c in ("start", "word"))
     return pa.RecordBatch.from_arrays(
-        [pa.array(x) for x in (bucket.ids[at], start, start + bucket.extra["length"][at], bucket.first[at])],
-        names=["id", "start", "past", "first"],
+        [pa.array(x) for x in (
+            bucket.ids[at], start, start + bucket.extra["length"][at], bucket.first[at], word, word + bucket.extra["words"][at]
+        )],
+        names=["id", "start", "past", "first", "word", "past_word"],
     )
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", passage_bytes: int = PASSAGE_BYTES) -> DataFrame:
+def repeated_passages(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", passage_bytes: int = PASSAGE_BYTES, passage_words: int = PASSAGE_WORDS,
+) -> DataFrame:
     """doc_id, start_byte, n_bytes, first_doc_id and kept boolean of every passage that is in several documents.
 
     A passage is a maximal stretch of bytes of a text's UTF-8 that repeated windows
-    cover, of passage_bytes at least; its edges lie on chunk borders inside the true
-    ones. Passages of which this document is the first (smallest id) have kept = true
+    cover, of passage_bytes or passage_words (begun in it) at least; its edges lie on
+    chunk borders inside the true ones. Passages of which this document is the first (smallest id) have kept = true
     and are reported apart from those first seen elsewhere, so that deleting the rest
     leaves one copy of everything. A repeat inside one document alone is none. Null and
     empty texts have no passages; rows with a null id take no part; rows that share an
@@ -116,14 +134,16 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     buckets = packets.buckets_of(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).dropna()
     packed = rows.mapInArrow(_packer(buckets), packets.PACKED)
-    found = packets.shared_tokens(packed, buckets, _SPAN, _repeats, "id long, start long, past long, first long")
+    found = packets.shared_tokens(packed, buckets, _SPAN, _repeats, "id long, start long, past long, first long, word long, past_word long")
     own = found.select("*", (F.col("id") == F.col("first")).alias("kept"))
     order = Window.partitionBy("id", "kept").orderBy("start", "past")
     reach = F.max("past").over(order.rowsBetween(Window.unboundedPreceding, -1))
     begun = own.select("*", F.when(F.col("start") > reach, 1).otherwise(0).alias("new"))
     numbered = begun.select("*", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("number"))
-    joined = numbered.groupBy("id", "kept", "number").agg(F.min("start").alias("start"), F.max("past").alias("past"), F.min("first").alias("first"))
-    return joined.filter(F.col("past") - F.col("start") >= passage_bytes).select(
+    joined = numbered.groupBy("id", "kept", "number").agg(F.min("start").alias("start"), F.max("past").alias("past"), F.min("first").alias("first"),
+        (F.max("past_word") - F.min("word")).alias("words"))
+    long_enough = (F.col("past") - F.col("start") >= passage_bytes) | (F.col("words") >= passage_words)
+    return joined.filter(long_enough).select(
         F.col("id").alias("doc_id"), F.col("start").alias("start_byte"), (F.col("past") - F.col("start")).alias("n_bytes"),
         F.col("first").alias("first_doc_id"), "kept",
     )

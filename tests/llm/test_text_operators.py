@@ -168,6 +168,24 @@ def test_repeated_passages(spark):
     assert substring.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_of_short_words_are_found(spark):
+    """51 words of one to three letters are less than 160 bytes, of which chunk borders take some."""
+    r = random.Random(31)
+    words = "a i of to in is it on no we he so up the and for you was but not are all can had her one our out day get".split()
+    filler = vocabulary(3000)
+    passages = [" ".join(r.choice(words) for _ in range(51)) for _ in range(60)]
+    docs = []
+    for i, passage in enumerate(passages):
+        for j in range(2):
+            docs.append((2 * i + j, prose(r, filler, r.randint(20, 60)) + " " + passage + " " + prose(r, filler, 30)))
+    found = {x.doc_id for x in substring.repeated_passages(spark.createDataFrame(docs, DOCS)).collect()}
+    whole = [i for i in range(60) if {2 * i, 2 * i + 1} <= found]
+    assert len(whole) >= 57
+    # Documents that share only a few of the same short words are left alone.
+    alone = [(i, prose(r, filler, 40) + " " + " ".join(r.choice(words) for _ in range(51))) for i in range(80)]
+    assert substring.repeated_passages(spark.createDataFrame(alone, DOCS)).count() == 0
+
+
 def test_chunks_resist_insertions():
     r = random.Random(8)
     text = prose(r, vocabulary(3000), 800)
