@@ -302,9 +302,9 @@ def _query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _hashes(terms: list[bytes]) -> np.ndarray:
-    ends = np.cumsum([len(t) for t in terms])
-    data = np.frombuffer(b"".join(terms), np.uint8)
-    return tb.span_hashes(data, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
+    length = np.array([len(t) for t in terms], np.int64)
+    ends = np.cumsum(length)
+    return tb.span_hashes(np.frombuffer(b"".join(terms), np.uint8), ends - length, ends)
 
 
 def _shards(batches: Iterator[pa.RecordBatch], index: tuple[int, int]) -> Iterator[Shard]:
